@@ -84,7 +84,7 @@ def emails(text: str, domain) -> list[tuple[int, int]]:
 
 
 def base_spans(text: str, c: dict) -> dict[str, list[tuple[int, int]]]:
-    got = {k: [] for k in KINDS}
+    got: dict = {k: [] for k in KINDS}
     if "@" in text:
         got["email"] = emails(text, c["domain"])
     if c["digit"].search(text):
@@ -124,13 +124,14 @@ def compiled() -> dict:
 def propose(text: str, c: dict) -> list[tuple[int, int, int, bool, tuple[int, ...]]]:
     """(kind's number, start, end, base, votes) of a text, by kind and start."""
     base, out = base_spans(text, c), []
-    taken = sorted(x for v in base.values() for x in v)
+    ends = {k: np.array([b for _, b in v]) for k, v in base.items()}
+    taken = lambda x, y: any(i < len(v) and v[i][0] < y for k, v in base.items() for i in [int(np.searchsorted(ends[k], x, "right"))])
     for k, kind in enumerate(KINDS):
         own = [(a, b, True) for a, b in base[kind]]
         hint, loose = c["loose"][kind]
         if hint.search(text):
             for m in loose.finditer(text):
-                if not any(a < m.end() and m.start() < b for a, b in taken):
+                if not taken(m.start(), m.end()):
                     own.append((*m.span(), False))
         out += [(k, a, b, is_base, votes(kind, text, a, b, is_base)) for a, b, is_base in sorted(own)]
     return out
@@ -213,3 +214,7 @@ def written(spans):
     """kind:start:end, comma-joined."""
     names = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+
+def count(spans: str, kind: str):
+    return F.size(F.filter(spans, lambda s: s["kind"] == KINDS.index(kind))).cast("long")

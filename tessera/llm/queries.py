@@ -33,7 +33,7 @@ def op4_mixing(spark, sf_dir: str) -> DataFrame:
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
     got = pii.find(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    counts = [pii.count("base", k).alias(f"n_{k}") for k in pii.KINDS]
     return got.select("doc_id", *counts, F.sha2(pii.written("base").cast("binary"), 256).alias("base_sha256"), pii.written("found").alias("spans"))
 
 
