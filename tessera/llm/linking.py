@@ -1,8 +1,8 @@
 """Links between items that share tokens: candidates, verification, connected components.
 
 Used by the n-gram join (tokens are prefix shingles) and by paragraph dedup (tokens are MinHash bands).
-Pairs of a token's items are never all listed. First each item is paired with the token's least
-item only; verified pairs give components. Then only pairs of items that share a token and are still in different
+Pairs of a token's items are never all listed. First each item is paired with one item only, the
+least of some token, with which it shares most tokens; verified pairs give components. Then only pairs of items that share a token and are still in different
 components are listed; a group of copies is one component by then, so its pairs don't arise. As
 two linked items share a token, and each such pair is verified or already connected, no component is missed.
 """
@@ -61,34 +61,63 @@ def places(items: np.ndarray, bits: int = FILTER_BITS) -> np.ndarray:
     return (mix(items.view(U64) + U64(0x9E3779B97F4A7C15)) >> U64(64 - bits)).astype(np.int64)
 
 
-def verified(pairs: DataFrame, sets: Callable[[np.ndarray], DataFrame], num: int, den: int) -> DataFrame:
-    """The pairs(a, b) whose sets have den * intersection >= num * union. sets(filter) gives item, s
-    (sorted u64 values as binary) for at least the items that pass the filter, each once."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct()
-    got = sets(filter_of(ids))
-    got = stored(got.join(ids, "item", "left_semi"), "sets")
+def bitmap(s: np.ndarray) -> bytes:
+    """The size of a set (u64), then a bit for each place of its values among at least four places a value."""
+    k = max(6, int(np.ceil(np.log2(max(1, 4 * len(s))))))
+    bits = np.zeros(1 << k, bool)
+    bits[(s >> U64(64 - k)).astype(np.int64)] = True
+    return np.array([len(s)], U64).tobytes() + np.packbits(bits).tobytes()
 
-    def run(batches):
-        for batch in batches:
-            a, b, x, y = (batch.column(k) for k in ("a", "b", "x", "y"))
-            keep = np.zeros(len(a), bool)
-            for i in range(len(a)):
-                p, q = (np.frombuffer(memoryview(c[i].as_buffer()), U64) for c in (x, y))
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                both = int((q[at] == p).sum()) if len(q) else 0
-                keep[i] = both > 0 and den * both >= num * (len(p) + len(q) - both)
-            yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep)), b.filter(pa.array(keep))], names=["a", "b"])
-
-    wide = pairs.join(got.select(F.col("item").alias("a"), F.col("s").alias("x")), "a").join(got.select(F.col("item").alias("b"), F.col("s").alias("y")), "b")
-    return wide.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+def may_match(x, y, num: int, den: int) -> bool:
+    """Whether two bitmaps allow den * intersection >= num * union: values at places that the other set hasn't are not in it."""
+    n, m = (int(np.frombuffer(v, U64, 1)[0]) for v in (x, y))
+    p, q = (np.unpackbits(np.frombuffer(v, np.uint8, offset=8)).view(bool) for v in (x, y))
+    if len(p) != len(q):
+        size = min(len(p), len(q))
+        p, q = (v.reshape(size, -1).any(axis=1) for v in (p, q))
+    both = min(n - int((p & ~q).sum()), m - int((q & ~p).sum()))
+    return (num + den) * both >= num * (n + m)
+
+
+def same_enough(x, y, num: int, den: int) -> bool:
+    """Exact, for sorted u64 values."""
+    p, q = (np.frombuffer(v, U64) for v in (x, y))
+    if len(p) > len(q):
+        p, q = q, p
+    at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+    both = int((q[at] == p).sum()) if len(q) else 0
+    return both > 0 and den * both >= num * (len(p) + len(q) - both)
+
+
+def verified(pairs: DataFrame, sets: Callable[[np.ndarray, bool], DataFrame], num: int, den: int) -> DataFrame:
+    """The pairs(a, b) whose sets have den * intersection >= num * union.
+
+    sets(filter, small) gives item, s for at least the items that pass the filter, each once: sorted u64 values as
+    binary, or with small their bitmap. Bitmaps, a sixteenth in size, drop most pairs before whole sets are moved.
+    """
+
+    def step(pairs: DataFrame, small: bool, test: Callable) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                a, b, x, y = (batch.column(k) for k in ("a", "b", "x", "y"))
+                keep = pa.array([test(memoryview(x[i].as_buffer()), memoryview(y[i].as_buffer()), num, den) for i in range(len(a))], pa.bool_())
+                yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
+
+        side = lambda k, name: sets(filter_of(pairs.select(F.col(k).alias("item")).distinct()), small).select(F.col("item").alias(k), F.col("s").alias(name))
+        return pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+    return step(stored(step(pairs, True, may_match), "likely"), False, same_enough)
 
 
 def shared_tokens(index: DataFrame) -> DataFrame:
-    """Rows of index(token, item, n, pos) whose token has several items, with pivot: the token's least item and its n."""
+    """Rows of index(token, item, n, pos) whose token has several items, with p and pn: the token's least item and its n.
+
+    An item may stand in the index several times.
+    """
     w = Window.partitionBy("token")
-    return index.withColumn("c", F.count(F.lit(1)).over(w)).withColumn("pivot", F.min(F.struct("item", "n")).over(w)).where("c > 1").select("token", "item", "n", "pos", F.col("pivot.item").alias("p"), F.col("pivot.n").alias("pn"))
+    seen = index.withColumn("low", F.min(F.struct("item", "n")).over(w)).withColumn("high", F.max("item").over(w))
+    return seen.where(F.col("low.item") != F.col("high")).select("token", "item", "n", "pos", F.col("low.item").alias("p"), F.col("low.n").alias("pn")).distinct()
 
 
 def link(index: DataFrame, verify: Callable[[DataFrame], DataFrame], num: int, den: int, groups: DataFrame | None = None, positional: bool = False) -> DataFrame:
@@ -99,11 +128,14 @@ def link(index: DataFrame, verify: Callable[[DataFrame], DataFrame], num: int, d
     """
     fits = lambda x, y: (den * F.least(x, y) >= num * F.greatest(x, y))
     shared = stored(shared_tokens(index), "shared")
-    pairs = shared.where((F.col("item") != F.col("p")) & fits(F.col("n"), F.col("pn"))).select(F.col("p").alias("a"), F.col("item").alias("b"))
+    near = shared.where((F.col("item") != F.col("p")) & fits(F.col("n"), F.col("pn"))).groupBy("item", "p").agg(F.count(F.lit(1)).alias("c"))
+    # each item with the one least item with which it shares most tokens
+    pairs = near.groupBy("item").agg(F.max(F.struct("c", "p")).alias("m")).select(F.col("m.p").alias("a"), F.col("item").alias("b"))
     if groups is not None:
         groups = stored(groups.where("item != member"), "groups")
         pairs = pairs.union(groups.select("item", "member"))
-    one = stored(verify(stored(pairs.distinct(), "pairs")), "links")
+    first = stored(pairs.distinct(), "pairs")
+    one = stored(verify(first), "links")
     comp = stored(components(one), "comps")
     items = shared.select("token", "item", "n", "pos").join(comp, "item", "left").select("token", "item", "n", "pos", F.coalesce("comp", "item").alias("comp"))
     if groups is not None:
@@ -124,7 +156,9 @@ def link(index: DataFrame, verify: Callable[[DataFrame], DataFrame], num: int, d
     if positional:
         # at most so many values can be common from this one on, and so many must be
         rest = rest.where((num + den) * (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")) >= num * (F.col("na") + F.col("nb")))
-    rest = stored(rest.select("a", "b").distinct(), "pairs")
+    done = first.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    rest = rest.select("a", "b").distinct().join(done, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
+    rest = stored(rest, "pairs")
     links = one
     if rest.limit(1).count():
         two = stored(verify(rest), "links")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import U64, by_value, byte_values, mix, runs, shingles, space_classes, spans, stored, strings
-from tessera.llm.linking import link, places, verified
+from tessera.llm.linking import bitmap, link, places, verified
 
 by_value(__name__)
 SHINGLE = 5
@@ -108,7 +108,7 @@ def unit_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def set_maker(docs: DataFrame, key: str, text: str):
-    def make(keep: np.ndarray) -> DataFrame:
+    def make(keep: np.ndarray, small: bool) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(np.packbits(keep))  # a fixed size
 
         def run(batches):
@@ -119,7 +119,7 @@ def set_maker(docs: DataFrame, key: str, text: str):
                     one = dict(zip((int(item[i]) for i in some), some, strict=True))
                     if len(seen) < 1 << 20:
                         seen.update(one)
-                    yield pa.RecordBatch.from_arrays([pa.array(list(one), pa.int64()), pa.array([s[at[i] : at[i] + n[i]].tobytes() for i in one.values()], pa.binary())], names=["item", "s"])
+                    yield pa.RecordBatch.from_arrays([pa.array(list(one), pa.int64()), pa.array([bitmap(v) if small else v.tobytes() for v in (s[at[i] : at[i] + n[i]] for i in one.values())], pa.binary())], names=["item", "s"])
 
         return docs.where(F.col(key).isNotNull()).select(F.col(text).alias("t")).mapInArrow(run, "item bigint, s binary").dropDuplicates(["item"])
 
