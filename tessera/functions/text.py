@@ -31,7 +31,7 @@ def acronym_norm(c: Column) -> Column:
 def doi(c: Column) -> Column:
     """The first DOI anywhere, %2F undone, publishers' path tails dropped, lower, without end punctuation; NULL if none."""
     s = F.lower(F.regexp_extract(F.regexp_replace(c, "(?i)%2f", "/"), r"(?i)(10\.[0-9]{4,9}/[^\s\"'<>?#]+)", 1))
-    s = F.regexp_replace(s, r"/(full|abstract|pdf|epdf|meta)$", "")
+    s = F.regexp_replace(F.regexp_replace(s, r"[.,;:)\]]+$", ""), r"/(full|abstract|pdf|epdf|meta)$", "")
     return F.nullif(F.regexp_replace(s, r"[.,;:)\]]+$", ""), F.lit(""))
 
 

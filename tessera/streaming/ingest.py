@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def event_stream(spark: SparkSession, directory: str, pattern: str = "events.parquet*") -> DataFrame:
     """A file stream of events; the schema is the files' own."""
     schema = spark.read.parquet(f"{directory}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", 16).parquet(directory)
+    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", 16).parquet(directory).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def dedup_ingest(stream: DataFrame, keys: list[str], delay: str = "31 days") -> DataFrame:
