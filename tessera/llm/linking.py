@@ -2,7 +2,7 @@
 
 Used by the n-gram join (tokens are prefix shingles) and by paragraph dedup (tokens are MinHash bands).
 Pairs of a token's items are never all listed. First each item is paired with one item only, the
-least of some token, with which it shares most tokens; verified pairs give components. Then only pairs of items that share a token and are still in different
+hub of some token, with which it shares most tokens; verified pairs give components. Then only pairs of items that share a token and are still in different
 components are listed; a group of copies is one component by then, so its pairs don't arise. As
 two linked items share a token, and each such pair is verified or already connected, no component is missed.
 """
@@ -111,13 +111,23 @@ def verified(pairs: DataFrame, sets: Callable[[np.ndarray, bool], DataFrame], nu
 
 
 def shared_tokens(index: DataFrame) -> DataFrame:
-    """Rows of index(token, item, n, pos) whose token has several items, with p and pn: the token's least item and its n.
+    """Rows of index(token, item, n, pos) whose token has several items, with c: the rows of the token.
 
     An item may stand in the index several times.
     """
     w = Window.partitionBy("token")
-    seen = index.withColumn("low", F.min(F.struct("item", "n")).over(w)).withColumn("high", F.max("item").over(w))
-    return seen.where(F.col("low.item") != F.col("high")).select("token", "item", "n", "pos", F.col("low.item").alias("p"), F.col("low.n").alias("pn")).distinct()
+    seen = index.withColumn("low", F.min("item").over(w)).withColumn("high", F.max("item").over(w)).withColumn("c", F.count(F.lit(1)).over(w))
+    return seen.where("low != high").select("token", "item", "n", "pos", "c").distinct()
+
+
+def hubs(shared: DataFrame) -> DataFrame:
+    """token, p, pn, pp: the item of each token that meets most others over all its tokens, its size, and the token's place in it.
+
+    Edited copies have tokens of their own among their rarest, so the text that they were made from meets most.
+    """
+    score = shared.groupBy("item").agg(F.sum("c").alias("score"))
+    best = shared.select("token", "item", "n", "pos").join(score, "item").groupBy("token").agg(F.max(F.struct("score", "item", "n", "pos")).alias("m"))
+    return best.select("token", F.col("m.item").alias("p"), F.col("m.n").alias("pn"), F.col("m.pos").alias("pp"))
 
 
 def link(index: DataFrame, verify: Callable[[DataFrame], DataFrame], num: int, den: int, groups: DataFrame | None = None, positional: bool = False) -> DataFrame:
@@ -126,10 +136,14 @@ def link(index: DataFrame, verify: Callable[[DataFrame], DataFrame], num: int, d
     index(token, item, n, pos): n is the size of the item's set; with positional, pos is the token's place in the item's ordered set. groups(item,
     member): further items that stand behind an item of index, of equal n and tokens. links is the number of verified pairs of the item: a lower bound of its partners.
     """
-    fits = lambda x, y: (den * F.least(x, y) >= num * F.greatest(x, y))
+    def fits(n, m, p, q):
+        """Sizes allow a match; with positions, also what is left from the first common token on."""
+        ok = den * F.least(n, m) >= num * F.greatest(n, m)
+        return ok & ((num + den) * F.least(n - p, m - q) >= num * (n + m)) if positional else ok
+
     shared = stored(shared_tokens(index), "shared")
-    near = shared.where((F.col("item") != F.col("p")) & fits(F.col("n"), F.col("pn"))).groupBy("item", "p").agg(F.count(F.lit(1)).alias("c"))
-    # each item with the one least item with which it shares most tokens
+    near = shared.join(hubs(shared), "token").where((F.col("item") != F.col("p")) & fits(*map(F.col, ("n", "pn", "pos", "pp")))).groupBy("item", "p").agg(F.count(F.lit(1)).alias("c"))
+    # each item with the one hub with which it shares most tokens
     pairs = near.groupBy("item").agg(F.max(F.struct("c", "p")).alias("m")).select(F.col("m.p").alias("a"), F.col("item").alias("b"))
     if groups is not None:
         groups = stored(groups.where("item != member"), "groups")
@@ -149,13 +163,8 @@ def link(index: DataFrame, verify: Callable[[DataFrame], DataFrame], num: int, d
     items = stored(items, "labelled")
     mixed = items.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
     items = stored(items.join(mixed, "token", "left_semi"), "mixed")
-    comps = items.select("token", "comp").distinct()
-    across = comps.select("token", F.col("comp").alias("ca")).join(comps.select("token", F.col("comp").alias("cb")), "token").where("ca < cb")
-    side = lambda s: items.select("token", F.col("comp").alias(f"c{s}"), F.col("item").alias(s), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"))
-    rest = across.join(side("a"), ["token", "ca"]).join(side("b"), ["token", "cb"]).where(fits(F.col("na"), F.col("nb")))
-    if positional:
-        # at most so many values can be common from this one on, and so many must be
-        rest = rest.where((num + den) * (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")) >= num * (F.col("na") + F.col("nb")))
+    side = lambda s: items.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("item", "comp", "n", "pos")))
+    rest = side("a").join(side("b"), "token").where((F.col("comp_a") < F.col("comp_b")) & fits(*map(F.col, ("n_a", "n_b", "pos_a", "pos_b")))).select(F.col("item_a").alias("a"), F.col("item_b").alias("b"))
     done = first.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
     rest = rest.select("a", "b").distinct().join(done, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
     rest = stored(rest, "pairs")
