@@ -303,9 +303,9 @@ def word_ids(path: str):
 
     def learn(words: list[str]) -> None:
         """Words with a blank before them, many in one text: only a word's first token begins with a blank."""
-        for a in range(0, len(words), 1000):
-            part = words[a : a + 1000]
-            ids = np.array(tok.encode(" " + " ".join(part), add_special_tokens=False).ids, np.uint16)
+        for a in range(0, len(words), 2000):
+            part = words[a : a + 2000]
+            ids = np.array(tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.uint16)
             cut = np.flatnonzero(begins[ids])
             if len(cut) == len(part):
                 add(part, ids, np.diff(cut, append=len(ids)))
@@ -326,18 +326,25 @@ def word_ids(path: str):
         if kept.places is None or len(kept.places) > REMEMBERED:
             forget()
         places = kept.places
-        odd = np.fromiter(map(edged, words), bool, len(words))
-        learn([w for w, o in zip(words, odd, strict=True) if not o and w not in places])
+        known = [places.get(w, -1) for w in words]
+        new = [w for w, p in zip(words, known, strict=True) if p < 0]
+        learn([w for w in new if not edged(w)])
+        if new:
+            known = [p if p >= 0 else places.get(w, -1) for w, p in zip(words, known, strict=True)]
+        known = np.array(known, np.int64)
+        odd = known < 0
         heads = [words[i] for i in codes[first]]
         for w in dict.fromkeys(heads):
             if (w,) not in places:
                 ids = tok.encode(w, add_special_tokens=False).ids
                 add([(w,)], np.array(ids, np.uint16), np.array([len(ids)]))
-        place = np.fromiter((places.get(w, 0) for w in words), np.int64, len(words))[codes]
+        place = np.maximum(known, 0)[codes]
         place[first] = [places[(w,)] for w in heads]
         lens = kept.lens[place]
         ends = np.cumsum(lens)
-        ids = kept.pool[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(kept.at[place] - ends + lens, lens)]
+        index = np.repeat((kept.at[place] - ends + lens).astype(np.int32), lens)  # a piece has few ids, and the pool too
+        index += np.arange(len(index), dtype=np.int32)
+        ids = kept.pool.take(index)
         n = np.add.reduceat(lens, first) if len(first) else np.zeros(0, np.int64)
         whole = np.flatnonzero(np.add.reduceat(odd[codes].astype(np.int64), first)) if odd.any() else []
         if len(whole):
