@@ -271,6 +271,8 @@ def word_ids(path: str):
     The tokenizer's pattern never joins what stands before a single blank between two signs with what stands after
     it, so words are encoded apart, with the blank before them, and remembered. Texts with blanks beside other white space are encoded whole.
     """
+    import itertools
+
     import pyarrow.compute as pc
     from tokenizers import Tokenizer
 
@@ -313,8 +315,9 @@ def word_ids(path: str):
                 own = [tok.encode(" " + w, add_special_tokens=False).ids for w in part]
                 add(part, np.array([i for x in own for i in x], np.uint16), np.array([len(x) for x in own]))
 
-    def edged(w: str) -> bool:
-        return not w or w[0].isspace() or w[-1].isspace()
+    def plain(words) -> np.ndarray:
+        """Where words, an Arrow column, have no white space at either end, and a sign at least."""
+        return pc.and_(pc.equal(pc.utf8_trim_whitespace(words), words), pc.greater(pc.binary_length(words), 0)).to_numpy(zero_copy_only=False)
 
     def run(column):
         texts = column.cast(pa.large_string()).fill_null("")
@@ -326,12 +329,12 @@ def word_ids(path: str):
         if kept.places is None or len(kept.places) > REMEMBERED:
             forget()
         places = kept.places
-        known = [places.get(w, -1) for w in words]
-        new = [w for w, p in zip(words, known, strict=True) if p < 0]
-        learn([w for w in new if not edged(w)])
-        if new:
-            known = [p if p >= 0 else places.get(w, -1) for w, p in zip(words, known, strict=True)]
-        known = np.array(known, np.int64)
+        known = np.fromiter(map(places.get, words, itertools.repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            new = new[plain(coded.dictionary.take(pa.array(new)))]
+            known[new] = np.arange(len(places), len(places) + len(new))  # learn() gives places in this order
+            learn([words[i] for i in new.tolist()])
         odd = known < 0
         heads = [words[i] for i in codes[first]]
         for w in dict.fromkeys(heads):
