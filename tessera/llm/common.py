@@ -156,6 +156,14 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     return mix(acc)
 
 
+def shingles_at(h: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of n consecutive words at each of some places."""
+    acc = h[first] + U64(n)
+    for i in range(1, n):
+        acc = (acc ^ (acc >> U64(29))) * U64(0x9FB21C651E98DF25) + h[first + i]
+    return mix(acc)
+
+
 def sum_slices(rows: DataFrame, width: int, bits: int) -> np.ndarray:
     """Adds up rows (part int, slice int, counts binary of width int64 values) to one array of 2**bits.
 

@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, by_value, mix, slices_of, stored, sum_slices
+from tessera.llm.common import U64, by_value, stored
 
 by_value(__name__)
 #: Bits of the filter over candidate items; a fixed size, and only a filter: what passes it is joined exactly.
 FILTER_BITS = 22
-_WIDTH = 1 << 13
+#: Bits of a part of the filter, as bitmap_construct_agg makes them.
+_PART_BITS = 15
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -45,20 +46,20 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return cur.groupBy(F.col("u").alias("item")).agg(F.min("v").alias("comp")).union(cur.select(F.col("v").alias("item"), F.col("v").alias("comp")).distinct())
 
 
-def filter_of(items: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """True at the hashes of items(item)."""
+def filter_of(items: DataFrame) -> np.ndarray:
+    """True at the places of items(item). What comes to the driver is one bit for each place: a fixed size."""
+    place = F.col("item").bitwiseXOR(F.shiftrightunsigned("item", FILTER_BITS)).bitwiseXOR(F.shiftrightunsigned("item", 2 * FILTER_BITS)).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    cut = items.select(place.alias("place")).select(F.shiftright("place", _PART_BITS).alias("part"), F.col("place").bitwiseAND(F.lit((1 << _PART_BITS) - 1)).alias("bit"))
+    out = np.zeros((1 << FILTER_BITS - _PART_BITS, 1 << _PART_BITS), bool)
+    for part, bits in cut.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
+        out[part] = np.unpackbits(np.frombuffer(bytes(bits), np.uint8), bitorder="little").view(bool)
+    return out.reshape(-1)
 
-    def run(batches):
-        out = np.zeros(1 << bits, np.int64)
-        for b in batches:
-            out[places(b.column("item").to_numpy().astype(np.int64), bits)] = 1
-        yield slices_of(out, _WIDTH)
 
-    return sum_slices(items.select("item").mapInArrow(run, "part int, slice int, counts binary"), _WIDTH, bits) > 0
-
-
-def places(items: np.ndarray, bits: int = FILTER_BITS) -> np.ndarray:
-    return (mix(items.view(U64) + U64(0x9E3779B97F4A7C15)) >> U64(64 - bits)).astype(np.int64)
+def places(items: np.ndarray) -> np.ndarray:
+    """Where items stand in the filter: their bits folded."""
+    u = items.view(U64)
+    return ((u ^ (u >> U64(FILTER_BITS)) ^ (u >> U64(2 * FILTER_BITS))) & U64((1 << FILTER_BITS) - 1)).astype(np.int64)
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -90,24 +91,26 @@ def same_enough(x, y, num: int, den: int) -> bool:
     return both > 0 and den * both >= num * (len(p) + len(q) - both)
 
 
-def verified(pairs: DataFrame, sets: Callable[[np.ndarray, bool], DataFrame], num: int, den: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: Callable[[DataFrame, bool], DataFrame], num: int, den: int) -> DataFrame:
     """The pairs(a, b) whose sets have den * intersection >= num * union.
 
-    sets(filter, small) gives item, s for at least the items that pass the filter, each once: sorted u64 values as
-    binary, or with small their bitmap. Bitmaps, a sixteenth in size, drop most pairs before whole sets are moved.
+    sets(items, small) gives item, s for at least the items, each once: sorted u64 values as binary, or with small
+    their bitmap. Bitmaps, a sixteenth in size and made once for both sides, drop most pairs before whole sets are moved.
     """
 
-    def step(pairs: DataFrame, small: bool, test: Callable) -> DataFrame:
+    def step(pairs: DataFrame, of: Callable[[str], DataFrame], test: Callable) -> DataFrame:
         def run(batches):
             for batch in batches:
                 a, b, x, y = (batch.column(k) for k in ("a", "b", "x", "y"))
                 keep = pa.array([test(memoryview(x[i].as_buffer()), memoryview(y[i].as_buffer()), num, den) for i in range(len(a))], pa.bool_())
                 yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
-        side = lambda k, name: sets(filter_of(pairs.select(F.col(k).alias("item")).distinct()), small).select(F.col("item").alias(k), F.col("s").alias(name))
+        side = lambda k, name: of(k).select(F.col("item").alias(k), F.col("s").alias(name))
         return pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
-    return step(stored(step(pairs, True, may_match), "likely"), False, same_enough)
+    small = stored(sets(pairs.select(F.explode(F.array("a", "b")).alias("item")), True), "bitmaps")
+    likely = stored(step(pairs, lambda k: small, may_match), "likely")
+    return step(likely, lambda k: sets(likely.select(F.col(k).alias("item")), False), same_enough)
 
 
 def shared_tokens(index: DataFrame) -> DataFrame:
@@ -130,18 +133,19 @@ def hubs(shared: DataFrame) -> DataFrame:
     return best.select("token", F.col("m.item").alias("p"), F.col("m.n").alias("pn"), F.col("m.pos").alias("pp"))
 
 
-def link(index: DataFrame, verify: Callable[[DataFrame], DataFrame], num: int, den: int, groups: DataFrame | None = None, positional: bool = False) -> DataFrame:
+def link(index: DataFrame, verify: Callable[[DataFrame], DataFrame], num: int, den: int, groups: DataFrame | None = None, positional: bool = False, shared: DataFrame | None = None) -> DataFrame:
     """item, comp, links for items that are linked to any other.
 
     index(token, item, n, pos): n is the size of the item's set; with positional, pos is the token's place in the item's ordered set. groups(item,
-    member): further items that stand behind an item of index, of equal n and tokens. links is the number of verified pairs of the item: a lower bound of its partners.
+    member): further items that stand behind an item of index, of equal n and tokens. links is the number of verified pairs of the item: a lower bound of its partners. shared: shared_tokens(index), where it is stored already.
     """
     def fits(n, m, p, q):
         """Sizes allow a match; with positions, also what is left from the first common token on."""
         ok = den * F.least(n, m) >= num * F.greatest(n, m)
         return ok & ((num + den) * F.least(n - p, m - q) >= num * (n + m)) if positional else ok
 
-    shared = stored(shared_tokens(index), "shared")
+    if shared is None:
+        shared = stored(shared_tokens(index), "shared")
     near = shared.join(hubs(shared), "token").where((F.col("item") != F.col("p")) & fits(*map(F.col, ("n", "pn", "pos", "pp")))).groupBy("item", "p").agg(F.count(F.lit(1)).alias("c"))
     # each item with the one hub with which it shares most tokens
     pairs = near.groupBy("item").agg(F.max(F.struct("c", "p")).alias("m")).select(F.col("m.p").alias("a"), F.col("item").alias("b"))

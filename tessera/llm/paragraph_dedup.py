@@ -2,7 +2,7 @@
 
 Units are lines; a line of more than LONG words is cut where its words' hashes say so, so that a
 passage within it is cut alike wherever it stands. A unit's set are its distinct five-word shingles.
-Equal sets are one item. BANDS bands of ROWS MinHash values make nearly all pairs at the threshold
+Equal word sequences are one item. BANDS bands of ROWS MinHash values make nearly all pairs at the threshold
 collide (0.9986 at Jaccard 0.75); colliding items are verified by exact Jaccard, and components are classes of repeats.
 A passage is a run of neighbouring units that all belong to a class with several occurrences, of at
 least MIN_WORDS words. The first occurrence of a class (by document, then unit) stays, the others are to be removed.
@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, by_value, byte_values, mix, runs, shingles, space_classes, spans, stored, strings
-from tessera.llm.linking import bitmap, link, places, verified
+from tessera.llm.common import U64, by_value, byte_values, mix, runs, shingles, shingles_at, space_classes, spans, stored, strings
+from tessera.llm.linking import bitmap, filter_of, link, places, shared_tokens, verified
 
 by_value(__name__)
 SHINGLE = 5
@@ -28,6 +28,8 @@ BANDS, ROWS = 12, 3
 MIN_WORDS = 40
 LONG = 80
 CUT_MIN, CUT_MASK = 12, 15
+#: Lower bits of a shingle that are left out.
+LOW = U64(20)
 
 
 def units(u8: np.ndarray, offs: np.ndarray):
@@ -53,24 +55,30 @@ def units(u8: np.ndarray, offs: np.ndarray):
 
 
 def _sets(h, first, ends):
-    """All units' distinct shingles one after the other, and the number of each."""
+    """All units' distinct shingles one after the other, each unit's sorted, and the number of each.
+
+    Shingles keep their upper 44 bits, so that they sort as one number with their unit's; two
+    sets of a hundred shingles meet by chance once in a thousand million pairs.
+    """
     n = ends - first
     out_n = np.maximum(n - SHINGLE + 1, 1)
-    of = np.repeat(np.arange(len(first)), out_n)
-    s = np.zeros(len(of), U64)
     begin = np.cumsum(out_n) - out_n
-    full = n >= SHINGLE
-    if full.any() and len(h) >= SHINGLE:
-        all_s = shingles(h, SHINGLE)
-        pos = np.arange(len(of)) - begin[of] + first[of]
-        ok = full[of]
-        s[ok] = all_s[pos[ok]]
-    for i in np.flatnonzero(~full):
-        s[begin[i]] = shingles(h[first[i] : ends[i]], SHINGLE)[0]
+    of = np.repeat(np.arange(len(first)), out_n)
+    at = np.arange(len(of)) + np.repeat(first - begin, out_n)
+    s = shingles(h, SHINGLE)[np.minimum(at, max(len(h) - SHINGLE, 0))]
+    for m in range(1, SHINGLE):
+        few = np.flatnonzero(n == m)
+        s[begin[few]] = shingles_at(h, first[few], m)
+    s >>= LOW
+    if len(first) < 1 << int(LOW):
+        both = np.sort((of.astype(U64) << (U64(64) - LOW)) | s)
+        new = np.concatenate([[True], both[1:] != both[:-1]])
+        both = both[new]
+        return both << LOW, np.bincount((both >> (U64(64) - LOW)).astype(np.int64), minlength=len(first))
     order = np.lexsort((s, of))
     s, of = s[order], of[order]
-    new = np.concatenate([[True], (s[1:] != s[:-1]) | (of[1:] != of[:-1])]) if len(s) else np.zeros(0, bool)
-    return s[new], np.bincount(of[new], minlength=len(first))
+    new = np.concatenate([[True], (s[1:] != s[:-1]) | (of[1:] != of[:-1])])
+    return s[new] << LOW, np.bincount(of[new], minlength=len(first))
 
 
 def _blocks(column):
@@ -79,13 +87,13 @@ def _blocks(column):
         h, row, first, ends = units(u8[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
         if len(h):
             s, n = _sets(h, first, ends)
-            at = np.cumsum(n) - n
-            with np.errstate(over="ignore"):
-                yield a + row, first, ends, s, n, at, mix(np.add.reduceat(mix(s), at) + n.astype(U64)).view(np.int64)
+            place = np.arange(len(h)) - np.repeat(first, ends - first)
+            item = mix(np.add.reduceat(mix(h + place.astype(U64) * U64(0xA0761D6478BD642F)), first) + (ends - first).astype(U64))
+            yield a + row, first, ends, s, n, np.cumsum(n) - n, item.view(np.int64)
 
 
 def unit_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc, unit (number in the document), n_words, n, item (hash of the set), b0.. (band hashes)."""
+    """doc, unit (number in the document), n_words, n, item (hash of the words in order), b0.. (band hashes)."""
     seeds = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
     names = ["doc", "unit", "n_words", "n", "item", *(f"b{i}" for i in range(BANDS))]
 
@@ -107,23 +115,29 @@ def unit_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("t")).mapInArrow(run, ", ".join(f"{x} bigint" for x in names))
 
 
-def set_maker(docs: DataFrame, key: str, text: str):
-    def make(keep: np.ndarray, small: bool) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(np.packbits(keep))  # a fixed size
+def unit_sets(docs: DataFrame, text: str, items: DataFrame) -> DataFrame:
+    """item, s (sorted shingles) for at least the items, each once."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(filter_of(items)))  # a fixed size
 
-        def run(batches):
-            bits, seen = np.unpackbits(shared.value).view(bool), set()
-            for b in batches:
-                for _, _, _, s, n, at, item in _blocks(b.column("t")):
-                    some = [i for i in np.flatnonzero(bits[places(item)]).tolist() if int(item[i]) not in seen]
-                    one = dict(zip((int(item[i]) for i in some), some, strict=True))
-                    if len(seen) < 1 << 20:
-                        seen.update(one)
-                    yield pa.RecordBatch.from_arrays([pa.array(list(one), pa.int64()), pa.array([bitmap(v) if small else v.tobytes() for v in (s[at[i] : at[i] + n[i]] for i in one.values())], pa.binary())], names=["item", "s"])
+    def run(batches):
+        bits, seen = np.unpackbits(shared.value).view(bool), set()
+        for b in batches:
+            for _, _, _, s, n, at, item in _blocks(b.column("t")):
+                some = [i for i in np.flatnonzero(bits[places(item)]).tolist() if int(item[i]) not in seen]
+                one = dict(zip((int(item[i]) for i in some), some, strict=True))
+                if len(seen) < 1 << 20:
+                    seen.update(one)
+                yield pa.RecordBatch.from_arrays([pa.array(list(one), pa.int64()), pa.array([s[at[i] : at[i] + n[i]].tobytes() for i in one.values()], pa.binary())], names=["item", "s"])
 
-        return docs.where(F.col(key).isNotNull()).select(F.col(text).alias("t")).mapInArrow(run, "item bigint, s binary").dropDuplicates(["item"])
+    return docs.select(F.col(text).alias("t")).mapInArrow(run, "item bigint, s binary").dropDuplicates(["item"])
+
+
+def bitmaps(sets: DataFrame) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("item"), pa.array([bitmap(np.frombuffer(s.as_buffer(), U64)) for s in b.column("s")], pa.binary())], names=["item", "s"])
 
-    return make
+    return sets.mapInArrow(run, "item bigint, s binary")
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -133,8 +147,10 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words:
     items = rows.groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), *(F.max(b).alias(b) for b in bands))
     items = stored(items, "items")
     index = items.select("item", "n", F.explode(F.array(*bands)).alias("token")).select("token", "item", "n", F.lit(0).alias("pos"))
-    make = set_maker(docs, key, text)
-    linked = stored(link(index, lambda pairs: verified(pairs, make, NUM, DEN), NUM, DEN), "linked")
+    shared = stored(shared_tokens(index), "shared")
+    sets = stored(unit_sets(docs.where(F.col(key).isNotNull()), text, shared), "sets")
+    pick = lambda _, small: bitmaps(sets) if small else sets
+    linked = stored(link(index, lambda pairs: verified(pairs, pick, NUM, DEN), NUM, DEN, shared=shared), "linked")
     classes = items.where("c > 1").select("item").union(linked.select("item")).distinct().join(linked.select("item", "comp"), "item", "left").select("item", F.coalesce("comp", "item").alias("class_id"))
     found = rows.select("doc", "unit", "n_words", "item").join(classes, "item").select("doc", "unit", "n_words", "class_id")
     found = stored(found, "repeated")
