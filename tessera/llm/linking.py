@@ -161,8 +161,9 @@ def link(index: DataFrame, verify: Callable[[DataFrame], DataFrame], num: int, d
         of = groups.join(comp.select(F.col("item").alias("member"), F.col("comp").alias("mc")), "member", "left").join(comp, "item", "left")
         apart = stored(of.where(~F.coalesce("comp", "item").eqNullSafe(F.coalesce("mc", "member"))).select("item", "member", F.coalesce("mc", "member").alias("mc")), "apart")
         if apart.limit(1).count():
-            behind = index.join(apart, "item").select("token", F.col("member").alias("item"), "n", "pos", F.col("mc").alias("comp"))
-            heads = index.join(apart.select("item").distinct(), "item").join(comp, "item", "left").select("token", "item", "n", "pos", F.coalesce("comp", "item").alias("comp"))
+            whole = stored(index.join(apart.select("item").distinct(), "item", "left_semi").select("token", "item", "n", "pos"), "apart_index")
+            behind = whole.join(apart, "item").select("token", F.col("member").alias("item"), "n", "pos", F.col("mc").alias("comp"))
+            heads = whole.join(comp, "item", "left").select("token", "item", "n", "pos", F.coalesce("comp", "item").alias("comp"))
             items = items.union(behind).union(heads).distinct()
     items = stored(items, "labelled")
     mixed = items.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
