@@ -46,20 +46,20 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return cur.groupBy(F.col("u").alias("item")).agg(F.min("v").alias("comp")).union(cur.select(F.col("v").alias("item"), F.col("v").alias("comp")).distinct())
 
 
-def filter_of(items: DataFrame) -> np.ndarray:
+def filter_of(items: DataFrame, size: int = FILTER_BITS) -> np.ndarray:
     """True at the places of items(item). What comes to the driver is one bit for each place: a fixed size."""
-    place = F.col("item").bitwiseXOR(F.shiftrightunsigned("item", FILTER_BITS)).bitwiseXOR(F.shiftrightunsigned("item", 2 * FILTER_BITS)).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    place = F.col("item").bitwiseXOR(F.shiftrightunsigned("item", size)).bitwiseXOR(F.shiftrightunsigned("item", 2 * size)).bitwiseAND(F.lit((1 << size) - 1))
     cut = items.select(place.alias("place")).select(F.shiftright("place", _PART_BITS).alias("part"), F.col("place").bitwiseAND(F.lit((1 << _PART_BITS) - 1)).alias("bit"))
-    out = np.zeros((1 << FILTER_BITS - _PART_BITS, 1 << _PART_BITS), bool)
+    out = np.zeros((1 << size - _PART_BITS, 1 << _PART_BITS), bool)
     for part, bits in cut.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
         out[part] = np.unpackbits(np.frombuffer(bytes(bits), np.uint8), bitorder="little").view(bool)
     return out.reshape(-1)
 
 
-def places(items: np.ndarray) -> np.ndarray:
+def places(items: np.ndarray, size: int = FILTER_BITS) -> np.ndarray:
     """Where items stand in the filter: their bits folded."""
     u = items.view(U64)
-    return ((u ^ (u >> U64(FILTER_BITS)) ^ (u >> U64(2 * FILTER_BITS))) & U64((1 << FILTER_BITS) - 1)).astype(np.int64)
+    return ((u ^ (u >> U64(size)) ^ (u >> U64(2 * size))) & U64((1 << size) - 1)).astype(np.int64)
 
 
 def bitmap(s: np.ndarray) -> bytes:

@@ -1,11 +1,16 @@
-"""Substring dedup: MinHash banding of paragraphs, exact verification, components.
+"""Substring dedup: near copies of lines by MinHash, and word runs that are equal anywhere.
 
-Units are lines; a line of more than LONG words is cut where its words' hashes say so, so that a
-passage within it is cut alike wherever it stands. A unit's set are its distinct five-word shingles.
-Equal word sequences are one item. BANDS bands of ROWS MinHash values make nearly all pairs at the threshold
-collide (0.9986 at Jaccard 0.75); colliding items are verified by exact Jaccard, and components are classes of repeats.
-A passage is a run of neighbouring units that all belong to a class with several occurrences, of at
-least MIN_WORDS words. The first occurrence of a class (by document, then unit) stays, the others are to be removed.
+Near copies: units are lines; a line of more than LONG words is cut where its words' hashes say so. A
+unit's set are its distinct five-word shingles. Equal word sequences are one item. BANDS bands of ROWS MinHash
+values make nearly all pairs at the threshold collide (0.9986 at Jaccard 0.75); colliding items are verified
+by exact Jaccard, and components are classes of repeats.
+
+Equal runs: every RUN consecutive words of a document, across lines and from any word on, are a window. A window's anchor
+is its GRAM words with the least hash, so equal windows have equal anchors. Windows whose anchor stands at several places are
+compared by hash, all of one anchor together; so every run of RUN words or more that occurs twice is found to the word.
+
+A passage is a run of neighbouring or overlapping units and windows that occur several times, of at
+least MIN_WORDS words. The first occurrence of a class or window (by document, then place) stays, the others are to be removed.
 
 Cases: null and empty texts have no unit; blank lines are none. Units of fewer than five words are one shingle. Rows of equal key are
 one document whose units repeat each other only if they differ in place. Null keys are left out. No repeats: no rows.
@@ -26,6 +31,10 @@ SHINGLE = 5
 NUM, DEN = 75, 100
 BANDS, ROWS = 12, 3
 MIN_WORDS = 40
+#: Words of a window and of its anchor.
+RUN, GRAM = 40, 8
+#: Bits of the filter over anchors that occur several times; a fixed size. What passes it is compared exactly.
+ANCHOR_BITS = 26
 LONG = 80
 CUT_MIN, CUT_MASK = 12, 15
 #: Lower bits of a shingle that are left out.
@@ -93,9 +102,9 @@ def _blocks(column):
 
 
 def unit_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc, unit (number in the document), n_words, n, item (hash of the words in order), b0.. (band hashes)."""
+    """doc, unit (number in the document), word (its first one's number), n_words, n, item (hash of the words in order), b0.. (band hashes)."""
     seeds = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
-    names = ["doc", "unit", "n_words", "n", "item", *(f"b{i}" for i in range(BANDS))]
+    names = ["doc", "unit", "word", "n_words", "n", "item", *(f"b{i}" for i in range(BANDS))]
 
     def run(batches):
         for b in batches:
@@ -110,7 +119,8 @@ def unit_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
                     bands.append(acc.view(np.int64))
                 fresh = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
                 number = np.arange(len(row)) - np.repeat(fresh, np.diff(fresh, append=len(row)))
-                yield pa.RecordBatch.from_arrays([docs_.take(pa.array(row)), pa.array(number), pa.array(ends - first), pa.array(n.astype(np.int64)), *(pa.array(x) for x in (item, *bands))], names=names)
+                word = first - np.repeat(first[fresh], np.diff(fresh, append=len(row)))
+                yield pa.RecordBatch.from_arrays([docs_.take(pa.array(row)), pa.array(number), pa.array(word), pa.array(ends - first), pa.array(n.astype(np.int64)), *(pa.array(x) for x in (item, *bands))], names=names)
 
     return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("t")).mapInArrow(run, ", ".join(f"{x} bigint" for x in names))
 
@@ -140,8 +150,131 @@ def bitmaps(sets: DataFrame) -> DataFrame:
     return sets.mapInArrow(run, "item bigint, s binary")
 
 
+def anchored(h: np.ndarray, row: np.ndarray):
+    """Each window's first word, its anchor's place and hash, and the window's hash; row: each word's document, in order."""
+    none = np.zeros(0, np.int64)
+    if len(h) < RUN:
+        return none, none, none.view(U64), none.view(U64)
+    gram = shingles(h, GRAM)
+    best = np.arange(len(gram))
+
+    def wider(best, by):
+        """The leftmost least gram of two neighbouring ranges, by apart."""
+        x, y = best[:-by], best[by:]
+        return np.where(gram[y] < gram[x], y, x)
+
+    size, wanted = 1, RUN - GRAM + 1
+    while size < wanted:
+        by = min(size, wanted - size)
+        best, size = wider(best, by), size + by
+    at = np.flatnonzero(row[: len(h) - RUN + 1] == row[RUN - 1 :])
+    anchor = best[at]
+    return at, anchor, gram[anchor], shingles(h, RUN)[at]
+
+
+def _windows(column):
+    """For each block of rows: its first row, each word's row, the first word of each row, and what anchored() gives."""
+    u8, offs = strings(column)
+    for a, b in spans(offs):
+        cut = offs[a : b + 1] - offs[a]
+        h, at, _ = runs(u8[offs[a] : offs[b]], cut, space_classes(), byte_values(True))
+        row = np.searchsorted(cut, at, "right") - 1
+        yield a, row, np.searchsorted(row, np.arange(b - a)), *anchored(h, row)
+
+
+def anchors(docs: DataFrame, text: str) -> DataFrame:
+    """item: the hash of each anchor, once for each place."""
+    def run(batches):
+        for b in batches:
+            for *_, anchor, g, _ in _windows(b.column("t")):
+                new = np.flatnonzero(np.diff(anchor, prepend=-1))
+                yield pa.RecordBatch.from_arrays([pa.array(g[new].view(np.int64))], names=["item"])
+
+    return docs.select(F.col(text).alias("t")).mapInArrow(run, "item bigint")
+
+
+def occurrences(docs: DataFrame, key: str, text: str, several: DataFrame) -> DataFrame:
+    """item (anchor), doc, word (of the first window), s (hashes of the windows with this anchor, one after the other), for at least the anchors of several."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(filter_of(several, ANCHOR_BITS)))  # a fixed size
+
+    def run(batches):
+        bits = shared.value
+        for b in batches:
+            doc = b.column("doc")
+            for a, row, begin, at, anchor, g, w in _windows(b.column("t")):
+                new = np.flatnonzero(np.diff(anchor, prepend=-1))
+                end = np.append(new[1:], len(at))
+                item = g[new].view(np.int64)
+                place = places(item, ANCHOR_BITS)
+                hit = (bits[place >> 3] >> (7 - (place & 7))) & 1 > 0
+                new, end, item = new[hit], end[hit], item[hit]
+                own = row[at[new]]
+                # a document's windows with one anchor follow each other
+                s = pa.array([w[i:j].tobytes() for i, j in zip(new.tolist(), end.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(item), doc.take(pa.array(a + own)), pa.array(at[new] - begin[own]), s], names=["item", "doc", "word", "s"])
+
+    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("t")).mapInArrow(run, "item bigint, doc bigint, word bigint, s binary")
+
+
+def _repeated(item, doc, word, s):
+    """Spans of windows that occur at several places; whole anchors' rows."""
+    n = np.array([len(x) // 8 for x in s], np.int64)
+    of = np.repeat(np.arange(len(n)), n)
+    w = np.frombuffer(b"".join(s), U64)
+    at = word[of] + np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
+    order = np.lexsort((at, doc[of], w))
+    w, of, at = w[order], of[order], at[order]
+    first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+    size = np.diff(first, append=len(w))
+    last = first + size - 1
+    head = np.repeat(first, size)
+    same = (doc[of] == doc[of[head]]) & (at == at[head])
+    end = np.repeat(last, size)
+    several = (doc[of[head]] != doc[of[end]]) | (at[head] != at[end])
+    # one span for each row and whether it is to be removed: its windows all hold the anchor
+    of, at, gone, from_ = of[several], at[several], ~same[several], doc[of[head]][several]
+    by = of * 2 + gone
+    order = np.lexsort((at, by))
+    by, of, at, gone, from_ = (x[order] for x in (by, of, at, gone, from_))
+    if not len(by):
+        return by, by, by, gone, by, by
+    first = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]]))
+    last = np.append(first[1:], len(by)) - 1
+    return doc[of[first]], at[first], at[last] + RUN, gone[first], item[of[first]], np.minimum.reduceat(from_, first)
+
+
+def equal_runs(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """doc, lo, hi (words), gone, class_id (the anchor), first: spans of windows that occur at several places."""
+    names = ["doc", "lo", "hi", "gone", "class_id", "first"]
+    several = stored(anchors(docs.where(F.col(key).isNotNull()), text).groupBy("item").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("item"), "anchors")
+
+    def run(batches):
+        kept = None
+        for b in _and_none(batches):
+            t = None if b is None else pa.Table.from_batches([b])
+            whole = kept if b is None else (t if kept is None else pa.concat_tables([kept, t]))
+            if whole is None or not len(whole):
+                continue
+            item = whole.column("item").to_numpy()
+            # the last anchor's rows may go on in the next batch
+            cut = len(item) if b is None else int(np.flatnonzero(item != item[-1])[-1] + 1) if item[0] != item[-1] else 0
+            now, kept = whole.slice(0, cut), whole.slice(cut)
+            if cut:
+                got = _repeated(item[:cut], now.column("doc").to_numpy(), now.column("word").to_numpy(), now.column("s").to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=names)
+
+    rows = occurrences(docs, key, text, several).repartition("item").sortWithinPartitions("item")
+    return rows.mapInArrow(run, "doc bigint, lo bigint, hi bigint, gone boolean, class_id bigint, first bigint")
+
+
+def _and_none(batches):
+    yield from batches
+    yield None
+
+
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """key, first_unit, last_unit, n_words, removed_words, class_ids, first_doc_id (of the passage's first class): one row for each repeated passage."""
+    """key, first_word, last_word (numbers in the document), n_words, removed_words, class_ids, first_doc_id (the least document of its classes): one row for each repeated passage."""
+    equal = stored(equal_runs(docs, key, text), "equal")
     rows = stored(unit_rows(docs, key, text), "units")
     bands = [f"b{i}" for i in range(BANDS)]
     items = rows.groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), *(F.max(b).alias(b) for b in bands))
@@ -152,11 +285,17 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words:
     pick = lambda _, small: bitmaps(sets) if small else sets
     linked = stored(link(index, lambda pairs: verified(pairs, pick, NUM, DEN), NUM, DEN, shared=shared), "linked")
     classes = items.where("c > 1").select("item").union(linked.select("item")).distinct().join(linked.select("item", "comp"), "item", "left").select("item", F.coalesce("comp", "item").alias("class_id"))
-    found = rows.select("doc", "unit", "n_words", "item").join(classes, "item").select("doc", "unit", "n_words", "class_id")
+    found = rows.select("doc", "unit", "word", "n_words", "item").join(classes, "item").select("doc", "unit", "word", "n_words", "class_id")
     found = stored(found, "repeated")
     heads = found.groupBy("class_id").agg(F.min(F.struct("doc", "unit")).alias("head"))
-    w = Window.partitionBy("doc").orderBy("unit")
-    runs_ = found.join(heads, "class_id").withColumn("run", F.col("unit") - F.dense_rank().over(w))
-    removed = F.when((F.col("doc") == F.col("head.doc")) & (F.col("unit") == F.col("head.unit")), 0).otherwise(F.col("n_words"))
-    got = runs_.withColumn("gone", removed).groupBy("doc", "run").agg(F.min("unit").alias("first_unit"), F.max("unit").alias("last_unit"), F.sum("n_words").alias("n_words"), F.sum("gone").alias("removed_words"), F.sort_array(F.collect_set("class_id")).alias("class_ids"), F.min("head.doc").alias("first_doc_id"))
-    return got.where(F.col("n_words") >= min_words).select(F.col("doc").alias(key), "first_unit", "last_unit", "n_words", "removed_words", "class_ids", "first_doc_id")
+    gone = (F.col("doc") != F.col("head.doc")) | (F.col("unit") != F.col("head.unit"))
+    near = found.join(heads, "class_id").select("doc", F.col("word").alias("lo"), (F.col("word") + F.col("n_words")).alias("hi"), gone.alias("gone"), "class_id", F.col("head.doc").alias("first"))
+    # spans that touch or overlap are one passage
+    w = Window.partitionBy("doc").orderBy("lo", "hi")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    new = F.coalesce(F.col("lo") > F.max("hi").over(before), F.lit(True))
+    fresh = F.greatest(F.col("hi") - F.greatest(F.col("lo"), F.coalesce(F.max(F.when(F.col("gone"), F.col("hi"))).over(before), F.lit(0))), F.lit(0))
+    runs_ = near.unionByName(equal).withColumn("new", new).withColumn("removed", F.when(F.col("gone"), fresh).otherwise(0)).withColumn("run", F.sum(F.col("new").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    got = runs_.groupBy("doc", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("removed").alias("removed_words"), F.sort_array(F.collect_set("class_id")).alias("class_ids"), F.min("first").alias("first_doc_id"))
+    got = got.withColumn("n_words", F.col("hi") - F.col("lo")).where(F.col("n_words") >= min_words)
+    return got.select(F.col("doc").alias(key), F.col("lo").alias("first_word"), (F.col("hi") - 1).alias("last_word"), "n_words", "removed_words", "class_ids", "first_doc_id")

@@ -91,6 +91,16 @@ def components(rows, num: int = 75, den: int = 100):
     return {d: (len(s), find_root(parent, d)) for d, s in sets.items()}
 
 
+def repeated_words(rows, run: int = 40):
+    """The words (document, number) that lie in a run of so many words that occurs at several places."""
+    at = defaultdict(set)
+    for d, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+        for i in range(len(w) - run + 1):
+            at[tuple(w[i : i + run])].add((d, i))
+    return {(d, i + j) for v in at.values() if len(v) > 1 for d, i in v for j in range(run)}
+
+
 def edits(rows):
     rows = sorted((d, t or "") for d, t in rows)
     out = {}

@@ -139,6 +139,30 @@ def test_paragraph_dedup(spark, empty):
     assert paragraph_dedup.repeats(empty).count() == 0
 
 
+def test_paragraph_dedup_inside_lines(spark):
+    r = np.random.default_rng(5)
+    own = lambda n: [f"o{x}" for x in r.integers(0, 10**9, n)]
+    rows = []
+    for k, n in enumerate(range(40, 81, 2)):
+        passage = [f"s{k}x{i}" for i in range(n)]
+        for around in ((4, 12), (150, 200)):
+            before, after = own(around[0]), own(around[1])
+            rows.append((len(rows), " ".join(before + passage + after)))
+    cut = [f"c{i}" for i in range(60)]
+    rows += [(100, " ".join(own(9) + cut + own(90))), (101, " ".join(own(70) + cut[:33]) + "\n" + " ".join(cut[33:] + own(30))), (102, " ".join(own(300))), (103, " ".join(cut[:39] + own(5)))]
+    rows += [(104, " ".join((own(3) + cut[10:55]) * 2))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.repeated_words(rows)
+    assert {(p.doc, i) for p in paragraph_dedup.equal_runs(docs, "doc_id", "text").collect() for i in range(p.lo, p.hi)} == want
+    got = paragraph_dedup.repeats(docs).collect()
+    # near copies of units may add words beside a passage, but lose none
+    assert {(p.doc_id, i) for p in got for i in range(p.first_word, p.last_word + 1)} >= want
+    assert {p.doc_id for p in got} == {d for d, _ in want} == {d for d, _ in rows} - {102, 103}
+    gone = {d: sum(p.removed_words for p in got if p.doc_id == d) for d in range(len(rows) - 5)}
+    first = lambda d: d % 2 == 0
+    assert all(n == 0 if first(d) else n >= 40 + d // 2 * 2 for d, n in gone.items())
+
+
 def test_folds(spark):
     rows = spark.range(200).select("id", fold(F.col("id"), 5).alias("f")).collect()
     assert all(r.f == brute.fold(r.id, 5) for r in rows)
