@@ -134,10 +134,10 @@ def hubs(shared: DataFrame) -> DataFrame:
 
 
 def link(index: DataFrame, verify: Callable[[DataFrame], DataFrame], num: int, den: int, groups: DataFrame | None = None, positional: bool = False, shared: DataFrame | None = None) -> DataFrame:
-    """item, comp, links for items that are linked to any other.
+    """item, comp for items that are linked to any other.
 
     index(token, item, n, pos): n is the size of the item's set; with positional, pos is the token's place in the item's ordered set. groups(item,
-    member): further items that stand behind an item of index, of equal n and tokens. links is the number of verified pairs of the item: a lower bound of its partners. shared: shared_tokens(index), where it is stored already.
+    member): further items that stand behind an item of index, of equal n and tokens. shared: shared_tokens(index), where it is stored already.
     """
     def fits(n, m, p, q):
         """Sizes allow a match; with positions, also what is left from the first common token on."""
@@ -173,10 +173,7 @@ def link(index: DataFrame, verify: Callable[[DataFrame], DataFrame], num: int, d
     done = first.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
     rest = rest.select("a", "b").distinct().join(done, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
     rest = stored(rest, "pairs")
-    links = one
     if rest.limit(1).count():
         two = stored(verify(rest), "links")
-        links = one.union(two)
         comp = stored(components(comp.select(F.col("item").alias("a"), F.col("comp").alias("b")).union(two)), "comps")
-    number = links.select(F.explode(F.array("a", "b")).alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("links"))
-    return comp.join(number, "item", "left").select("item", "comp", F.coalesce("links", F.lit(0)).alias("links"))
+    return comp

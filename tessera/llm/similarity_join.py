@@ -7,6 +7,10 @@ values of both have one in common (prefix filter). Documents with equal prefix a
 group, which stands in the index once; equal sets are one member. Pairs of groups pass a length and a
 positional filter, then members are verified exactly on whole sets.
 
+The search for components skips pairs that are connected already, so links are counted afterwards: all pairs of
+different sets of a component are compared, in pairs of blocks of about BLOCK sets or BLOCK_VALUES values. The
+number of links is that of other classes whose set links; documents with equal sets have the same number.
+
 Cases: null and empty texts have an empty set and link with nothing; null keys link with nothing and are their own
 class (null). Rows of equal key are one document for links; each row is returned. Without documents, no rows.
 """
@@ -27,6 +31,8 @@ NUM, DEN = 75, 100
 #: Buckets of the rarity counts; a fixed size. Any order that all sets share gives right results; counts make it a fast one.
 RARITY_BITS = 18
 _WIDTH = 1 << 13
+#: Sets of a block, and their values, about; a task's memory is that of two blocks and of COLUMNS columns for their sets.
+BLOCK, BLOCK_VALUES, COLUMNS = 256, 1 << 19, 1 << 12
 
 
 def sets(column, k: int = SHINGLE):
@@ -124,8 +130,69 @@ def set_maker(docs: DataFrame, key: str, text: str, k: int):
     return make
 
 
+def sets_of(docs: DataFrame, key: str, text: str, k: int, wanted: DataFrame) -> DataFrame:
+    """item (a set's hash), s (the set) for at least the items of wanted, each once."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(filter_of(wanted)))  # a fixed size
+
+    def run(batches):
+        bits, seen = np.unpackbits(shared.value).view(bool), set()
+        for b in batches:
+            out = {}
+            for s in sets(b.column("t"), k):
+                h = _hash(s, 0)
+                if len(s) and h not in seen and h not in out and bits[places(np.array([h]))[0]]:
+                    out[h] = s.tobytes()
+            if len(seen) < 1 << 20:
+                seen.update(out)
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["item", "s"])
+
+    return docs.where(F.col(key).isNotNull()).select(F.col(text).alias("t")).mapInArrow(run, "item bigint, s binary").join(wanted, "item", "left_semi").dropDuplicates(["item"])
+
+
+def partners(found: list[np.ndarray], block: np.ndarray, num: int, den: int) -> np.ndarray:
+    """How many sets link with each: those of the other block, or with one block only all others of it."""
+    n = np.array([len(s) for s in found])
+    row, (_, col, c) = np.repeat(np.arange(len(n)), n), np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+    shared = c[col] > 1
+    row, col = row[shared], np.unique(col[shared], return_inverse=True)[1]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    both = np.zeros((len(n), len(n)))
+    for a in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+        i, j = np.searchsorted(col, (a, a + COLUMNS))
+        has = np.zeros((len(n), min(COLUMNS, int(col[-1]) + 1 - a)), np.float32)
+        has[row[i:j], col[i:j] - a] = 1
+        both += has @ has.T
+    links = (both > 0) & (den * both >= num * (n[:, None] + n[None, :] - both))
+    links &= block[:, None] != block[None, :] if (block != block[0]).any() else ~np.eye(len(n), dtype=bool)
+    return links.sum(axis=1)
+
+
+def link_numbers(docs: DataFrame, members: DataFrame, key: str, text: str, num: int, den: int, k: int) -> DataFrame:
+    """item, links: the exact number of other members(item, n, comp) of the component whose sets link. Members are hashes of sets."""
+    size = members.groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("values")).where("m > 1")
+    blocks = F.least("m", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("values") / BLOCK_VALUES))).cast("int")
+    members = stored(members.join(size, "comp").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int")), "members")
+    # two different sets of one component link with each other and with nothing else
+    two, more = members.where("m = 2").select("item", F.lit(1).cast("bigint").alias("links")), members.where("m > 2")
+    whole = stored(sets_of(docs, key, text, k, more.select("item")), "members-sets").join(more.select("item", "comp", "blocks", "block"), "item")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = whole.select("item", "s", "comp", "block", other).select("item", "s", "comp", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+
+    def count(t):
+        # a pair of blocks of which one is empty has nothing to compare
+        block = t.column("block").to_numpy()
+        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        found = [np.frombuffer(x, U64) for x in t.column("s").to_pylist()]
+        links = partners(found, block, num, den) if lo == hi or (block != block[0]).any() else np.zeros(len(block), np.int64)
+        return pa.table({"item": t.column("item"), "links": pa.array(links.astype(np.int64))})
+
+    got = dealt.groupBy("comp", "lo", "hi").applyInArrow(count, "item bigint, links bigint")
+    return two.union(got.groupBy("item").agg(F.sum("links").alias("links")))
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = NUM, den: int = DEN, k: int = SHINGLE) -> DataFrame:
-    """key, n_shingles, component_id, class_id (least document with an equal set), links; one row for each row of docs."""
+    """key, n_shingles, component_id, class_id (least document with an equal set), links (with other classes); one row for each row of docs."""
     counts = rarity(docs, text, k)
     rows = stored(prefixes(docs, counts, key, text, num, den, k, False), "sets")
     some = rows.where("n > 0 and doc is not null")
@@ -147,12 +214,13 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = NU
         return named.join(good.select(F.col("a").alias("da"), F.col("b").alias("db")), ["da", "db"], "left_semi").select("a", "b")
 
     linked = stored(link(index, verify, num, den, groups, positional=True), "linked")
-    named = stored(reps.join(linked, "item", "left").select("h", "g", "n", "rep", F.coalesce("comp", "item").alias("comp"), F.coalesce("links", F.lit(0)).alias("links")), "named")
+    named = stored(reps.join(linked, "item", "left").select("h", "g", "n", "rep", F.coalesce("comp", "item").alias("comp")), "named")
     least = named.groupBy("comp").agg(F.min("rep").alias("least"))
-    labels = named.join(least, "comp").drop("comp")
+    number = link_numbers(docs, named.select(F.col("h").alias("item"), "n", "comp"), key, text, num, den, k).select(F.col("item").alias("h"), "links")
+    labels = named.join(least, "comp").drop("comp").join(number, "h", "left")
     own = (F.col("n") > 0) & F.col("doc").isNotNull()
     got = rows.join(labels, ["h", "g", "n"], "left")
-    return got.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(own, F.col("least")).otherwise(F.col("doc")).alias("component_id"), F.when(own, F.col("rep")).otherwise(F.col("doc")).alias("class_id"), F.when(own, F.col("links")).otherwise(F.lit(0)).alias("links"))
+    return got.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(own, F.col("least")).otherwise(F.col("doc")).alias("component_id"), F.when(own, F.col("rep")).otherwise(F.col("doc")).alias("class_id"), F.when(own, F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).alias("links"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:

@@ -101,6 +101,14 @@ def repeated_words(rows, run: int = 40):
     return {(d, i + j) for v in at.values() if len(v) > 1 for d, i in v for j in range(run)}
 
 
+def links(rows, num: int = 75, den: int = 100):
+    """The number of other sets that link with each document's."""
+    sets = {d: shingle_set(t) for d, t in rows}
+    every = set(sets.values())
+    one = {s: sum(1 for o in every if o != s and (n := len(s & o)) and den * n >= num * len(s | o)) for s in every}
+    return {d: (one[s],) for d, s in sets.items()}
+
+
 def edits(rows):
     rows = sorted((d, t or "") for d, t in rows)
     out = {}

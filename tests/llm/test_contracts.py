@@ -81,6 +81,24 @@ def test_jaccard_join(edge, empty):
     assert similarity_join.join(empty).count() == 0
 
 
+def test_jaccard_join_counts_all_links(spark, monkeypatch):
+    monkeypatch.setattr(similarity_join, "BLOCK", 7)
+    monkeypatch.setattr(similarity_join, "COLUMNS", 32)
+    r = np.random.default_rng(7)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(0, " ".join(base)), (1, " ".join(base + ["a"])), (2, " ".join(base + ["b", "c"])), (3, " ".join(base)), (4, "alone here"), (5, None)]
+    other = [f"v{i}" for i in range(80)]
+    for d in range(10, 50):
+        w = list(other)
+        for at in r.integers(0, 80, r.integers(0, 4)):
+            w[at] = f"e{d}x{at}"
+        rows.append((d, " ".join(w)))
+    rows += [(60, "p q r s t u v w x y z"), (61, "p q r s t u v w x y z a"), (62, "m n o"), (63, "M n  o")]
+    want = brute.links(rows)
+    assert [want[d][0] for d in (0, 1, 2, 3, 4, 60, 61, 62)] == [2, 2, 2, 2, 0, 1, 1, 0] and len({want[d] for d in range(10, 50)}) > 3
+    assert got(similarity_join.join(spark.createDataFrame(rows, "doc_id long, text string")), ("links",)) == want
+
+
 def test_fingerprints(spark, edge, empty):
     out = fingerprints.with_edits(edge)
     assert got(out, ("n_chars", "edited_sha256")) == brute.edits(PAIRS)
