@@ -184,7 +184,7 @@ def sum_slices(rows: DataFrame, width: int, bits: int) -> np.ndarray:
     import zlib
 
     out = np.zeros(1 << bits, np.int64)
-    for r in first.groupBy("slice").applyInArrow(add, schema).select("slice", "counts").toLocalIterator():
+    for r in first.groupBy("slice").applyInArrow(add, schema).select("slice", "counts").collect():
         out[r[0] * width : (r[0] + 1) * width] = np.frombuffer(zlib.decompress(bytes(r[1])), np.int64)
     return out
 

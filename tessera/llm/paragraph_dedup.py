@@ -2,8 +2,8 @@
 
 Near copies: units are lines; a line of more than LONG words is cut where its words' hashes say so. A
 unit's set are its distinct five-word shingles. Equal word sequences are one item. BANDS bands of ROWS MinHash
-values make nearly all pairs at the threshold collide (0.9986 at Jaccard 0.75); colliding items are verified
-by exact Jaccard, and components are classes of repeats.
+values are tuned for recall: 0.9987 of the pairs at Jaccard 0.75 collide, more above it; items in one band's family are verified
+by exact Jaccard, and components are classes of repeats. Units of fewer than LEAST shingles match only if they are equal: they have no bands.
 
 Equal runs: every RUN consecutive words of a document, across lines and from any word on, are a window. A window's anchor
 is its GRAM words with the least hash, so equal windows have equal anchors. Windows whose anchor stands at several places are
@@ -24,17 +24,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import U64, by_value, byte_values, mix, runs, shingles, shingles_at, space_classes, spans, stored, strings
-from tessera.llm.linking import bitmap, filter_of, link, places, shared_tokens, verified
+from tessera.llm.linking import _and_none, bitmap, components, families, filter_of, link, passing
 
 by_value(__name__)
 SHINGLE = 5
 NUM, DEN = 75, 100
-BANDS, ROWS = 12, 3
+BANDS, ROWS = 8, 2
+LEAST = 3
+#: Least bits of a unit's bitmap.
+BITS = 512
 MIN_WORDS = 40
 #: Words of a window and of its anchor.
 RUN, GRAM = 40, 8
 #: Bits of the filter over anchors that occur several times; a fixed size. What passes it is compared exactly.
 ANCHOR_BITS = 26
+#: Anchors at more places than this go by way of their windows, which are combined before they are moved.
+HOT = 4096
 LONG = 80
 CUT_MIN, CUT_MASK = 12, 15
 #: Lower bits of a shingle that are left out.
@@ -102,52 +107,68 @@ def _blocks(column):
 
 
 def unit_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc, unit (number in the document), word (its first one's number), n_words, n, item (hash of the words in order), b0.. (band hashes)."""
+    """doc, unit (number in the document), word (its first one's number), n_words, item (hash of the words in order), bands (hashes as binary, null for small sets)."""
     seeds = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
-    names = ["doc", "unit", "word", "n_words", "n", "item", *(f"b{i}" for i in range(BANDS))]
+    names = ["doc", "unit", "word", "n_words", "item"]
 
     def run(batches):
+        seen = set()
         for b in batches:
             docs_ = b.column("doc")
             for row, first, ends, s, n, at, item in _blocks(b.column("t")):
-                bands = []
+                out = np.empty((len(n), BANDS), U64)
                 for i in range(BANDS):
                     acc = np.full(len(n), U64(i + 1))
                     for j in range(ROWS):
                         v = s * seeds[i * ROWS + j]
                         acc = mix(acc * U64(31) + np.minimum.reduceat(v ^ (v >> U64(32)), at))
-                    bands.append(acc.view(np.int64))
+                    out[:, i] = acc
+                new = [m >= LEAST and x not in seen for m, x in zip(n.tolist(), item.tolist(), strict=True)]
+                if len(seen) < 1 << 20:
+                    seen.update(item.tolist())
+                bands = pa.array([x.tobytes() if y else None for x, y in zip(out, new, strict=True)], pa.binary())
                 fresh = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
                 number = np.arange(len(row)) - np.repeat(fresh, np.diff(fresh, append=len(row)))
                 word = first - np.repeat(first[fresh], np.diff(fresh, append=len(row)))
-                yield pa.RecordBatch.from_arrays([docs_.take(pa.array(row)), pa.array(number), pa.array(word), pa.array(ends - first), pa.array(n.astype(np.int64)), *(pa.array(x) for x in (item, *bands))], names=names)
+                yield pa.RecordBatch.from_arrays([docs_.take(pa.array(row)), *(pa.array(x) for x in (number, word, ends - first, item)), bands], names=[*names, "bands"])
 
-    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("t")).mapInArrow(run, ", ".join(f"{x} bigint" for x in names))
+    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("t")).mapInArrow(run, ", ".join(f"{x} bigint" for x in names) + ", bands binary")
 
 
-def unit_sets(docs: DataFrame, text: str, items: DataFrame) -> DataFrame:
-    """item, s (sorted shingles) for at least the items, each once."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(filter_of(items)))  # a fixed size
+def tokens(rows: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
+    """token, item: the units' bands; with bits only those that pass this filter."""
+    shared = None if bits is None else rows.sparkSession.sparkContext.broadcast(bits)  # a fixed size
 
     def run(batches):
-        bits, seen = np.unpackbits(shared.value).view(bool), set()
         for b in batches:
-            for _, _, _, s, n, at, item in _blocks(b.column("t")):
-                some = [i for i in np.flatnonzero(bits[places(item)]).tolist() if int(item[i]) not in seen]
-                one = dict(zip((int(item[i]) for i in some), some, strict=True))
-                if len(seen) < 1 << 20:
-                    seen.update(one)
-                yield pa.RecordBatch.from_arrays([pa.array(list(one), pa.int64()), pa.array([s[at[i] : at[i] + n[i]].tobytes() for i in one.values()], pa.binary())], names=["item", "s"])
+            token = np.frombuffer(b"".join(x.as_buffer() for x in b.column("bands")), np.int64)
+            item = np.repeat(b.column("item").to_numpy(), BANDS)
+            if shared is not None:
+                hit = passing(shared.value, token)
+                token, item = token[hit], item[hit]
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(item)], names=["token", "item"])
+
+    return rows.where("bands is not null").select("item", "bands").mapInArrow(run, "token bigint, item bigint")
 
-    return docs.select(F.col(text).alias("t")).mapInArrow(run, "item bigint, s binary").dropDuplicates(["item"])
 
+def unit_sets(docs: DataFrame, text: str, items: DataFrame, small: bool) -> DataFrame:
+    """item, s (sorted shingles) for at least the items, each once; with small item, n, bits (their number and bitmap)."""
+    shared = docs.sparkSession.sparkContext.broadcast(filter_of(items))  # a fixed size
+    names = ["item", "n", "bits"] if small else ["item", "s"]
 
-def bitmaps(sets: DataFrame) -> DataFrame:
     def run(batches):
+        bits, seen = shared.value, set()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("item"), pa.array([bitmap(np.frombuffer(s.as_buffer(), U64)) for s in b.column("s")], pa.binary())], names=["item", "s"])
+            for _, _, _, s, n, at, item in _blocks(b.column("t")):
+                some = [i for i in np.flatnonzero(passing(bits, item)).tolist() if int(item[i]) not in seen]
+                one = dict(zip((int(item[i]) for i in some), some, strict=True))
+                if len(seen) < 1 << 20:
+                    seen.update(one)
+                found = [s[at[i] : at[i] + n[i]] for i in one.values()]
+                rest = [pa.array([len(x) for x in found], pa.int64()), pa.array([bitmap(x, BITS) for x in found], pa.binary())] if small else [pa.array([x.tobytes() for x in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(list(one), pa.int64()), *rest], names=names)
 
-    return sets.mapInArrow(run, "item bigint, s binary")
+    return docs.select(F.col(text).alias("t")).mapInArrow(run, "item bigint, n bigint, bits binary" if small else "item bigint, s binary").dropDuplicates(["item"])
 
 
 def anchored(h: np.ndarray, row: np.ndarray):
@@ -193,27 +214,26 @@ def anchors(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col(text).alias("t")).mapInArrow(run, "item bigint")
 
 
-def occurrences(docs: DataFrame, key: str, text: str, several: DataFrame) -> DataFrame:
-    """item (anchor), doc, word (of the first window), s (hashes of the windows with this anchor, one after the other), for at least the anchors of several."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(filter_of(several, ANCHOR_BITS)))  # a fixed size
+def occurrences(docs: DataFrame, key: str, text: str, several: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """item (anchor), doc, word (of the first window), s (hashes of the windows with this anchor, one after the other), hot, for at least the anchors of several. several, hot: filters."""
+    shared = docs.sparkSession.sparkContext.broadcast((several, hot))  # a fixed size
 
     def run(batches):
-        bits = shared.value
+        bits, hot = shared.value
         for b in batches:
             doc = b.column("doc")
             for a, row, begin, at, anchor, g, w in _windows(b.column("t")):
                 new = np.flatnonzero(np.diff(anchor, prepend=-1))
                 end = np.append(new[1:], len(at))
                 item = g[new].view(np.int64)
-                place = places(item, ANCHOR_BITS)
-                hit = (bits[place >> 3] >> (7 - (place & 7))) & 1 > 0
+                hit = passing(bits, item, ANCHOR_BITS)
                 new, end, item = new[hit], end[hit], item[hit]
                 own = row[at[new]]
                 # a document's windows with one anchor follow each other
                 s = pa.array([w[i:j].tobytes() for i, j in zip(new.tolist(), end.tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(item), doc.take(pa.array(a + own)), pa.array(at[new] - begin[own]), s], names=["item", "doc", "word", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(item), doc.take(pa.array(a + own)), pa.array(at[new] - begin[own]), s, pa.array(passing(hot, item, ANCHOR_BITS))], names=["item", "doc", "word", "s", "hot"])
 
-    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("t")).mapInArrow(run, "item bigint, doc bigint, word bigint, s binary")
+    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("t")).mapInArrow(run, "item bigint, doc bigint, word bigint, s binary, hot boolean")
 
 
 def _repeated(item, doc, word, s):
@@ -246,7 +266,9 @@ def _repeated(item, doc, word, s):
 def equal_runs(docs: DataFrame, key: str, text: str) -> DataFrame:
     """doc, lo, hi (words), gone, class_id (the anchor), first: spans of windows that occur at several places."""
     names = ["doc", "lo", "hi", "gone", "class_id", "first"]
-    several = stored(anchors(docs.where(F.col(key).isNotNull()), text).groupBy("item").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("item"), "anchors")
+    several = stored(anchors(docs.where(F.col(key).isNotNull()), text).groupBy("item").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "anchors")
+    found = occurrences(docs, key, text, filter_of(several, ANCHOR_BITS), filter_of(several.where(F.col("c") > HOT), ANCHOR_BITS))
+    found = stored(found, "occurrences")
 
     def run(batches):
         kept = None
@@ -263,28 +285,34 @@ def equal_runs(docs: DataFrame, key: str, text: str) -> DataFrame:
                 got = _repeated(item[:cut], now.column("doc").to_numpy(), now.column("word").to_numpy(), now.column("s").to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=names)
 
-    rows = occurrences(docs, key, text, several).repartition("item").sortWithinPartitions("item")
-    return rows.mapInArrow(run, "doc bigint, lo bigint, hi bigint, gone boolean, class_id bigint, first bigint")
-
-
-def _and_none(batches):
-    yield from batches
-    yield None
+    def apart(batches):
+        for b in batches:
+            s = [x.as_buffer() for x in b.column("s")]
+            n = np.array([len(x) // 8 for x in s], np.int64)
+            of = np.repeat(np.arange(len(n)), n)
+            at = b.column("word").to_numpy()[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(s), np.int64)), b.column("doc").take(pa.array(of)), pa.array(at), b.column("item").take(pa.array(of))], names=["w", "doc", "at", "item"])
+
+    rows = found.where("not hot").repartition("item").sortWithinPartitions("item")
+    few = rows.select("item", "doc", "word", "s").mapInArrow(run, "doc bigint, lo bigint, hi bigint, gone boolean, class_id bigint, first bigint")
+    windows = found.where("hot").mapInArrow(apart, "w bigint, doc bigint, at bigint, item bigint")
+    place = F.struct("doc", "at")
+    heads = windows.groupBy("w").agg(F.min(place).alias("head"), F.max(place).alias("tail")).where("head != tail").select("w", "head")
+    gone = (F.col("doc") != F.col("head.doc")) | (F.col("at") != F.col("head.at"))
+    many = windows.join(heads, "w").select("doc", F.col("at").alias("lo"), (F.col("at") + RUN).alias("hi"), gone.alias("gone"), F.col("item").alias("class_id"), F.col("head.doc").alias("first"))
+    return few.unionByName(many)
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """key, first_word, last_word (numbers in the document), n_words, removed_words, class_ids, first_doc_id (the least document of its classes): one row for each repeated passage."""
     equal = stored(equal_runs(docs, key, text), "equal")
     rows = stored(unit_rows(docs, key, text), "units")
-    bands = [f"b{i}" for i in range(BANDS)]
-    items = rows.groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), *(F.max(b).alias(b) for b in bands))
-    items = stored(items, "items")
-    index = items.select("item", "n", F.explode(F.array(*bands)).alias("token")).select("token", "item", "n", F.lit(0).alias("pos"))
-    shared = stored(shared_tokens(index), "shared")
-    sets = stored(unit_sets(docs.where(F.col(key).isNotNull()), text, shared), "sets")
-    pick = lambda _, small: bitmaps(sets) if small else sets
-    linked = stored(link(index, lambda pairs: verified(pairs, pick, NUM, DEN), NUM, DEN, shared=shared), "linked")
-    classes = items.where("c > 1").select("item").union(linked.select("item")).distinct().join(linked.select("item", "comp"), "item", "left").select("item", F.coalesce("comp", "item").alias("class_id"))
+    repeated = rows.groupBy("item").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("item")
+    fams = stored(families(tokens(rows), lambda bits: tokens(rows, bits)).groupBy("item").agg(F.collect_set("p").alias("fams")), "families")
+    have = docs.where(F.col(key).isNotNull())
+    members = unit_sets(have, text, fams, True).join(fams, "item").select(F.explode("fams").alias("p"), "item", "n", "bits", "fams")
+    linked = components(link(members, lambda items: unit_sets(have, text, items, False), NUM, DEN).select(F.col("item").alias("a"), F.col("root").alias("b")))
+    classes = repeated.union(linked.select("item")).distinct().join(linked, "item", "left").select("item", F.coalesce("comp", "item").alias("class_id"))
     found = rows.select("doc", "unit", "word", "n_words", "item").join(classes, "item").select("doc", "unit", "word", "n_words", "class_id")
     found = stored(found, "repeated")
     heads = found.groupBy("class_id").agg(F.min(F.struct("doc", "unit")).alias("head"))

@@ -4,12 +4,9 @@ A document's set are its distinct SHINGLE-word shingles (64-bit hashes); with fe
 sequence is one. Two documents link if DEN * intersection >= NUM * union. Sets are ordered by rarity:
 counts of hash buckets over all documents, then the hash. If two sets link, the first n - ceil(3n/4) + 1
 values of both have one in common (prefix filter). Documents with equal prefix and size form one
-group, which stands in the index once; equal sets are one member. Pairs of groups pass a length and a
-positional filter, then members are verified exactly on whole sets.
-
-The search for components skips pairs that are connected already, so links are counted afterwards: all pairs of
-different sets of a component are compared, in pairs of blocks of about BLOCK sets or BLOCK_VALUES values. The
-number of links is that of other classes whose set links; documents with equal sets have the same number.
+group, which stands in the index once; equal sets are one member. Families of groups that share prefix values are
+expanded to their members; pairs of members pass a length and a bitmap test, then they are verified exactly on whole sets.
+The number of links is that of other classes whose set links, counted over all pairs; documents with equal sets have the same number.
 
 Cases: null and empty texts have an empty set and link with nothing; null keys link with nothing and are their own
 class (null). Rows of equal key are one document for links; each row is returned. Without documents, no rows.
@@ -23,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import U64, by_value, byte_values, mix, runs, shingles, slices_of, space_classes, spans, stored, strings, sum_slices
-from tessera.llm.linking import bitmap, filter_of, link, places, verified
+from tessera.llm.linking import bitmap, components, families, filter_of, link, passing
 
 by_value(__name__)
 SHINGLE = 5
@@ -31,8 +28,8 @@ NUM, DEN = 75, 100
 #: Buckets of the rarity counts; a fixed size. Any order that all sets share gives right results; counts make it a fast one.
 RARITY_BITS = 18
 _WIDTH = 1 << 13
-#: Sets of a block, and their values, about; a task's memory is that of two blocks and of COLUMNS columns for their sets.
-BLOCK, BLOCK_VALUES, COLUMNS = 256, 1 << 19, 1 << 12
+#: Least bits of a set's bitmap, which drops most pairs before whole sets are moved.
+BITS = 2048
 
 
 def sets(column, k: int = SHINGLE):
@@ -81,146 +78,88 @@ def _hash(s: np.ndarray, salt: int) -> int:
         return int(mix(mix(s ^ U64(salt)).sum(dtype=U64) + U64(len(s))).view(np.int64)) if len(s) else 0
 
 
-def prefixes(docs: DataFrame, counts: np.ndarray, key: str, text: str, num: int, den: int, k: int, tokens: bool) -> DataFrame:
-    """doc, n, h (of the set), g (of size and prefix); with tokens instead: g, n, prefix, each group once in a task."""
+def prefixes(docs: DataFrame, counts: np.ndarray, key: str, text: str, num: int, den: int, k: int) -> DataFrame:
+    """doc, n, h (of the set), g (of size and prefix), prefix and bits (of the set); the last two once for each set in a task, else null."""
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))  # 2**RARITY_BITS numbers
 
     def run(batches):
         rare, seen = shared.value, set()
         for b in batches:
-            n, h, g, parts = [], [], [], []
+            n, h, g, prefix, bits = [], [], [], [], []
             for s in sets(b.column("t"), k):
-                m = len(s)
-                p = rarest(s, rare, m - -(-num * m // den) + 1)
-                own = _hash(p, m)
-                if tokens:
-                    if not m or own in seen:
-                        continue
-                    if len(seen) < 1 << 20:
-                        seen.add(own)
-                    parts.append(p.view(np.int64))
+                m, whole, own = len(s), _hash(s, 0), 0
+                fresh = m > 0 and whole not in seen
+                if m:
+                    p = rarest(s, rare, m - -(-num * m // den) + 1)
+                    own = _hash(p, m)
+                if fresh and len(seen) < 1 << 20:
+                    seen.add(whole)
                 n.append(m)
+                h.append(whole)
                 g.append(own)
-                h.append(0 if tokens else _hash(s, 0))
-            cols = {"g": pa.array(g, pa.int64()), "n": pa.array(n, pa.int64())}
-            if tokens:
-                flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-                cols["prefix"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]), pa.int32()), pa.array(flat))
-            else:
-                cols = {"doc": b.column("doc"), "h": pa.array(h, pa.int64())} | cols
-            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+                prefix.append(p.tobytes() if fresh else None)
+                bits.append(bitmap(s, BITS) if fresh else None)
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(g, pa.int64()), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())], names=["doc", "n", "h", "g", "prefix", "bits"])
 
-    schema = "g bigint, n bigint, prefix array<bigint>" if tokens else "doc bigint, h bigint, g bigint, n bigint"
-    return docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("t")).mapInArrow(run, schema)
+    return docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("t")).mapInArrow(run, "doc bigint, n bigint, h bigint, g bigint, prefix binary, bits binary")
 
 
-def set_maker(docs: DataFrame, key: str, text: str, k: int):
-    def make(items: DataFrame, small: bool) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(np.packbits(filter_of(items)))  # a fixed size
+def tokens(rows: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
+    """token, item: the prefixes' values with their group; with bits only values that pass this filter."""
+    shared = None if bits is None else rows.sparkSession.sparkContext.broadcast(bits)  # a fixed size
 
-        def run(batches):
-            bits = np.unpackbits(shared.value).view(bool)
-            for b in batches:
-                hit = pa.array(bits[places(b.column("item").to_numpy().astype(np.int64))])
-                b = b.filter(hit)
-                yield pa.RecordBatch.from_arrays([b.column("item"), pa.array([bitmap(s) if small else s.tobytes() for s in sets(b.column("t"), k)], pa.binary())], names=["item", "s"])
+    def run(batches):
+        for b in batches:
+            n = np.array([len(x.as_buffer()) // 8 for x in b.column("prefix")], np.int64)
+            token = np.frombuffer(b"".join(x.as_buffer() for x in b.column("prefix")), np.int64)
+            item = np.repeat(b.column("g").to_numpy(), n)
+            if shared is not None:
+                hit = passing(shared.value, token)
+                token, item = token[hit], item[hit]
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(item)], names=["token", "item"])
 
-        return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("item"), F.col(text).alias("t")).mapInArrow(run, "item bigint, s binary")
+    return rows.where("prefix is not null and doc is not null").select("g", "prefix").mapInArrow(run, "token bigint, item bigint")
 
-    return make
 
+def sets_of(docs: DataFrame, text: str, k: int):
+    """A function that gives item (a set's hash) and s (the set) for at least the items wanted, each once."""
+    def make(wanted: DataFrame) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(filter_of(wanted))  # a fixed size
 
-def sets_of(docs: DataFrame, key: str, text: str, k: int, wanted: DataFrame) -> DataFrame:
-    """item (a set's hash), s (the set) for at least the items of wanted, each once."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(filter_of(wanted)))  # a fixed size
+        def run(batches):
+            seen = set()
+            for b in batches:
+                for s in sets(b.column("t"), k):
+                    h = _hash(s, 0)
+                    if len(s) and h not in seen and passing(shared.value, np.array([h]))[0]:
+                        if len(seen) < 1 << 20:
+                            seen.add(h)
+                        # a set at a time, so that memory is that of one
+                        yield pa.RecordBatch.from_arrays([pa.array([h], pa.int64()), pa.array([s.tobytes()], pa.binary())], names=["item", "s"])
 
-    def run(batches):
-        bits, seen = np.unpackbits(shared.value).view(bool), set()
-        for b in batches:
-            out = {}
-            for s in sets(b.column("t"), k):
-                h = _hash(s, 0)
-                if len(s) and h not in seen and h not in out and bits[places(np.array([h]))[0]]:
-                    out[h] = s.tobytes()
-            if len(seen) < 1 << 20:
-                seen.update(out)
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["item", "s"])
-
-    return docs.where(F.col(key).isNotNull()).select(F.col(text).alias("t")).mapInArrow(run, "item bigint, s binary").join(wanted, "item", "left_semi").dropDuplicates(["item"])
-
-
-def partners(found: list[np.ndarray], block: np.ndarray, num: int, den: int) -> np.ndarray:
-    """How many sets link with each: those of the other block, or with one block only all others of it."""
-    n = np.array([len(s) for s in found])
-    row, (_, col, c) = np.repeat(np.arange(len(n)), n), np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
-    shared = c[col] > 1
-    row, col = row[shared], np.unique(col[shared], return_inverse=True)[1]
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    both = np.zeros((len(n), len(n)))
-    for a in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
-        i, j = np.searchsorted(col, (a, a + COLUMNS))
-        has = np.zeros((len(n), min(COLUMNS, int(col[-1]) + 1 - a)), np.float32)
-        has[row[i:j], col[i:j] - a] = 1
-        both += has @ has.T
-    links = (both > 0) & (den * both >= num * (n[:, None] + n[None, :] - both))
-    links &= block[:, None] != block[None, :] if (block != block[0]).any() else ~np.eye(len(n), dtype=bool)
-    return links.sum(axis=1)
-
-
-def link_numbers(docs: DataFrame, members: DataFrame, key: str, text: str, num: int, den: int, k: int) -> DataFrame:
-    """item, links: the exact number of other members(item, n, comp) of the component whose sets link. Members are hashes of sets."""
-    size = members.groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("values")).where("m > 1")
-    blocks = F.least("m", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("values") / BLOCK_VALUES))).cast("int")
-    members = stored(members.join(size, "comp").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int")), "members")
-    # two different sets of one component link with each other and with nothing else
-    two, more = members.where("m = 2").select("item", F.lit(1).cast("bigint").alias("links")), members.where("m > 2")
-    whole = stored(sets_of(docs, key, text, k, more.select("item")), "members-sets").join(more.select("item", "comp", "blocks", "block"), "item")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = whole.select("item", "s", "comp", "block", other).select("item", "s", "comp", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-
-    def count(t):
-        # a pair of blocks of which one is empty has nothing to compare
-        block = t.column("block").to_numpy()
-        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-        found = [np.frombuffer(x, U64) for x in t.column("s").to_pylist()]
-        links = partners(found, block, num, den) if lo == hi or (block != block[0]).any() else np.zeros(len(block), np.int64)
-        return pa.table({"item": t.column("item"), "links": pa.array(links.astype(np.int64))})
-
-    got = dealt.groupBy("comp", "lo", "hi").applyInArrow(count, "item bigint, links bigint")
-    return two.union(got.groupBy("item").agg(F.sum("links").alias("links")))
+        return docs.select(F.col(text).alias("t")).mapInArrow(run, "item bigint, s binary").dropDuplicates(["item"])
+
+    return make
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = NUM, den: int = DEN, k: int = SHINGLE) -> DataFrame:
     """key, n_shingles, component_id, class_id (least document with an equal set), links (with other classes); one row for each row of docs."""
     counts = rarity(docs, text, k)
-    rows = stored(prefixes(docs, counts, key, text, num, den, k, False), "sets")
+    rows = stored(prefixes(docs, counts, key, text, num, den, k), "sets")
     some = rows.where("n > 0 and doc is not null")
-    reps = some.groupBy("h", "g", "n").agg(F.min("doc").alias("rep"))
-    leads = reps.groupBy("g", "n").agg(F.min("rep").alias("lead"))
-    # the first member of a group goes by the group's hash, others by their set's
-    item = F.when(F.col("rep") == F.col("lead"), F.col("g")).otherwise(F.col("h"))
-    reps = stored(reps.join(leads, ["g", "n"]).select("h", "g", "n", "rep", "lead", item.alias("item")), "reps")
-    groups = reps.where("rep != lead").select(F.col("g").alias("item"), F.col("h").alias("member"))
-    index = prefixes(docs.where(F.col(key).isNotNull()), counts, key, text, num, den, k, True).select(F.col("g").alias("item"), "n", F.posexplode("prefix").alias("pos", "token")).select("token", "item", "n", "pos")
-    make = set_maker(docs, key, text, k)
-    doc_of = reps.select("item", "rep")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        """Pairs of items are verified as pairs of documents, and given back as items."""
-        side = lambda x, y: doc_of.select(F.col("item").alias(x), F.col("rep").alias(y))
-        named = stored(pairs.join(side("a", "da"), "a").join(side("b", "db"), "b"), "named")
-        good = verified(named.select(F.col("da").alias("a"), F.col("db").alias("b")), make, num, den)
-        return named.join(good.select(F.col("a").alias("da"), F.col("b").alias("db")), ["da", "db"], "left_semi").select("a", "b")
-
-    linked = stored(link(index, verify, num, den, groups, positional=True), "linked")
-    named = stored(reps.join(linked, "item", "left").select("h", "g", "n", "rep", F.coalesce("comp", "item").alias("comp")), "named")
-    least = named.groupBy("comp").agg(F.min("rep").alias("least"))
-    number = link_numbers(docs, named.select(F.col("h").alias("item"), "n", "comp"), key, text, num, den, k).select(F.col("item").alias("h"), "links")
-    labels = named.join(least, "comp").drop("comp").join(number, "h", "left")
-    own = (F.col("n") > 0) & F.col("doc").isNotNull()
-    got = rows.join(labels, ["h", "g", "n"], "left")
-    return got.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(own, F.col("least")).otherwise(F.col("doc")).alias("component_id"), F.when(own, F.col("rep")).otherwise(F.col("doc")).alias("class_id"), F.when(own, F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).alias("links"))
+    reps = stored(some.groupBy("h", "g", "n").agg(F.min("doc").alias("rep"), F.first("bits", ignorenulls=True).alias("bits")), "reps")
+    # a group of several members is a family of its own
+    own = reps.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("g").alias("item"), F.col("g").alias("p"))
+    fams = families(tokens(rows), lambda bits: tokens(rows, bits)).union(own).groupBy("item").agg(F.collect_set("p").alias("fams"))
+    members = reps.join(fams, F.col("g") == F.col("item")).select(F.explode("fams").alias("p"), F.col("h").alias("item"), "n", "bits", "fams")
+    linked = stored(link(members, sets_of(docs.where(F.col(key).isNotNull()), text, k), num, den), "linked")
+    comp = components(linked.select(F.col("item").alias("a"), F.col("root").alias("b")))
+    number = linked.groupBy("item").agg(F.sum("links").alias("links"))
+    labels = stored(reps.select("h", "rep").join(comp.join(number, "item", "left"), F.col("h") == F.col("item"), "left").select("h", "rep", F.coalesce("comp", "h").alias("comp"), F.coalesce("links", F.lit(0)).alias("links")), "labels")
+    least = labels.groupBy("comp").agg(F.min("rep").alias("least"))
+    mine = (F.col("n") > 0) & F.col("doc").isNotNull()
+    got = rows.select("doc", "n", "h").join(labels.join(least, "comp").select("h", "rep", "least", "links"), "h", "left")
+    return got.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(mine, F.col("least")).otherwise(F.col("doc")).alias("component_id"), F.when(mine, F.col("rep")).otherwise(F.col("doc")).alias("class_id"), F.when(mine, F.col("links")).otherwise(F.lit(0)).alias("links"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
