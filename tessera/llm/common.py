@@ -31,10 +31,13 @@ by_value(__name__)
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors see; a local one only where it is unset."""
+    # only tests leave it unset; a cluster names a folder that all machines share
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = getattr(spark.sparkContext, "_tessera_dir", None)
         if base is None:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
             base = spark.sparkContext._tessera_dir = "file://" + tempfile.mkdtemp(prefix="tessera-")
     return base
 
@@ -55,6 +58,18 @@ def fold(column, mod: int):
     return F.crc32(column.cast("string").cast("binary")) % mod
 
 
+def row_hash(key: str, text: str):
+    """Tells rows of equal key apart by their text; rows equal in both have equal results."""
+    return F.xxhash64(F.col(key), F.col(text))
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str, text: str) -> DataFrame:
+    """docs without the rows of gone(k, r): key and row_hash. Null keys are keys like others; columns of docs may have any names."""
+    k, r = (f"{x}_{uuid.uuid4().hex}" for x in "kr")
+    gone = gone.select(F.col("k").alias(k), F.col("r").alias(r)).distinct()
+    return docs.join(gone, F.col(key).eqNullSafe(F.col(k)) & (row_hash(key, text) == F.col(r)), "left_anti")
+
+
 def unit(column, salt: str = ""):
     """A repeatable uniform number in [0, 1) for each value."""
     return F.pmod(F.xxhash64(column, F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))

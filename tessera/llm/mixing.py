@@ -2,16 +2,16 @@
 
 Tokens are summed by cell (source, language, topic). The cells' weights start at their token counts
 and are raked in turn to the target share of each source, of each language and of each topic, until
-all marginals are met. A document's sampling probability is its cell's weight by its tokens, scaled so that
+all marginals are met, or until targets that can't be met together (a value that occurs only with others) bring no more progress; column met says which. A document's sampling probability is its cell's weight by its tokens, scaled so that
 the expected tokens are BUDGET of the input's, no probability above 1 (calibration: cells at 1 are fixed and the rest scaled
-again). A document stays if a hash of its key is below its probability, so a rerun keeps the same ones.
+again). A document stays if a hash of its key and text is below its probability, so a rerun keeps the same ones.
 
 Default targets are shares by the power TEMPER of a value's tokens, which lifts small sources.
 DataFrame functions only; the cells are the only thing that is iterated over, as tables in the shared folder.
 
 Cases: null source, language or topic are values of their own ("(none)"). Empty texts have 0
 tokens and stay with probability 1 of their cell's scale. Targets of values that don't occur are left out, and the
-rest is scaled to 1. No documents: no rows. Repeated rows with equal key and text stay or go together.
+rest is scaled to 1. No documents: no rows. Rows are drawn by key and text: rows equal in both stay or go together, null keys are drawn like others.
 """
 
 from __future__ import annotations
@@ -21,13 +21,14 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, unit
+from tessera.llm.common import row_hash, stored, unit, without
 
 DIMENSIONS = ("source", "lang", "topic")
 TEMPER = 0.7
 BUDGET = 0.8
-ROUNDS = 12
 TOLERANCE = 1e-6
+#: Raking ends when a round brings less than this share of progress; targets that can't be met together end so.
+PROGRESS = 1e-3
 
 
 def token_count(text: Column) -> Column:
@@ -60,15 +61,16 @@ def targets(cell: DataFrame, dimension: str, given: dict[str, float] | None, tem
     return one.withColumn(f"t_{dimension}", F.col("_raw") / F.lit(scale)).drop("_raw", "_n")
 
 
-def rake(cell: DataFrame, given: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, rounds: int = ROUNDS) -> DataFrame:
-    """cell with column share: its raked share of all tokens."""
+def rake(cell: DataFrame, given: dict[str, dict[str, float]] | None = None, temper: float = TEMPER) -> DataFrame:
+    """cell with columns share (its raked share of all tokens) and met (whether all marginals are within TOLERANCE)."""
     given = given or {}
     cell = cell.where("tokens > 0")
     for d in DIMENSIONS:
         cell = targets(cell, d, given.get(d), temper)
     total = cell.agg(F.sum("tokens")).first()[0] or 1.0
     cell = stored(cell.withColumn("share", F.col("tokens") / total).coalesce(1), "cells")
-    for _ in range(rounds):
+    before = float("inf")
+    while True:
         for d in DIMENSIONS:
             own = F.sum("share").over(Window.partitionBy(d))
             cell = cell.withColumn("share", F.when(own > 0, F.col("share") * F.col(f"t_{d}") / own).otherwise(0.0))
@@ -77,18 +79,19 @@ def rake(cell: DataFrame, given: dict[str, dict[str, float]] | None = None, temp
         for d in DIMENSIONS[:-1]:
             off = F.greatest(off, F.abs(F.sum("share").over(Window.partitionBy(d)) - F.col(f"t_{d}")))
         worst = cell.withColumn("_off", off).agg(F.max("_off")).first()[0]
-        if worst is None or worst < TOLERANCE:
+        if worst is None or worst < TOLERANCE or worst > before * (1 - PROGRESS):
             break
-    return cell
+        before = worst
+    return cell.withColumn("met", F.lit(worst is None or worst < TOLERANCE))
 
 
-def calibrate(cell: DataFrame, budget: float, rounds: int = 30) -> tuple[float, float]:
+def calibrate(cell: DataFrame, budget: float) -> tuple[float, float]:
     """(scale, tokens): scale such that sum(tokens * min(1, scale * share / tokens)) is budget of all tokens."""
     total, most = cell.agg(F.sum("tokens"), F.sum(F.when(F.col("share") > 0, F.col("tokens")))).first()
     if not total:
         return 0.0, 0.0
     wanted, scale = min(budget * total, most or 0.0), budget * total
-    for _ in range(rounds):
+    while True:  # scale only grows, and each time more cells are at 1
         ratio = F.lit(scale) * F.col("share") / F.col("tokens")
         full, rest = cell.agg(F.sum(F.when(ratio >= 1, F.col("tokens")).otherwise(0.0)), F.sum(F.when(ratio < 1, F.col("share")).otherwise(0.0))).first()
         new = (wanted - full) / rest if rest > 1e-12 else scale
@@ -99,25 +102,29 @@ def calibrate(cell: DataFrame, budget: float, rounds: int = 30) -> tuple[float,
 
 
 def weigh(rows: DataFrame, given: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, budget: float = BUDGET) -> DataFrame:
-    """source, lang, topic, p: the sampling probability of each cell."""
+    """source, lang, topic, p, share, met: the sampling probability of each cell."""
     cell = stored(cells(rows), "mix")
     raked = rake(cell, given, temper)
     scale, _ = calibrate(raked, budget)
     p = F.least(F.lit(1.0), F.lit(scale) * F.col("share") / F.col("tokens"))
-    return cell.select(*DIMENSIONS).join(raked.select(*DIMENSIONS, p.alias("p"), "share"), list(DIMENSIONS), "left").select(*DIMENSIONS, F.coalesce("p", F.lit(1.0)).alias("p"), F.coalesce("share", F.lit(0.0)).alias("share"))
+    return cell.select(*DIMENSIONS).join(raked.select(*DIMENSIONS, p.alias("p"), "share", "met"), list(DIMENSIONS), "left").select(*DIMENSIONS, F.coalesce("p", F.lit(1.0)).alias("p"), F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("met", F.lit(True)).alias("met"))
 
 
-def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", topics: Column | None = None, given: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, budget: float = BUDGET) -> DataFrame:
-    """key, source, lang, topic, n_tokens, p, share, kept; one row for each row of docs."""
+def drawn(docs: DataFrame, key: str = "doc_id", text: str = "text", topics: Column | None = None, given: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, budget: float = BUDGET) -> DataFrame:
+    """k, r (key and hash of the row), source, lang, topic, n_tokens, p, share, met, kept; one row for each row of docs."""
     none = lambda c: F.coalesce(c, F.lit("(none)"))
-    rows = docs.select(F.col(key), none(F.col("source")).alias("source"), none(F.col("lang")).alias("lang"), none(topic(F.col(text)) if topics is None else topics).alias("topic"), token_count(F.col(text)).alias("n_tokens"))
+    rows = docs.select(F.col(key).alias("k"), row_hash(key, text).alias("r"), none(F.col("source")).alias("source"), none(F.col("lang")).alias("lang"), none(topic(F.col(text)) if topics is None else topics).alias("topic"), token_count(F.col(text)).alias("n_tokens"))
     rows = stored(rows, "mix-rows")
     p = weigh(rows, given, temper, budget)
     # one row for each cell; joined by a hash map if Spark finds it small, else by shuffle
-    return rows.join(p, list(DIMENSIONS), "left").select(key, *DIMENSIONS, "n_tokens", "p", "share", (unit(F.col(key), "mix") < F.col("p")).alias("kept"))
+    return rows.join(p, list(DIMENSIONS), "left").select("k", "r", *DIMENSIONS, "n_tokens", "p", "share", "met", (unit(F.col("r"), "mix") < F.col("p")).alias("kept"))
 
 
-def sample(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+def mixed(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """key, source, lang, topic, n_tokens, p, share, met, kept; one row for each row of docs."""
+    return drawn(docs, key, **options).drop("r").withColumnRenamed("k", key)
+
+
+def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs that the mix keeps; all columns stay."""
-    gone = mixed(docs, key, **options).where(~F.col("kept")).select(F.col(key).alias("_gone"))
-    return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    return without(docs, stored(drawn(docs, key, text, **options).where(~F.col("kept")).select("k", "r"), "unsampled"), key, text)

@@ -4,11 +4,12 @@ Base spans come from fixed patterns and checks and always stay. Beside them, loo
 propose candidates (masked addresses, local phone numbers, cards and addresses of machines in
 other spellings). Labelers vote on every span: pattern labelers (checks of form), gazetteers (lists of endings,
 number ranges) and context labelers (words and signs around it). Expectation-maximisation over
-the counts of vote patterns estimates each labeler's reliability without labels; the posteriors
-train a logistic span classifier, and candidates above its threshold are added.
+the counts of vote patterns estimates each labeler's reliability without labels; the posteriors are soft
+labels that train a log-linear span classifier on features of its own (the span's shape, signs and length, the words
+beside it, hashed), and candidates above its threshold are added.
 
-Vote patterns are at most 3 ** labelers for each kind, whatever the input, and only their counts reach
-the driver. Texts are read whole, once; candidates are kept in the shared folder.
+Vote patterns are at most 3 ** labelers for each kind and features FEATURES, whatever the input, and only their counts over all
+documents reach the driver. Texts are read whole, once; candidates are kept in the shared folder.
 
 Cases: null text is empty. Spans are in code points, end exclusive. Candidates that overlap a
 base span or an earlier candidate of their kind are dropped. Rows with equal doc_id stay apart.
@@ -17,6 +18,7 @@ base span or an earlier candidate of their kind are dropped. Rows with equal doc
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,9 @@ LOOSE = {
 HINTS = {"email": r"(?i)at[\])}>]|@[\])}>]", "ip": r":[0-9A-Fa-f]{1,4}:", "card": r"[0-9]{4}[._/ -]{1,3}[0-9]{4}", "phone": r"[0-9]{3}[ .)-]{1,2}[0-9]{3}[ .-][0-9]{4}"}
 LABELERS = ("form", "check", "gazetteer", "cue", "edges", "alone")
 NEAR = 40
+FEATURES = 256
+#: How much a feature counts against the posterior of the votes; features aren't independent.
+DAMP = 0.5
 THRESHOLD = 0.5
 
 
@@ -116,13 +121,23 @@ def votes(kind: str, text: str, a: int, b: int, base: bool) -> tuple[int, ...]:
     return form, check, known, cue, edges, -1 if around > 20 else 1 if not around else 0
 
 
+def features(kind: str, text: str, a: int, b: int) -> list[int]:
+    """Numbers below FEATURES: shape, signs, length, and the words beside a span."""
+    s = text[a:b]
+    shape = re.sub(r"(.)\1+", r"\1", re.sub("[A-Za-z]", "a", re.sub("[0-9]", "9", s)))
+    before = re.findall(r"\w+", text[max(0, a - NEAR) : a].lower())[-2:]
+    after = re.findall(r"\w+", text[b : b + NEAR].lower())[:1]
+    own = [f"shape {shape}", f"signs {''.join(sorted(set(re.sub('[A-Za-z0-9]', '', s))))}", f"length {len(s) // 4}", f"next {text[b : b + 1]}", *(f"before {w}" for w in before), *(f"after {w}" for w in after)]
+    return sorted({zlib.crc32(f"{kind} {x}".encode()) % FEATURES for x in own})
+
+
 def compiled() -> dict:
     """ASCII only where letters and digits are meant so."""
     return {"domain": re.compile(DOMAIN), "ip": re.compile(IP), "card": re.compile(CARD), "phone": re.compile(PHONE), "digit": re.compile("[0-9]"), "loose": {k: (re.compile(HINTS[k]), re.compile(LOOSE[k])) for k in KINDS}}
 
 
-def propose(text: str, c: dict) -> list[tuple[int, int, int, bool, tuple[int, ...]]]:
-    """(kind's number, start, end, base, votes) of a text, by kind and start."""
+def propose(text: str, c: dict) -> list[tuple[int, int, int, bool, tuple[int, ...], list[int]]]:
+    """(kind's number, start, end, base, votes, features) of a text, by kind and start."""
     base, out = base_spans(text, c), []
     ends = {k: np.array([b for _, b in v]) for k, v in base.items()}
     taken = lambda x, y: any(i < len(v) and v[i][0] < y for k, v in base.items() for i in [int(np.searchsorted(ends[k], x, "right"))])
@@ -133,7 +148,7 @@ def propose(text: str, c: dict) -> list[tuple[int, int, int, bool, tuple[int, ..
             for m in loose.finditer(text):
                 if not taken(m.start(), m.end()):
                     own.append((*m.span(), False))
-        out += [(k, a, b, is_base, votes(kind, text, a, b, is_base)) for a, b, is_base in sorted(own)]
+        out += [(k, a, b, is_base, votes(kind, text, a, b, is_base), features(kind, text, a, b)) for a, b, is_base in sorted(own)]
     return out
 
 
@@ -156,29 +171,30 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 50) -> tuple[di
     return dict(zip(keys, post, strict=True)), table, prior
 
 
-def _x(key: tuple[int, ...], kind: int) -> list[float]:
-    return [1.0, *(float(kind == k) for k in range(len(KINDS))), *(float(a == b) for a in key for b in (1, -1))]
+Key = tuple[int, tuple[int, ...]]
 
 
-def classifier(counts: dict[tuple[int, tuple[int, ...]], int]) -> dict[tuple[int, tuple[int, ...]], float]:
-    """The final classifier's probability for each kind and vote pattern."""
-    posts: dict = {}
+def posteriors(counts: dict[Key, int]) -> dict[Key, float]:
+    """Of each kind and vote pattern."""
+    out: dict = {}
     for k in range(len(KINDS)):
         if own := {key: n for (kind, key), n in counts.items() if kind == k}:
-            posts |= {(k, key): p for key, p in estimate(own)[0].items()}
-    if not posts:
-        return {}
-    keys = sorted(posts)
-    x, y, n = np.array([_x(key, k) for k, key in keys]), np.array([posts[q] for q in keys]), np.array([counts[q] for q in keys], float)
-    n, w = n / n.sum(), np.zeros(x.shape[1])
-    for _ in range(60):  # Newton steps of a ridge logistic regression on soft labels
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (n * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(w))
-        w -= np.linalg.solve(h, x.T @ (n * (p - y)) + 1e-3 * w)
-    return {q: float(1 / (1 + np.exp(-np.clip(r @ w, -30, 30)))) for q, r in zip(keys, x, strict=True)}
+            out |= {(k, key): float(p) for key, p in estimate(own)[0].items()}
+    return out
+
+
+def classifier(post: dict[Key, float], counts: dict[Key, int], with_feature: dict[tuple[Key, int], int]) -> np.ndarray:
+    """[kinds, FEATURES]: what each feature adds to a span's log odds; from soft counts of spans for and against that have it."""
+    total, seen = np.zeros((2, len(KINDS), 1)), np.zeros((2, len(KINDS), FEATURES))
+    for (k, key), n in counts.items():
+        total[:, k, 0] += n * np.array([post[k, key], 1 - post[k, key]])
+    for ((k, key), f), n in with_feature.items():
+        seen[:, k, f] += n * np.array([post[k, key], 1 - post[k, key]])
+    rate = np.log((seen + 0.5) / (total + 1))
+    return DAMP * np.where(seen.sum(axis=0) > 0, rate[0] - rate[1], 0.0)
 
 
-SPANS = "array<struct<kind:int,start:int,stop:int,base:boolean,votes:string>>"
+SPANS = "array<struct<kind:int,start:int,stop:int,base:boolean,votes:string,feats:array<int>>>"
 
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -187,12 +203,12 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     def run(batches):
         c = compiled()
-        fields = [("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("base", pa.bool_()), ("votes", pa.string())]
+        fields = [("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("base", pa.bool_()), ("votes", pa.string()), ("feats", pa.list_(pa.int32()))]
         for b in batches:
             rows = []
             for t in b.column("t"):
                 s = t.as_py()
-                rows.append([] if not s else [{"kind": k, "start": x, "stop": y, "base": is_base, "votes": ",".join(map(str, v))} for k, x, y, is_base, v in propose(s, c)])
+                rows.append([] if not s else [{"kind": k, "start": x, "stop": y, "base": is_base, "votes": ",".join(map(str, v)), "feats": f} for k, x, y, is_base, v, f in propose(s, c)])
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(rows, pa.list_(pa.struct(fields)))], names=["k", "spans"])
 
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, spans {SPANS}").withColumnRenamed("k", key)
@@ -202,11 +218,19 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     """key, base and found: arrays of struct(kind, start, stop), by kind and start. found has all spans."""
     got = stored(candidates(docs, key, text), "pii")
     one = got.select(F.explode("spans").alias("s"))
-    counts = {(r[0], tuple(map(int, r[1].split(",")))): r[2] for r in one.groupBy("s.kind", "s.votes").count().collect()}  # bounded by the number of patterns
-    says = sorted(f"{k}:{','.join(map(str, v))}" for (k, v), p in classifier(counts).items() if p >= threshold)
-    chosen = F.array(*map(F.lit, says)) if says else F.array().cast("array<string>")
+    named = lambda k, v: (k, tuple(map(int, v.split(","))))
+    # both are bounded by the number of patterns and features
+    counts = {named(r[0], r[1]): r[2] for r in one.groupBy("s.kind", "s.votes").count().collect()}
+    having = {(named(r[0], r[1]), r[2]): r[3] for r in one.select("s.kind", "s.votes", F.explode("s.feats").alias("f")).groupBy("kind", "votes", "f").count().collect()}
+    post = posteriors(counts)
+    weights = classifier(post, counts, having)
+    # what a span's features must add up to at least, for each vote pattern
+    needs = {f"{k}:{','.join(map(str, v))}": float(np.log(threshold / (1 - threshold)) - np.clip(np.log(max(q, 1e-9) / max(1 - q, 1e-9)), -4, 4)) for (k, v), q in post.items()}
+    need = F.create_map(*(F.lit(x) for kv in sorted(needs.items()) for x in kv)) if needs else F.lit(None).cast("map<string,double>")
+    flat = F.lit([float(x) for x in weights.reshape(-1)])
+    adds = lambda s: F.aggregate(s["feats"], F.lit(0.0), lambda acc, f: acc + F.get(flat, s["kind"] * FEATURES + f))
     plain = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))
-    kept = F.filter("spans", lambda s: s["base"] | F.array_contains(chosen, F.concat_ws(":", s["kind"].cast("string"), s["votes"])))
+    kept = F.filter("spans", lambda s: s["base"] | (adds(s) >= F.try_element_at(need, F.concat_ws(":", s["kind"].cast("string"), s["votes"]))))
     return got.select(key, F.transform(F.filter("spans", lambda s: s["base"]), plain).alias("base"), F.transform(kept, plain).alias("found"))
 
 

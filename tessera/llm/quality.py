@@ -3,10 +3,10 @@
 Tokens are runs of letters, digits or signs. Beside its own token every run gives a shape token
 (all capitals, capitalised, repeated, kind and length), so that words never seen in training still
 count. Each token hashes to one of BUCKETS; a bucket has a random index vector, and its word vector is the
-sum of the index vectors of tokens up to WINDOW away, over the training sample. A document is the
+sum of the index vectors of tokens up to WINDOW away, over all documents. A document is the
 mean and the root mean square of its tokens' vectors, and the shares of its shape tokens' vectors.
 
-Fitting reads a bounded sample of about MAX_TRAIN labelled rows, chosen by a hash of doc_id; a part
+The network learns from a bounded sample of about MAX_TRAIN labelled rows, chosen by a hash of doc_id; a part
 of it that the network doesn't learn from sets the temperature. Scoring reads every whole text,
 map-only.
 
@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, label: str = "quality", key:
     index = index_vectors(1 << BITS, SEED)
 
     def contexts(batches):
-        out = np.zeros((1 << BITS, DIMS), np.float32)
+        out = np.zeros((1 << BITS, DIMS))
         for b in batches:
             u8, offs = strings(b.column("t"))
             for x, y in spans(offs):
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, label: str = "quality", key:
         yield slices_of(np.rint(out).astype(np.int64).ravel(), _WIDTH)
 
     bits = BITS + int(np.log2(DIMS))
-    words = sum_slices(sample.select("t").mapInArrow(contexts, "part int, slice int, counts binary"), _WIDTH, bits).reshape(-1, DIMS).astype(np.float32)
+    words = sum_slices(docs.select(F.col(text).alias("t")).mapInArrow(contexts, "part int, slice int, counts binary"), _WIDTH, bits).reshape(-1, DIMS).astype(np.float32)
     words /= np.maximum(np.linalg.norm(words, axis=1, keepdims=True), 1e-6)
     words, shapes = np.hstack([words, words**2]), index_vectors(SHAPES, SEED + 1)
 

@@ -14,6 +14,8 @@ class (null). Rows of equal key are one document for links; each row is returned
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -164,5 +166,6 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = NU
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """docs without those that aren't the least of their component; all columns stay."""
-    gone = join(docs, key, **options).where(F.col("component_id") != F.col(key)).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, F.col(key).cast("bigint") == F.col("_gone"), "left_anti")
+    name = f"gone_{uuid.uuid4().hex}"
+    gone = stored(join(docs, key, **options).where(F.col("component_id") != F.col(key)).select(F.col(key).alias(name)).distinct(), "gone")
+    return docs.join(gone, F.col(key).cast("bigint") == F.col(name), "left_anti")

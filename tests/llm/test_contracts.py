@@ -7,7 +7,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from tessera.llm import decontam, fingerprints, language_id, mixing, paragraph_dedup, pii, quality, secrets, similarity_join, token_files  # noqa: E402
+from tessera.llm import decontam, fingerprints, language_id, linking, mixing, paragraph_dedup, pii, quality, secrets, similarity_join, token_files  # noqa: E402
 from tessera.llm.common import fold, table  # noqa: E402
 from tessera.llm.queries import queries  # noqa: E402
 from tests.llm import brute  # noqa: E402
@@ -82,8 +82,9 @@ def test_jaccard_join(edge, empty):
 
 
 def test_jaccard_join_counts_all_links(spark, monkeypatch):
-    monkeypatch.setattr(similarity_join, "BLOCK", 7)
-    monkeypatch.setattr(similarity_join, "COLUMNS", 32)
+    monkeypatch.setattr(linking, "BLOCK", 7)
+    monkeypatch.setattr(linking, "COLUMNS", 32)
+    monkeypatch.setattr(linking, "SMALL", 3)
     r = np.random.default_rng(7)
     base = [f"w{i}" for i in range(100)]
     rows = [(0, " ".join(base)), (1, " ".join(base + ["a"])), (2, " ".join(base + ["b", "c"])), (3, " ".join(base)), (4, "alone here"), (5, None)]
@@ -140,7 +141,7 @@ def test_mixing_meets_targets(spark, sf, empty):
     docs = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id"), "doc_id")
     rows = docs.withColumn("lang", F.when(F.col("lang") == "en", "en").otherwise("other")).withColumn("source", F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b"))
     want = {"lang": {"en": 0.5, "other": 0.5}, "source": {"a": 0.5, "b": 0.5}}
-    cell = mixing.rake(mixing.cells(rows.select("source", "lang", F.lit("t").alias("topic"), mixing.token_count(F.col("text")).alias("n_tokens"))), want, rounds=20)
+    cell = mixing.rake(mixing.cells(rows.select("source", "lang", F.lit("t").alias("topic"), mixing.token_count(F.col("text")).alias("n_tokens"))), want)
     for d, shares in want.items():
         for r in cell.groupBy(d).agg(F.sum("share").alias("s")).collect():
             assert abs(r.s - shares[r[d]]) < 1e-4
@@ -184,3 +185,131 @@ def test_paragraph_dedup_inside_lines(spark):
 def test_folds(spark):
     rows = spark.range(200).select("id", fold(F.col("id"), 5).alias("f")).collect()
     assert all(r.f == brute.fold(r.id, 5) for r in rows)
+
+
+def test_repeated_and_null_keys_are_judged_by_their_own_text(spark):
+    rows = [(1, "one two three and more"), (1, "zzz only"), (None, "one two three x"), (None, "clean words"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_gone", F.lit(1)).withColumn("_bad", F.lit("x")).withColumn("k", F.lit(2)).withColumn("r", F.lit(3))
+    items = spark.createDataFrame([("a", "one two three")], "item_id string, text string")
+    assert sorted(r.n_hit for r in decontam.contamination(docs, items).collect()) == [0, 0, 0, 3, 3]
+    left = decontam.clean(docs, items)
+    assert sorted(r.text or "" for r in left.collect()) == ["", "clean words", "zzz only"] and left.columns == docs.columns
+    secret = "x9Kf2LqP8vTz4WmN7bRc3YhJ6dGs"
+    rows = [(1, f"see {secret} here"), (1, "nothing here"), (None, f"{secret}"), (None, "plain")]
+    rows += [(d, "the ordinary configuration manager handles several background processes and international words") for d in range(1000, 1040)]
+    found = secrets.find(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id is null or doc_id < 1000").select("doc_id", secrets.written("found").alias("s")).collect()
+    assert sorted(r.s for r in found) == ["", "", "random:0:28", "random:4:32"]
+    drawn = mixing.drawn(docs.withColumn("source", F.lit("s")).withColumn("lang", F.lit(None).cast("string")))
+    assert drawn.count() == 5
+    assert mixing.sample(docs.withColumn("source", F.lit("s")).withColumn("lang", F.lit("en"))).columns[:2] == ["doc_id", "text"]
+
+
+def test_secrets_added_by_the_models(spark):
+    """Planted strings that no base pattern takes, among long ordinary identifiers."""
+    import base64
+    import hashlib
+
+    words = "the quick configuration manager handles background processes international characterization responsibility".split()
+    planted, plain = [], []
+    for i in range(200):
+        s = base64.b64encode(hashlib.sha256(str(i).encode()).digest()).decode().rstrip("=")
+        s = s if i % 2 else "".join(c for c in s if c.isalnum())[:24]
+        planted.append((i, " ".join(words) + f" bearer {s} end"))
+        name = "_".join(words[(i * k) % 10] for k in (1, 3, 7)) + "_v2"
+        plain.append((1000 + i, " ".join(words) + f" {name} end"))
+    out = {r.doc_id: r.s for r in secrets.find(spark.createDataFrame(planted + plain, "doc_id long, text string")).select("doc_id", secrets.written("found").alias("s")).collect()}
+    caught = sum("random" in out[d] for d, _ in planted) / len(planted)
+    wrong = sum("random" in out[d] for d, _ in plain) / len(plain)
+    assert caught >= 0.9 and wrong <= 0.02, (caught, wrong)
+
+
+def test_pii_added_by_the_classifier(spark):
+    """Masked addresses and local phone numbers beside cue words are added; the same shapes among figures are not."""
+    rows = [(i, f"please call +1 (555) 555-{1000 + i} or mail user{i}@mail.example.com today") for i in range(150)]
+    rows += [(1000 + i, f"mail me: user{i} [at] mail [dot] example [dot] com thanks") for i in range(40)]
+    rows += [(2000 + i, f"please call (555) 555-{1000 + i} today") for i in range(40)]
+    rows += [(3000 + i, f"12 44 9 331 87 1{i:02d}-555-{1000 + i} 71 3 19 44 5 66 30 12") for i in range(40)]
+    df = pii.find(spark.createDataFrame(rows, "doc_id long, text string"))
+    out = {r.doc_id: r.s for r in df.select("doc_id", pii.written("found").alias("s")).collect()}
+    share = lambda lo: np.mean([out[d] != "" for d, _ in rows if lo <= d < lo + 1000])
+    assert share(0) == 1 and share(1000) >= 0.9 and share(2000) >= 0.9 and share(3000) <= 0.1, [share(x) for x in (0, 1000, 2000, 3000)]
+
+
+def test_mixing_equals_brute_force(spark, sf):
+    docs = table(spark, sf, "documents")
+    rows = [r.asDict() for r in mixing.mixed(docs).collect()]
+    dims, cells = mixing.DIMENSIONS, {}
+    for r in rows:
+        c = tuple(r[d] for d in dims)
+        cells[c] = cells.get(c, 0) + r["n_tokens"]
+    cells = {c: n for c, n in cells.items() if n}
+    total = sum(cells.values())
+    share, target = {c: n / total for c, n in cells.items()}, []
+    for k in range(3):
+        raw = {}
+        for c, n in cells.items():
+            raw[c[k]] = raw.get(c[k], 0) + n
+        raw = {v: n**mixing.TEMPER for v, n in raw.items()}
+        target.append({v: x / sum(raw.values()) for v, x in raw.items()})
+    for _ in range(500):
+        for k in range(3):
+            own = {}
+            for c, x in share.items():
+                own[c[k]] = own.get(c[k], 0) + x
+            share = {c: x * target[k][c[k]] / own[c[k]] for c, x in share.items()}
+    lo, hi = 0.0, 1e12
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(n, mid * share[c]) for c, n in cells.items()) < mixing.BUDGET * total else (lo, mid)
+    for r in rows:
+        c = tuple(r[d] for d in dims)
+        if r["met"] and c in cells:
+            assert abs(r["p"] - min(1.0, lo * share[c] / cells[c])) < 1e-3
+    assert any(r["met"] for r in rows) and abs(sum(r["p"] * r["n_tokens"] for r in rows) - mixing.BUDGET * total) < 1e-3 * total
+
+
+def test_paragraph_dedup_of_hot_anchors(spark, monkeypatch):
+    rows = [(d, " ".join([f"o{d}x{i}" for i in range(d % 7)] + [f"p{i}" for i in range(60)] + [f"q{d}x{i}" for i in range(20)])) for d in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = lambda: {(r.doc, i, r.gone) for r in paragraph_dedup.equal_runs(docs, "doc_id", "text").collect() for i in range(r.lo, r.hi)}
+    cold = spans()
+    monkeypatch.setattr(paragraph_dedup, "HOT", 5)
+    assert spans() == cold and {(d, i) for d, i, _ in cold} == brute.repeated_words(rows)
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage's decisions take effect on rows with repeated, null and clashing names; the ids are those of the rows kept."""
+    import corpus_pipeline
+
+    text = lambda k, n=60: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(d, text(d), "en", f"s{d % 3}") for d in range(40)]
+    rows += [(100 + d, text(d) + " more", "en", "s0") for d in range(5)]
+    rows += [(200, "bench mark passage of some thirteen words that must never be in training " * 2, "de", "s1"), (None, text(901), "de", "s2"), (None, text(902), "fr", None), (300, None, None, None), (301, "", "fr", "s1"), (5, text(903), "en", "s1")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.char_length("text")).withColumn("_gone", F.lit(1)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("b1", "bench mark passage of some thirteen words that must never be in training")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(d, 1, 0) for d in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = table(spark, str(tmp_path), "documents")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = [tuple(r) for r in docs.collect()]
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), docs.schema)
+        kept[name] = [tuple(r) for r in docs.collect()]
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "_gone"] and set(kept[name]) <= set(before)
+    assert len(kept["quality"]) == len(rows)
+    ids = [r[0] for r in kept["near_duplicates"]]
+    assert not {100 + d for d in range(5)} & set(ids) and len(ids) == len(rows) - 5
+    assert {r[0] for r in kept["near_duplicates"]} - {r[0] for r in kept["decontamination"]} == {200}
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    want = brute.tokens([(-1 if r[0] is None else r[0], r[1]) for r in kept["mixing"]], public_tokenizers.path("byte_bpe_50k.json"))
+    found = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in out.collect() if r.doc_id not in (None, 5)}
+    assert found == {d: v for d, v in want.items() if d not in (-1, 5)}
+
+
+def test_texts_of_megabytes(spark):
+    long = " ".join(f"w{i * 7919 % 200003}" for i in range(400_000))
+    rows = [(1, long), (2, long + " tail"), (3, "short text"), (3, "short text"), (None, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in similarity_join.join(docs).collect()}
+    assert out[1].component_id == out[2].component_id == 1 and out[1].links == 1 and len(long) > 2 << 20
+    assert {r.doc_id for r in paragraph_dedup.repeats(docs).collect()} == {1, 2}
+    assert got(token_files.digest(docs.where("doc_id in (1, 2)"), public_tokenizers.path("byte_bpe_50k.json")), ("n_tokens",)) == {d: (v[1],) for d, v in brute.tokens(rows[:2], public_tokenizers.path("byte_bpe_50k.json")).items()}
