@@ -1,4 +1,8 @@
-"""The corpus pipeline: documents through five of the training-data operators, one after the other."""
+"""The corpus pipeline: documents through five of the training-data operators, one after the other.
+
+Cases: rows of repeated or null doc_id are judged each by its own text; null doc_ids have no duplicates; null texts are empty.
+Documents may have any further columns, which all stages but the last keep. Empty documents: no rows.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, mixing, quality, similarity_join, token_files
-from tessera.llm.common import fold, stored, table
+from tessera.llm.common import fold, row_hash, stored, table, without
 
 #: A classifier and hash-driven sampling decide which rows stay; SQL can't express them.
 ORACLE_SQL = None
@@ -16,8 +20,9 @@ ORACLE_SQL = None
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts. It learns from labelled rows of docs."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
-    gone = quality.score(docs, model).where("predicted = 0").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(stored(gone, "rejected"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    rows = docs.select(F.col("doc_id").alias("k"), row_hash("doc_id", "text").alias("r"), "text")
+    gone = quality.score(rows, model, keep=("k", "r")).where("predicted = 0").select("k", "r")
+    return without(docs, stored(gone, "rejected"), "doc_id", "text")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
