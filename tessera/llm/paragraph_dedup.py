@@ -290,16 +290,27 @@ def equal_runs(docs: DataFrame, key: str, text: str) -> DataFrame:
             s = [x.as_buffer() for x in b.column("s")]
             n = np.array([len(x) // 8 for x in s], np.int64)
             of = np.repeat(np.arange(len(n)), n)
-            at = b.column("word").to_numpy()[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(s), np.int64)), b.column("doc").take(pa.array(of)), pa.array(at), b.column("item").take(pa.array(of))], names=["w", "doc", "at", "item"])
+            i = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            w = pa.array(np.frombuffer(b"".join(s), np.int64))
+            yield pa.RecordBatch.from_arrays([w, pa.array(i), *(b.column(k).take(pa.array(of)) for k in ("item", "sid", "doc", "word", "c"))], names=["w", "i", "item", "sid", "doc", "word", "c"])
 
     rows = found.where("not hot").repartition("item").sortWithinPartitions("item")
     few = rows.select("item", "doc", "word", "s").mapInArrow(run, "doc bigint, lo bigint, hi bigint, gone boolean, class_id bigint, first bigint")
-    windows = found.where("hot").mapInArrow(apart, "w bigint, doc bigint, at bigint, item bigint")
-    place = F.struct("doc", "at")
-    heads = windows.groupBy("w").agg(F.min(place).alias("head"), F.max(place).alias("tail")).where("head != tail").select("w", "head")
-    gone = (F.col("doc") != F.col("head.doc")) | (F.col("at") != F.col("head.at"))
-    many = windows.join(heads, "w").select("doc", F.col("at").alias("lo"), (F.col("at") + RUN).alias("hi"), gone.alias("gone"), F.col("item").alias("class_id"), F.col("head.doc").alias("first"))
+    # of a hot anchor's rows nearly all have the same windows: these are looked at once, not once a row
+    hot = found.where("hot").withColumn("sid", F.xxhash64("s"))
+    place = F.struct("doc", "word")
+    kinds = hot.groupBy("item", "sid").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("c"), F.first("s").alias("s"))
+    kinds = kinds.select("item", "sid", "at.doc", "at.word", "c", "s")
+    windows = stored(kinds.mapInArrow(apart, "w bigint, i bigint, item bigint, sid bigint, doc bigint, word bigint, c bigint"), "windows")
+    heads = windows.groupBy("w").agg(F.min(F.struct("doc", (F.col("word") + F.col("i")).alias("at"))).alias("head"), F.sum("c").alias("n")).where("n > 1").select("w", "head")
+    own = (F.col("doc") == F.col("head.doc")) & (F.col("word") + F.col("i") == F.col("head.at"))
+    part = lambda ok: F.struct(F.min(F.when(ok, F.col("i"))).alias("lo"), (F.max(F.when(ok, F.col("i"))) + RUN).alias("hi"), F.min(F.when(ok, F.col("head.doc"))).alias("first"))
+    spans_ = windows.join(heads, "w").groupBy("item", "sid").agg(F.min("doc").alias("d"), F.min("word").alias("o"), part(F.lit(True)).alias("any"), part(own).alias("kept"), part(~own).alias("gone"))
+    # the first row of its kind may be the first occurrence of some windows; all others are repeats
+    first_ = (F.col("doc") == F.col("d")) & (F.col("word") == F.col("o"))
+    each = F.when(first_, F.array(F.struct("kept.*", F.lit(False).alias("gone")), F.struct("gone.*", F.lit(True).alias("gone")))).otherwise(F.array(F.struct("any.*", F.lit(True).alias("gone"))))
+    many = hot.select("item", "sid", "doc", "word").join(spans_, ["item", "sid"]).select("item", "doc", "word", F.filter(each, lambda x: x["lo"].isNotNull()).alias("each"))
+    many = many.select("item", "doc", "word", F.explode("each").alias("x")).select("doc", (F.col("word") + F.col("x.lo")).alias("lo"), (F.col("word") + F.col("x.hi")).alias("hi"), F.col("x.gone").alias("gone"), F.col("item").alias("class_id"), F.col("x.first").alias("first"))
     return few.unionByName(many)
 
 
