@@ -21,7 +21,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import row_hash, stored, unit, without
+from tessera.llm.common import row_hash, stored, unit
 
 DIMENSIONS = ("source", "lang", "topic")
 TEMPER = 0.7
@@ -110,21 +110,25 @@ def weigh(rows: DataFrame, given: dict[str, dict[str, float]] | None = None, tem
     return cell.select(*DIMENSIONS).join(raked.select(*DIMENSIONS, p.alias("p"), "share", "met"), list(DIMENSIONS), "left").select(*DIMENSIONS, F.coalesce("p", F.lit(1.0)).alias("p"), F.coalesce("share", F.lit(0.0)).alias("share"), F.coalesce("met", F.lit(True)).alias("met"))
 
 
-def drawn(docs: DataFrame, key: str = "doc_id", text: str = "text", topics: Column | None = None, given: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, budget: float = BUDGET) -> DataFrame:
-    """k, r (key and hash of the row), source, lang, topic, n_tokens, p, share, met, kept; one row for each row of docs."""
+def _dimensions(text: str, topics: Column | None) -> dict[str, Column]:
     none = lambda c: F.coalesce(c, F.lit("(none)"))
-    rows = docs.select(F.col(key).alias("k"), row_hash(key, text).alias("r"), none(F.col("source")).alias("source"), none(F.col("lang")).alias("lang"), none(topic(F.col(text)) if topics is None else topics).alias("topic"), token_count(F.col(text)).alias("n_tokens"))
-    rows = stored(rows, "mix-rows")
-    p = weigh(rows, given, temper, budget)
-    # one row for each cell; joined by a hash map if Spark finds it small, else by shuffle
-    return rows.join(p, list(DIMENSIONS), "left").select("k", "r", *DIMENSIONS, "n_tokens", "p", "share", "met", (unit(F.col("r"), "mix") < F.col("p")).alias("kept"))
+    return {"source": none(F.col("source")), "lang": none(F.col("lang")), "topic": none(topic(F.col(text)) if topics is None else topics)}
 
 
-def mixed(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", topics: Column | None = None, given: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, budget: float = BUDGET) -> DataFrame:
     """key, source, lang, topic, n_tokens, p, share, met, kept; one row for each row of docs."""
-    return drawn(docs, key, **options).drop("r").withColumnRenamed("k", key)
-
-
-def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs that the mix keeps; all columns stay."""
-    return without(docs, stored(drawn(docs, key, text, **options).where(~F.col("kept")).select("k", "r"), "unsampled"), key, text)
+    rows = docs.select(F.col(key).alias("k"), row_hash(key, text).alias("r"), *(c.alias(d) for d, c in _dimensions(text, topics).items()), token_count(F.col(text)).alias("n_tokens"))
+    rows = stored(rows, "mix-rows")
+    # one row for each cell; joined by a hash map if Spark finds it small, else by shuffle
+    got = rows.join(weigh(rows, given, temper, budget), list(DIMENSIONS), "left")
+    return got.select(F.col("k").alias(key), *DIMENSIONS, "n_tokens", "p", "share", "met", (unit(F.col("r"), "mix") < F.col("p")).alias("kept"))
+
+
+def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", topics: Column | None = None, given: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, budget: float = BUDGET) -> DataFrame:
+    """docs that the mix keeps; all columns stay, whatever their names. Only the cells' probabilities are moved, where they are few."""
+    dims = _dimensions(text, topics)
+    p = weigh(docs.select(*(c.alias(d) for d, c in dims.items()), token_count(F.col(text)).alias("n_tokens")), given, temper, budget)
+    plain = docs.select(*(F.col(f"`{name}`").alias(f"c{i}") for i, name in enumerate(docs.columns)), *(c.alias(f"d_{d}") for d, c in dims.items()), row_hash(key, text).alias("r"))
+    p = p.select(*(F.col(d).alias(f"p_{d}") for d in DIMENSIONS), "p")
+    on = [F.col(f"d_{d}") == F.col(f"p_{d}") for d in DIMENSIONS]
+    return plain.join(p, on, "left").where(unit(F.col("r"), "mix") < F.col("p")).select(*(F.col(f"c{i}").alias(name) for i, name in enumerate(docs.columns)))

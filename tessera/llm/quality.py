@@ -34,6 +34,8 @@ WINDOW = 2
 HIDDEN = 24
 SEED = 7
 _WIDTH = 1 << 13
+#: Tokens whose contexts are summed at once; bounds the memory.
+_TOKENS = 1 << 16
 
 
 def token_classes() -> np.ndarray:
@@ -74,17 +76,21 @@ def index_vectors(n: int, salt: int) -> np.ndarray:
 
 
 def context_counts(out: np.ndarray, bucket: np.ndarray, rows: np.ndarray, index: np.ndarray) -> None:
-    """Adds to out [buckets, DIMS] the index vectors of each token's neighbours in its row."""
+    """Adds to out [buckets, DIMS] the index vectors (small integers) of each token's neighbours in its row."""
     row = np.repeat(np.arange(len(rows)), rows)
-    for d in range(1, WINDOW + 1):
-        ok = row[d:] == row[:-d]
-        a, b = bucket[d:][ok], bucket[:-d][ok]
-        for own, other in ((a, b), (b, a)):
-            order = np.argsort(own, kind="stable")
-            if len(order):
-                o = own[order]
-                first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
-                out[o[first]] += np.add.reduceat(index[other[order]], first, axis=0)
+    for a in range(0, len(bucket), _TOKENS):
+        lo, hi = max(0, a - WINDOW), min(len(bucket), a + _TOKENS + WINDOW)
+        own, of = bucket[lo:hi], row[lo:hi]
+        vec, ctx = index[own], np.zeros((hi - lo, DIMS), np.int16)
+        for d in range(1, WINDOW + 1):
+            ok = (of[d:] == of[:-d]).astype(np.int16)[:, None]
+            ctx[d:] += vec[:-d] * ok
+            ctx[:-d] += vec[d:] * ok
+        mine = slice(a - lo, a - lo + min(_TOKENS, len(bucket) - a))
+        order = np.argsort(own[mine].astype(np.uint16), kind="stable")
+        o = own[mine][order]
+        first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
+        out[o[first]] += np.add.reduceat(ctx[mine][order], first, axis=0, dtype=np.int64)
 
 
 def pooled(u8: np.ndarray, offs: np.ndarray, words: np.ndarray, shapes: np.ndarray) -> np.ndarray:
@@ -153,16 +159,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn, label: str = "quality", key:
     chosen = known.where(share < min(1.0, max_train / max(n, 1)))
     # a bounded number of narrow rows: its size is that of the sample
     sample = stored(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k"), "quality-sample")
-    index = index_vectors(1 << BITS, SEED)
+    index = index_vectors(1 << BITS, SEED).astype(np.int16)
 
     def contexts(batches):
-        out = np.zeros((1 << BITS, DIMS))
+        out = np.zeros((1 << BITS, DIMS), np.int64)
         for b in batches:
             u8, offs = strings(b.column("t"))
             for x, y in spans(offs):
                 bucket, _, rows = tokens(u8[offs[x] : offs[y]], offs[x : y + 1] - offs[x])
                 context_counts(out, bucket, rows, index)
-        yield slices_of(np.rint(out).astype(np.int64).ravel(), _WIDTH)
+        yield slices_of(out.ravel(), _WIDTH)
 
     bits = BITS + int(np.log2(DIMS))
     words = sum_slices(docs.select(F.col(text).alias("t")).mapInArrow(contexts, "part int, slice int, counts binary"), _WIDTH, bits).reshape(-1, DIMS).astype(np.float32)
@@ -202,3 +208,10 @@ def score(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...
 
     schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep), "score double", "predicted int"])
     return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, model: dict, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """docs that the model doesn't reject; all columns stay, whatever their names. Rows are judged where they stand: nothing is moved."""
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    got = score(plain, model, f"c{docs.columns.index(text)}", tuple(plain.columns), threshold)
+    return got.where("predicted = 1").select(*(F.col(f"c{i}").alias(name) for i, name in enumerate(docs.columns)))

@@ -41,8 +41,8 @@ SUM = 1 << 23
 FLOOR = (1 << 18, 1 << 18, 1 << 21)
 BITS2, BITS1, BITS0 = 11, 10, 10
 RATE = 5
-#: Words whose ids a worker remembers.
-REMEMBERED = 1_200_000
+#: Words whose ids a task remembers.
+REMEMBERED = 500_000
 #: Bytes of text that are tokenized at once.
 PIECE = 8 << 20
 
@@ -276,7 +276,7 @@ def word_ids(path: str):
     import pyarrow.compute as pc
     from tokenizers import Tokenizer
 
-    kept = sys.modules.setdefault("_tessera_kept", types.ModuleType("_tessera_kept"))  # outlives a task, ends with the worker
+    kept = sys.modules.setdefault("_tessera_kept", types.ModuleType("_tessera_kept"))
     if getattr(kept, "path", None) != path:
         kept.path, kept.tok = path, Tokenizer.from_file(path)
         if kept.tok.get_vocab_size() > 65535:
@@ -420,6 +420,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, key: str = "doc_id",
             segs.append(seg)
         if segs:
             yield flush()
+        sys.modules.pop("_tessera_kept", None)  # a worker's next task may be of another kind, and needs the memory
 
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).repartitionByRange(parts, F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), F.col("t").asc_nulls_first())

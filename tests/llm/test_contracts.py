@@ -199,8 +199,9 @@ def test_repeated_and_null_keys_are_judged_by_their_own_text(spark):
     rows += [(d, "the ordinary configuration manager handles several background processes and international words") for d in range(1000, 1040)]
     found = secrets.find(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id is null or doc_id < 1000").select("doc_id", secrets.written("found").alias("s")).collect()
     assert sorted(r.s for r in found) == ["", "", "random:0:28", "random:4:32"]
-    drawn = mixing.drawn(docs.withColumn("source", F.lit("s")).withColumn("lang", F.lit(None).cast("string")))
-    assert drawn.count() == 5
+    both = docs.withColumn("source", F.lit("s")).withColumn("lang", F.lit(None).cast("string"))
+    drawn = mixing.mixed(both)
+    assert drawn.count() == 5 and drawn.where("kept").count() == mixing.sample(both).count()
     assert mixing.sample(docs.withColumn("source", F.lit("s")).withColumn("lang", F.lit("en"))).columns[:2] == ["doc_id", "text"]
 
 
