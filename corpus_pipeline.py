@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, mixing, quality, similarity_join, token_files
-from tessera.llm.common import fold, row_hash, stored, table, without
+from tessera.llm.common import fold, stored, table
 
 #: A classifier and hash-driven sampling decide which rows stay; SQL can't express them.
 ORACLE_SQL = None
@@ -20,9 +20,7 @@ ORACLE_SQL = None
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts. It learns from labelled rows of docs."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
-    rows = docs.select(F.col("doc_id").alias("k"), row_hash("doc_id", "text").alias("r"), "text")
-    gone = quality.score(rows, model, keep=("k", "r")).where("predicted = 0").select("k", "r")
-    return without(docs, stored(gone, "rejected"), "doc_id", "text")
+    return quality.accepted(docs, model)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
