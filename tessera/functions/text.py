@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Query parameters that only track.
-TRACKING = "utm_source utm_medium utm_campaign utm_term utm_content fbclid gclid mc_cid mc_eid ref".split()
 #: Small words that don't count in titles.
 STOP = "a an and the of in on for to with from by at as is are was vs versus or".split()
 
@@ -28,13 +26,6 @@ def acronym_norm(c: Column) -> Column:
     return F.upper(F.trim(F.regexp_replace(c, r"\s+", " ")))
 
 
-def doi(c: Column) -> Column:
-    """The first DOI anywhere, %2F undone, publishers' path tails dropped, lower, without end punctuation; NULL if none."""
-    s = F.lower(F.regexp_extract(F.regexp_replace(c, "(?i)%2f", "/"), r"(?i)(10\.[0-9]{4,9}/[^\s\"'<>?#]+)", 1))
-    s = F.regexp_replace(F.regexp_replace(s, r"[.,;:)\]]+$", ""), r"/(full|abstract|pdf|epdf|meta)$", "")
-    return F.nullif(F.regexp_replace(s, r"[.,;:)\]]+$", ""), F.lit(""))
-
-
 def host(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z]+://([^/?#:]+)", 1)), r"^www\.", "")
 
@@ -44,14 +35,6 @@ def public_url(url: Column) -> Column:
     return F.when(F.lower(url).rlike("^https?://"), F.regexp_extract(url, "^([^?#]*)", 1))
 
 
-def canonical_url(url: Column) -> Column:
-    """Https, host without www, path without end slash, tracking parameters gone, the rest sorted, no fragment."""
-    path = F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]+([^?#]*)", 1), "/+$", "")
-    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.substring_index(F.lower(p), "=", 1).isin(TRACKING)))
-    return F.when(F.lower(url).rlike("^https?://"), F.concat(F.lit("https://"), host(url), path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")))
-
-
 def decoded(c: Column) -> Column:
     """The six entities, ampersand last."""
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
@@ -101,21 +84,3 @@ def line_keys(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
-
-
-def ladder(x: Column) -> Column:
-    """The first rung of 1.5, 2, 3, 5, 10, 20, 50, 100 that is at least x, else the next power of ten."""
-    out = F.pow(F.lit(10.0), F.ceil(F.log10(x)))
-    for rung in (100.0, 50.0, 20.0, 10.0, 5.0, 3.0, 2.0, 1.5):
-        out = F.when(x <= rung, rung).otherwise(out)
-    return out
-
-
-def endpoint_family(c: Column) -> Column:
-    """The first family whose words the endpoint's name has."""
-    s = F.lower(c)
-    rules = (("overall survival|\\bos\\b|death", "survival"), ("progression|\\bpfs\\b|disease-free|event-free", "progression"), ("response|\\borr\\b", "response"), ("toxic|adverse|safety", "toxicity"), ("quality of life|qol", "quality"), ("recurrence|local control", "control"))
-    out = F.when(s.isNull() | (F.trim(s) == ""), F.lit("unknown"))
-    for pattern, family in rules:
-        out = out.when(s.rlike(pattern), family)
-    return out.otherwise("other")

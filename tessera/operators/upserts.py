@@ -18,21 +18,6 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return both.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_p"))).where("_r = 1").drop("_p", "_r")
 
 
-def fill_missing(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Match by the first of keys that hits; old's values stay, its NULLs are filled; rows that hit none are added."""
-    n = new.select(*(F.col(c).alias(f"n_{c}") for c in [*keys, *columns])).withColumn("n_id", F.monotonically_increasing_id())
-    o = old.withColumn("o_id", F.monotonically_increasing_id())
-    hits = None
-    for rank, k in enumerate(keys):
-        one = o.join(n, F.col(k) == F.col(f"n_{k}")).select("o_id", "n_id", F.lit(rank).alias("rank"))
-        hits = one if hits is None else hits.union(one)
-    best = hits.withColumn("_r", F.row_number().over(Window.partitionBy("n_id").orderBy("rank", "o_id"))).where("_r = 1")
-    best = best.withColumn("_r", F.row_number().over(Window.partitionBy("o_id").orderBy("rank", "n_id"))).where("_r = 1").select("o_id", "n_id")
-    kept = o.join(best, "o_id", "left").join(n, "n_id", "left").select(*(F.coalesce(F.col(c), F.col(f"n_{c}")).alias(c) for c in [*keys, *columns]))
-    added = n.join(best.select("n_id"), "n_id", "left_anti").select(*(F.col(f"n_{c}").alias(c) for c in [*keys, *columns]))
-    return kept.union(added)
-
-
 def coalesced_queue(log: DataFrame, key: str, value: str, at: str) -> DataFrame:
     """One entry for each key: the last reason, when it was queued, how often."""
     return log.groupBy(key).agg(F.max_by(value, F.struct(F.col(at), F.col("event_id"))).alias("reason"), F.max(at).alias("queued_at"), F.count(F.lit(1)).alias("requests"))

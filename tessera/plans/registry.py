@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import effects as E
+from tessera.functions import identifiers as I
 from tessera.functions import text as T
 from tessera.operators import identity, tags, upserts
 from tessera.sources.tables import cards, table
@@ -156,10 +158,10 @@ def build_date_classify(spark, d):
     return a.join(b, "date", "full").select("date", state.alias("state"))
 
 
-@query("SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
+@query("SELECT event_id, user_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'purchase')")
 def new_since_baseline(spark, d):
     e = table(spark, d, "events")
-    return ingest.new_since(e.select("event_id", "user_id"), e.where("event_type = 'purchase'"), "user_id").select("event_id", "user_id")
+    return ingest.new_since(e.select("event_id", "user_id"), e.where("event_type = 'purchase'"), "event_id").select("event_id", "user_id")
 
 
 @query("SELECT event_id FROM events ORDER BY CAST(event_id AS VARCHAR) DESC LIMIT 500")
@@ -204,18 +206,12 @@ def cluster_collision(spark, d):
     return identity.collisions(table(spark, d, "documents").select(F.md5(F.col("text").cast("binary")).alias("key"), "source"), "key", "source")
 
 
-@query("WITH o AS (SELECT c_custkey AS k1, c_nationkey * 100000 + c_custkey AS k2, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS v FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey AS k1, c_nationkey * 100000 + c_custkey AS k2, 'new' AS v FROM customer WHERE c_custkey % 5 <> 0) SELECT coalesce(o.k1, n.k1) AS k1, coalesce(o.k2, n.k2) AS k2, coalesce(o.v, n.v) AS v FROM o FULL JOIN n ON o.k1 = n.k1")
-def upsert_multikey(spark, d):
-    c = table(spark, d, "customer").withColumn("k2", F.col("c_nationkey") * 100000 + F.col("c_custkey"))
-    old = c.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k1"), "k2", F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("v"))
-    new = c.where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("k1"), "k2", F.lit("new").alias("v"))
-    return upserts.fill_missing(old, new, ["k1", "k2"], ["v"])
-
-
-@query("WITH f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) SELECT event_id, user_id, event_type FROM f WHERE r = 1")
+@query("WITH f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 2 DESC, ts, event_id) AS r FROM events) SELECT event_id, user_id, event_type FROM f WHERE r = 1")
 def insert_if_absent(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
-    return upserts.insert_if_absent(e.limit(0), e, ["user_id"], [F.col("ts"), F.col("event_id")]).drop("ts")
+    order = [F.col("ts"), F.col("event_id")]
+    old = e.where("event_id % 2 = 1").withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(*order))).where("r = 1").drop("r")
+    return upserts.insert_if_absent(old, e.where("event_id % 2 = 0"), ["user_id"], order).drop("ts")
 
 
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS reason, max(ts) AS queued_at, count(*) AS requests FROM events GROUP BY 1")
@@ -243,8 +239,8 @@ def search_substring(spark, d):
 
 @query("SELECT p_partkey, '10.' || CAST(1000 + p_partkey % 9000 AS VARCHAR) || '/' || lower(p_brand) AS doi FROM part")
 def doi_normalize(spark, d):
-    made = F.concat(F.lit("see https://doi.org/10."), (1000 + F.col("p_partkey") % 9000).cast("string"), F.lit("%2F"), F.upper("p_brand"), F.lit("/full)."))
-    return table(spark, d, "part").select("p_partkey", T.doi(F.regexp_replace(made, "#", "-")).alias("doi")).withColumn("doi", F.regexp_replace("doi", "-(?=[0-9])", "#"))
+    made = F.concat(F.lit("see https://doi.org/10."), (1000 + F.col("p_partkey") % 9000).cast("string"), F.lit("%2F"), F.upper("p_brand"), F.lit("/full and more"))
+    return table(spark, d, "part").select("p_partkey", I.doi(F.regexp_replace(made, "#", "-")).alias("doi")).withColumn("doi", F.regexp_replace("doi", "-(?=[0-9])", "#"))
 
 
 @query("SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '^www\\.', '') AS host, regexp_extract(url, '^([^?#]*)', 1) AS public_url FROM pages")
@@ -268,17 +264,18 @@ def slugify(spark, d):
     return table(spark, d, "part").select("p_partkey", T.slugify(F.col("p_name")).alias("slug"), T.endpoint_norm(F.col("p_type")).alias("endpoint"), T.acronym_norm(F.col("p_name")).alias("acronym"))
 
 
-@query("WITH r AS (SELECT p_brand AS family, p_type AS kind, max(abs(ln(p_retailprice / 1000))) AS m FROM part WHERE p_retailprice > 0 GROUP BY 1, 2), x AS (SELECT family, kind, greatest(exp(m), 2.0) * 1.15 AS edge FROM r) SELECT family, kind, round(CASE WHEN edge <= 1.5 THEN 1.5 WHEN edge <= 2 THEN 2 WHEN edge <= 3 THEN 3 WHEN edge <= 5 THEN 5 WHEN edge <= 10 THEN 10 WHEN edge <= 20 THEN 20 WHEN edge <= 50 THEN 50 WHEN edge <= 100 THEN 100 ELSE pow(10, ceil(log10(edge))) END, 6) AS domain FROM x")
+@query("WITH r AS (SELECT p_brand AS family, p_type AS kind, max(abs(ln(p_retailprice / 1000))) AS m FROM part WHERE p_retailprice > 0 GROUP BY 1, 2), x AS (SELECT family, kind, exp(greatest(m, ln(2.0)) * 1.15) AS edge FROM r) SELECT family, kind, round(CAST(CASE WHEN edge <= 1.5 THEN 1.5 WHEN edge <= 2 THEN 2 WHEN edge <= 3 THEN 3 WHEN edge <= 4 THEN 4 WHEN edge <= 5 THEN 5 WHEN edge <= 7 THEN 7 WHEN edge <= 10 THEN 10 WHEN edge <= 15 THEN 15 WHEN edge <= 20 THEN 20 WHEN edge <= 30 THEN 30 WHEN edge <= 50 THEN 50 WHEN edge <= 100 THEN 100 ELSE pow(10, ceil(log10(edge))) END AS DOUBLE), 6) AS domain FROM x")
 def log_domain(spark, d):
-    r = table(spark, d, "part").where("p_retailprice > 0").groupBy(F.col("p_brand").alias("family"), F.col("p_type").alias("kind")).agg(F.max(F.abs(F.log(F.col("p_retailprice") / 1000))).alias("m"))
-    return r.select("family", "kind", F.round(T.ladder(F.greatest(F.exp("m"), F.lit(2.0)) * 1.15), 6).alias("domain"))
+    """G09, N15."""
+    r = table(spark, d, "part").groupBy(F.col("p_brand").alias("family"), F.col("p_type").alias("kind")).agg(F.max(E.half_width(F.col("p_retailprice") / 1000)).alias("m"))
+    return r.select("family", "kind", F.round(E.axis_end(F.col("m")), 6).alias("domain"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'survival' WHEN p_partkey % 4 = 1 THEN 'progression' WHEN p_partkey % 4 = 2 THEN 'other' ELSE 'unknown' END AS family FROM part")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'os' WHEN p_partkey % 4 = 1 THEN 'pfs' WHEN p_partkey % 4 = 2 THEN 'other' ELSE 'unknown' END AS family FROM part")
 def endpoint_family(spark, d):
     k = F.col("p_partkey") % 4
     name = F.when(k == 0, "Median Overall Survival").when(k == 1, "PFS at 2 years").when(k == 2, F.col("p_brand")).otherwise("  ")
-    return table(spark, d, "part").select("p_partkey", T.endpoint_family(name).alias("family"))
+    return table(spark, d, "part").select("p_partkey", E.family(name).alias("family"))
 
 
 @query("SELECT doc_id, len(list_distinct(regexp_extract_all(text, '[0-9]+\\.[0-9]+|[0-9]{2,}'))) AS n_values FROM documents")
@@ -306,11 +303,6 @@ def inverted_index_roundtrip(spark, d):
     return back.select("conv_id", "turn", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("text"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-def json_array_parse(spark, d):
-    return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
-
-
 @query("SELECT count(*) FILTER (WHERE toxic = 0 AND quality = 1) AS tp, count(*) FILTER (WHERE toxic = 0 AND quality = 0) AS fp, count(*) FILTER (WHERE toxic = 1 AND quality = 1) AS fn, round(count(*) FILTER (WHERE toxic = 0 AND quality = 1) / count(*) FILTER (WHERE toxic = 0), 6) AS precision, round(count(*) FILTER (WHERE toxic = 0 AND quality = 1) / count(*) FILTER (WHERE quality = 1), 6) AS recall, count(*) FILTER (WHERE toxic = 0 AND quality = 0) = 0 AS passed FROM labels")
 def precision_recall(spark, d):
     picked, good = F.col("toxic") == 0, F.col("quality") == 1
@@ -338,20 +330,26 @@ def rss_items(spark, d):
 
 @query("SELECT event_id, user_id, event_type, value FROM events")
 def stream_dedup_ingest(spark, d):
-    import tempfile
     import uuid
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tessera-")
-    path = f"{base}/tessera/stream-{uuid.uuid4().hex}"
+    from tessera.streaming.paths import shared_path
+
+    path = f"{shared_path(spark)}/stream-{uuid.uuid4().hex}"
     stream = ingest.dedup_ingest(ingest.event_stream(spark, d), ["event_id"]).select("event_id", "user_id", "event_type", "value")
     return ingest.run_to_table(stream, f"{path}/out", f"{path}/checkpoint")
 
 
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, count(*) AS changes FROM events GROUP BY 1")
-def stream_state_machine(spark, d):
+def stream_state_batch(spark, d):
     return upserts.last_state(table(spark, d, "events"), "user_id", "event_type", ["ts", "event_id"])
 
 
 @query("SELECT coalesce(max(event_id), -1) + 1 AS next_offset FROM events")
 def offset_next(spark, d):
     return ingest.next_offset(table(spark, d, "events"), "event_id")
+
+
+from tessera.plans import cases, relations  # noqa: E402
+
+QUERIES |= cases.QUERIES | relations.QUERIES
+SQL |= cases.SQL | relations.SQL
