@@ -223,13 +223,13 @@ def occurrences(docs: DataFrame, key: str, text: str, several: np.ndarray, hot:
         for b in batches:
             doc = b.column("doc")
             for a, row, begin, at, anchor, g, w in _windows(b.column("t")):
-                new = np.flatnonzero(np.diff(anchor, prepend=-1))
+                # windows whose anchors are equal and that follow each other are one row, as in a text of one repeated phrase
+                new = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (row[at[1:]] != row[at[:-1]]))) if len(at) else at
                 end = np.append(new[1:], len(at))
                 item = g[new].view(np.int64)
                 hit = passing(bits, item, ANCHOR_BITS)
                 new, end, item = new[hit], end[hit], item[hit]
                 own = row[at[new]]
-                # a document's windows with one anchor follow each other
                 s = pa.array([w[i:j].tobytes() for i, j in zip(new.tolist(), end.tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(item), doc.take(pa.array(a + own)), pa.array(at[new] - begin[own]), s, pa.array(passing(hot, item, ANCHOR_BITS))], names=["item", "doc", "word", "s", "hot"])
 
@@ -251,14 +251,14 @@ def _repeated(item, doc, word, s):
     same = (doc[of] == doc[of[head]]) & (at == at[head])
     end = np.repeat(last, size)
     several = (doc[of[head]] != doc[of[end]]) | (at[head] != at[end])
-    # one span for each row and whether it is to be removed: its windows all hold the anchor
+    # spans of each row, apart by whether they are to be removed and by gaps
     of, at, gone, from_ = of[several], at[several], ~same[several], doc[of[head]][several]
     by = of * 2 + gone
     order = np.lexsort((at, by))
     by, of, at, gone, from_ = (x[order] for x in (by, of, at, gone, from_))
     if not len(by):
         return by, by, by, gone, by, by
-    first = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]]))
+    first = np.flatnonzero(np.concatenate([[True], (by[1:] != by[:-1]) | (at[1:] - at[:-1] > RUN)]))
     last = np.append(first[1:], len(by)) - 1
     return doc[of[first]], at[first], at[last] + RUN, gone[first], item[of[first]], np.minimum.reduceat(from_, first)
 
@@ -304,13 +304,15 @@ def equal_runs(docs: DataFrame, key: str, text: str) -> DataFrame:
     windows = stored(kinds.mapInArrow(apart, "w bigint, i bigint, item bigint, sid bigint, doc bigint, word bigint, c bigint"), "windows")
     heads = windows.groupBy("w").agg(F.min(F.struct("doc", (F.col("word") + F.col("i")).alias("at"))).alias("head"), F.sum("c").alias("n")).where("n > 1").select("w", "head")
     own = (F.col("doc") == F.col("head.doc")) & (F.col("word") + F.col("i") == F.col("head.at"))
-    part = lambda ok: F.struct(F.min(F.when(ok, F.col("i"))).alias("lo"), (F.max(F.when(ok, F.col("i"))) + RUN).alias("hi"), F.min(F.when(ok, F.col("head.doc"))).alias("first"))
-    spans_ = windows.join(heads, "w").groupBy("item", "sid").agg(F.min("doc").alias("d"), F.min("word").alias("o"), part(F.lit(True)).alias("any"), part(own).alias("kept"), part(~own).alias("gone"))
-    # the first row of its kind may be the first occurrence of some windows; all others are repeats
-    first_ = (F.col("doc") == F.col("d")) & (F.col("word") == F.col("o"))
-    each = F.when(first_, F.array(F.struct("kept.*", F.lit(False).alias("gone")), F.struct("gone.*", F.lit(True).alias("gone")))).otherwise(F.array(F.struct("any.*", F.lit(True).alias("gone"))))
-    many = hot.select("item", "sid", "doc", "word").join(spans_, ["item", "sid"]).select("item", "doc", "word", F.filter(each, lambda x: x["lo"].isNotNull()).alias("each"))
-    many = many.select("item", "doc", "word", F.explode("each").alias("x")).select("doc", (F.col("word") + F.col("x.lo")).alias("lo"), (F.col("word") + F.col("x.hi")).alias("hi"), F.col("x.gone").alias("gone"), F.col("item").alias("class_id"), F.col("x.first").alias("first"))
+    # the first row of a kind may be the first occurrence of some windows; all others are repeats
+    hit = windows.join(heads, "w").select("item", "sid", "doc", "word", "i", F.col("head.doc").alias("first"), F.explode(F.array(F.lit("any"), F.when(own, "kept").otherwise("gone"))).alias("cls"))
+    w = Window.partitionBy("item", "sid", "cls").orderBy("i")
+    hit = hit.withColumn("new", F.coalesce(F.col("i") - F.lag("i").over(w) > RUN, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(w))
+    spans_ = hit.groupBy("item", "sid", "doc", "word", "cls", "run").agg(F.min("i").alias("lo"), (F.max("i") + RUN).alias("hi"), F.min("first").alias("first"))
+    spans_ = spans_.groupBy("item", "sid", F.col("doc").alias("d"), F.col("word").alias("o")).agg(F.collect_list(F.struct("cls", "lo", "hi", "first")).alias("each"))
+    mine = (F.col("doc") == F.col("d")) & (F.col("word") == F.col("o"))
+    many = hot.select("item", "sid", "doc", "word").join(spans_, ["item", "sid"]).select("item", "doc", "word", F.explode(F.filter("each", lambda x: (x["cls"] == "any") != mine)).alias("x"))
+    many = many.select("doc", (F.col("word") + F.col("x.lo")).alias("lo"), (F.col("word") + F.col("x.hi")).alias("hi"), (F.col("x.cls") != "kept").alias("gone"), F.col("item").alias("class_id"), F.col("x.first").alias("first"))
     return few.unionByName(many)
 
 

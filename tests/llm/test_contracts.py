@@ -271,6 +271,7 @@ def test_mixing_equals_brute_force(spark, sf):
 
 def test_paragraph_dedup_of_hot_anchors(spark, monkeypatch):
     rows = [(d, " ".join([f"o{d}x{i}" for i in range(d % 7)] + [f"p{i}" for i in range(60)] + [f"q{d}x{i}" for i in range(20)])) for d in range(30)]
+    rows += [(100 + d, " ".join(["tick", "tock"] * (30 + d) + ["break"] * (d % 2) + ["tick", "tock"] * 40)) for d in range(8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     spans = lambda: {(r.doc, i, r.gone) for r in paragraph_dedup.equal_runs(docs, "doc_id", "text").collect() for i in range(r.lo, r.hi)}
     cold = spans()
