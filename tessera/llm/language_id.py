@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, by_value, mix, strings, unit
+from tessera.llm.common import U64, by_value, mix, strings, tidy, unit
 
 by_value(__name__)
 DIMS = 4096
@@ -108,7 +108,7 @@ def fit(docs: DataFrame, learn, lang: str = "lang", text: str = "text", key: str
             for a, z, x in _blocks(b.column("t")):
                 yield pa.RecordBatch.from_arrays([b.column("l")[a:z], pa.array([r.astype(np.float32).tobytes() for r in x], pa.binary())], names=["l", "x"])
 
-    got = sorted(tuple(r) for r in rows.where(keep).select(F.col(lang).alias("l"), F.col(text).alias("t")).mapInArrow(counted, "l string, x binary").collect())
+    got = sorted(tuple(r) for r in rows.where(keep).select(F.col(lang).alias("l"), F.col(text).alias("t")).mapInArrow(tidy(counted), "l string, x binary").collect())
     if not got:  # so few rows that the hash left none
         return fit(docs, learn, lang, text, key, 1 << 30, centroids) if per_language < 1 << 30 else {"names": [], "c": np.zeros((0, DIMS), np.float32), "of": np.zeros(0, int), "idf": np.ones(DIMS, np.float32), "least": np.zeros(0)}
     x = np.vstack([np.frombuffer(r[1], np.float32) for r in got])
@@ -145,4 +145,4 @@ def predict(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, .
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(list(names), pa.string()), pa.array(score), pa.array(far)], names=[*keep, "lang_pred", "score", "rejected"])
 
     schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep), "lang_pred string", "score double", "rejected boolean"])
-    return docs.select(*keep, F.coalesce(F.col(text).rlike("\\p{L}"), F.lit(False)).alias("_has"), F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.coalesce(F.col(text).rlike("\\p{L}"), F.lit(False)).alias("_has"), F.col(text).alias("_text")).mapInArrow(tidy(run), schema)

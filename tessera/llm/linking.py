@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, by_value, stored
+from tessera.llm.common import U64, by_value, stored, tidy
 
 by_value(__name__)
 #: Bits of the filter over candidate items; a fixed size, and only a filter: what passes it is joined exactly.
@@ -292,6 +292,6 @@ def link(members: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, d
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
     by = ["p", "lo", "hi"]
     dealt = dealt.select(*by, "block", "item", "n", "bits", "fams").repartition(*by).sortWithinPartitions(*by)
-    likely = stored(dealt.mapInArrow(_partners_left(num, den), "p bigint, lo int, hi int, block int, item bigint, fams array<bigint>"), "likely")
+    likely = stored(dealt.mapInArrow(tidy(_partners_left(num, den)), "p bigint, lo int, hi int, block int, item bigint, fams array<bigint>"), "likely")
     whole = sets(likely.select("item")).join(likely, "item").select(*by, "block", "item", "fams", "s").repartition(*by).sortWithinPartitions(*by)
-    return whole.mapInArrow(_linked(num, den), "item bigint, links bigint, root bigint")
+    return whole.mapInArrow(tidy(_linked(num, den)), "item bigint, links bigint, root bigint")

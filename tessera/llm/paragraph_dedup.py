@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, by_value, byte_values, mix, runs, shingles, shingles_at, space_classes, spans, stored, strings
+from tessera.llm.common import U64, by_value, byte_values, mix, runs, shingles, shingles_at, space_classes, spans, stored, strings, tidy
 from tessera.llm.linking import _and_none, bitmap, components, families, filter_of, link, passing
 
 by_value(__name__)
@@ -132,7 +132,7 @@ def unit_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
                 word = first - np.repeat(first[fresh], np.diff(fresh, append=len(row)))
                 yield pa.RecordBatch.from_arrays([docs_.take(pa.array(row)), *(pa.array(x) for x in (number, word, ends - first, item)), bands], names=[*names, "bands"])
 
-    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("t")).mapInArrow(run, ", ".join(f"{x} bigint" for x in names) + ", bands binary")
+    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("t")).mapInArrow(tidy(run), ", ".join(f"{x} bigint" for x in names) + ", bands binary")
 
 
 def tokens(rows: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
@@ -148,7 +148,7 @@ def tokens(rows: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
                 token, item = token[hit], item[hit]
             yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(item)], names=["token", "item"])
 
-    return rows.where("bands is not null").select("item", "bands").mapInArrow(run, "token bigint, item bigint")
+    return rows.where("bands is not null").select("item", "bands").mapInArrow(tidy(run), "token bigint, item bigint")
 
 
 def unit_sets(docs: DataFrame, text: str, items: DataFrame, small: bool) -> DataFrame:
@@ -168,7 +168,7 @@ def unit_sets(docs: DataFrame, text: str, items: DataFrame, small: bool) -> Data
                 rest = [pa.array([len(x) for x in found], pa.int64()), pa.array([bitmap(x, BITS) for x in found], pa.binary())] if small else [pa.array([x.tobytes() for x in found], pa.binary())]
                 yield pa.RecordBatch.from_arrays([pa.array(list(one), pa.int64()), *rest], names=names)
 
-    return docs.select(F.col(text).alias("t")).mapInArrow(run, "item bigint, n bigint, bits binary" if small else "item bigint, s binary").dropDuplicates(["item"])
+    return docs.select(F.col(text).alias("t")).mapInArrow(tidy(run), "item bigint, n bigint, bits binary" if small else "item bigint, s binary").dropDuplicates(["item"])
 
 
 def anchored(h: np.ndarray, row: np.ndarray):
@@ -211,7 +211,7 @@ def anchors(docs: DataFrame, text: str) -> DataFrame:
                 new = np.flatnonzero(np.diff(anchor, prepend=-1))
                 yield pa.RecordBatch.from_arrays([pa.array(g[new].view(np.int64))], names=["item"])
 
-    return docs.select(F.col(text).alias("t")).mapInArrow(run, "item bigint")
+    return docs.select(F.col(text).alias("t")).mapInArrow(tidy(run), "item bigint")
 
 
 def occurrences(docs: DataFrame, key: str, text: str, several: np.ndarray, hot: np.ndarray) -> DataFrame:
@@ -233,7 +233,7 @@ def occurrences(docs: DataFrame, key: str, text: str, several: np.ndarray, hot:
                 s = pa.array([w[i:j].tobytes() for i, j in zip(new.tolist(), end.tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(item), doc.take(pa.array(a + own)), pa.array(at[new] - begin[own]), s, pa.array(passing(hot, item, ANCHOR_BITS))], names=["item", "doc", "word", "s", "hot"])
 
-    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("t")).mapInArrow(run, "item bigint, doc bigint, word bigint, s binary, hot boolean")
+    return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("t")).mapInArrow(tidy(run), "item bigint, doc bigint, word bigint, s binary, hot boolean")
 
 
 def _repeated(item, doc, word, s):
@@ -295,13 +295,13 @@ def equal_runs(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([w, pa.array(i), *(b.column(k).take(pa.array(of)) for k in ("item", "sid", "doc", "word", "c"))], names=["w", "i", "item", "sid", "doc", "word", "c"])
 
     rows = found.where("not hot").repartition("item").sortWithinPartitions("item")
-    few = rows.select("item", "doc", "word", "s").mapInArrow(run, "doc bigint, lo bigint, hi bigint, gone boolean, class_id bigint, first bigint")
+    few = rows.select("item", "doc", "word", "s").mapInArrow(tidy(run), "doc bigint, lo bigint, hi bigint, gone boolean, class_id bigint, first bigint")
     # of a hot anchor's rows nearly all have the same windows: these are looked at once, not once a row
     hot = found.where("hot").withColumn("sid", F.xxhash64("s"))
     place = F.struct("doc", "word")
     kinds = hot.groupBy("item", "sid").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("c"), F.first("s").alias("s"))
     kinds = kinds.select("item", "sid", "at.doc", "at.word", "c", "s")
-    windows = stored(kinds.mapInArrow(apart, "w bigint, i bigint, item bigint, sid bigint, doc bigint, word bigint, c bigint"), "windows")
+    windows = stored(kinds.mapInArrow(tidy(apart), "w bigint, i bigint, item bigint, sid bigint, doc bigint, word bigint, c bigint"), "windows")
     heads = windows.groupBy("w").agg(F.min(F.struct("doc", (F.col("word") + F.col("i")).alias("at"))).alias("head"), F.sum("c").alias("n")).where("n > 1").select("w", "head")
     own = (F.col("doc") == F.col("head.doc")) & (F.col("word") + F.col("i") == F.col("head.at"))
     # the first row of a kind may be the first occurrence of some windows; all others are repeats

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import by_value, stored
+from tessera.llm.common import by_value, stored, tidy
 
 by_value(__name__)
 KINDS = ("email", "ip", "card", "phone")
@@ -211,7 +211,7 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                 rows.append([] if not s else [{"kind": k, "start": x, "stop": y, "base": is_base, "votes": ",".join(map(str, v)), "feats": f} for k, x, y, is_base, v, f in propose(s, c)])
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(rows, pa.list_(pa.struct(fields)))], names=["k", "spans"])
 
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, spans {SPANS}").withColumnRenamed("k", key)
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(tidy(run), f"k {kind}, spans {SPANS}").withColumnRenamed("k", key)
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

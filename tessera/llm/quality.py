@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, by_value, byte_values, mix, runs, slices_of, spans, stored, strings, sum_slices, unit
+from tessera.llm.common import U64, by_value, byte_values, mix, runs, slices_of, spans, stored, strings, sum_slices, tidy, unit
 
 by_value(__name__)
 #: Bound of the training sample: expected labelled rows.
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, label: str = "quality", key:
         yield slices_of(out.ravel(), _WIDTH)
 
     bits = BITS + int(np.log2(DIMS))
-    words = sum_slices(docs.select(F.col(text).alias("t")).mapInArrow(contexts, "part int, slice int, counts binary"), _WIDTH, bits).reshape(-1, DIMS).astype(np.float32)
+    words = sum_slices(docs.select(F.col(text).alias("t")).mapInArrow(tidy(contexts), "part int, slice int, counts binary"), _WIDTH, bits).reshape(-1, DIMS).astype(np.float32)
     words /= np.maximum(np.linalg.norm(words, axis=1, keepdims=True), 1e-6)
     words, shapes = np.hstack([words, words**2]), index_vectors(SHAPES, SEED + 1)
 
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, label: str = "quality", key:
             x = pooled(*strings(b.column("t")), words, shapes)
             yield pa.RecordBatch.from_arrays([b.column("k"), b.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["k", "y", "x"])
 
-    got = sorted((tuple(r) for r in sample.mapInArrow(pool, f"k {docs.schema[key].dataType.simpleString()}, y int, x binary").collect()), key=lambda r: (r[0], r[1], bytes(r[2])))
+    got = sorted((tuple(r) for r in sample.mapInArrow(tidy(pool), f"k {docs.schema[key].dataType.simpleString()}, y int, x binary").collect()), key=lambda r: (r[0], r[1], bytes(r[2])))
     y = np.array([r[1] for r in got], float)
     net = {"words": words, "shapes": shapes, "p": None, "t": 1.0, "prior": float(y.mean()) if len(y) else 0.5}
     if len(set(y)) < 2:
@@ -207,7 +207,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
     schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep), "score double", "predicted int"])
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(tidy(run), schema)
 
 
 def accepted(docs: DataFrame, model: dict, text: str = "text", threshold: float = 0.3) -> DataFrame:

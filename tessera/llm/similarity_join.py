@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, by_value, byte_values, mix, runs, shingles, slices_of, space_classes, spans, stored, strings, sum_slices
+from tessera.llm.common import U64, by_value, byte_values, mix, runs, shingles, slices_of, space_classes, spans, stored, strings, sum_slices, tidy
 from tessera.llm.linking import bitmap, components, families, filter_of, link, passing
 
 by_value(__name__)
@@ -66,7 +66,7 @@ def rarity(docs: DataFrame, text: str, k: int) -> np.ndarray:
                     out += np.bincount(buckets(shingles(h, k)[row[: len(h) - k + 1] == row[k - 1 :]]), minlength=1 << RARITY_BITS)
         yield slices_of(out, _WIDTH)
 
-    return sum_slices(docs.select(F.col(text).alias("t")).mapInArrow(run, "part int, slice int, counts binary"), _WIDTH, RARITY_BITS)
+    return sum_slices(docs.select(F.col(text).alias("t")).mapInArrow(tidy(run), "part int, slice int, counts binary"), _WIDTH, RARITY_BITS)
 
 
 def rarest(s: np.ndarray, rare: np.ndarray, n: int) -> np.ndarray:
@@ -103,7 +103,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, key: str, text: str, num: int,
                 bits.append(bitmap(s, BITS) if fresh else None)
             yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(g, pa.int64()), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())], names=["doc", "n", "h", "g", "prefix", "bits"])
 
-    return docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("t")).mapInArrow(run, "doc bigint, n bigint, h bigint, g bigint, prefix binary, bits binary")
+    return docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("t")).mapInArrow(tidy(run), "doc bigint, n bigint, h bigint, g bigint, prefix binary, bits binary")
 
 
 def tokens(rows: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
@@ -120,7 +120,7 @@ def tokens(rows: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
                 token, item = token[hit], item[hit]
             yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(item)], names=["token", "item"])
 
-    return rows.where("prefix is not null and doc is not null").select("g", "prefix").mapInArrow(run, "token bigint, item bigint")
+    return rows.where("prefix is not null and doc is not null").select("g", "prefix").mapInArrow(tidy(run), "token bigint, item bigint")
 
 
 def sets_of(docs: DataFrame, text: str, k: int):
@@ -139,7 +139,7 @@ def sets_of(docs: DataFrame, text: str, k: int):
                         # a set at a time, so that memory is that of one
                         yield pa.RecordBatch.from_arrays([pa.array([h], pa.int64()), pa.array([s.tobytes()], pa.binary())], names=["item", "s"])
 
-        return docs.select(F.col(text).alias("t")).mapInArrow(run, "item bigint, s binary").dropDuplicates(["item"])
+        return docs.select(F.col(text).alias("t")).mapInArrow(tidy(run), "item bigint, s binary").dropDuplicates(["item"])
 
     return make
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import by_value, shared_dir
+from tessera.llm.common import by_value, shared_dir, tidy
 
 by_value(__name__)
 BLOCK = 4096
@@ -424,7 +424,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, key: str = "doc_id",
 
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).repartitionByRange(parts, F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), F.col("t").asc_nulls_first())
-    rows.mapInArrow(run, f"part int, seg int, keys array<{kind}>, lens array<bigint>, payload binary").write.option("compression", "none").parquet(path)
+    rows.mapInArrow(tidy(run), f"part int, seg int, keys array<{kind}>, lens array<bigint>, payload binary").write.option("compression", "none").parquet(path)
     return path
 
 
@@ -471,7 +471,7 @@ def read(spark, path: str) -> DataFrame:
     part = sizes.groupBy("part").agg(F.sum("n").alias("n"))  # one row for each range partition
     part = part.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
     places = sizes.select("part", "seg", before.alias("before")).join(part, "part").select("part", "seg", (F.col("before") + F.col("first")).alias("base"))
-    got = rows.mapInArrow(run, f"part int, seg int, k {kind}, at bigint, n_tokens bigint, ids_crc32 bigint")
+    got = rows.mapInArrow(tidy(run), f"part int, seg int, k {kind}, at bigint, n_tokens bigint, ids_crc32 bigint")
     return got.join(places, ["part", "seg"]).select(F.col("k").alias("key"), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
