@@ -291,8 +291,17 @@ def equal_runs(docs: DataFrame, key: str, text: str) -> DataFrame:
             n = np.array([len(x) // 8 for x in s], np.int64)
             of = np.repeat(np.arange(len(n)), n)
             i = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-            w = pa.array(np.frombuffer(b"".join(s), np.int64))
-            yield pa.RecordBatch.from_arrays([w, pa.array(i), *(b.column(k).take(pa.array(of)) for k in ("item", "sid", "doc", "word", "c"))], names=["w", "i", "item", "sid", "doc", "word", "c"])
+            w = np.frombuffer(b"".join(s), np.int64)
+            # places of one window in one kind are one row unless they are further apart than a window is long
+            order = np.lexsort((i, w, of))
+            w, of, i = w[order], of[order], i[order]
+            if not len(w):
+                continue
+            first = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (of[1:] != of[:-1]) | (i[1:] - i[:-1] > RUN)))
+            size = np.diff(first, append=len(w))
+            second = pa.array(i[np.minimum(first + 1, len(i) - 1)], mask=size < 2)
+            cols = [pa.array(w[first]), pa.array(i[first]), second, pa.array(i[first + size - 1]), pa.array(size), *(b.column(k).take(pa.array(of[first])) for k in ("item", "sid", "doc", "word", "c"))]
+            yield pa.RecordBatch.from_arrays(cols, names=["w", "lo", "second", "hi", "n", "item", "sid", "doc", "word", "c"])
 
     rows = found.where("not hot").repartition("item").sortWithinPartitions("item")
     few = rows.select("item", "doc", "word", "s").mapInArrow(tidy(run), "doc bigint, lo bigint, hi bigint, gone boolean, class_id bigint, first bigint")
@@ -301,14 +310,19 @@ def equal_runs(docs: DataFrame, key: str, text: str) -> DataFrame:
     place = F.struct("doc", "word")
     kinds = hot.groupBy("item", "sid").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("c"), F.first("s").alias("s"))
     kinds = kinds.select("item", "sid", "at.doc", "at.word", "c", "s")
-    windows = stored(kinds.mapInArrow(tidy(apart), "w bigint, i bigint, item bigint, sid bigint, doc bigint, word bigint, c bigint"), "windows")
-    heads = windows.groupBy("w").agg(F.min(F.struct("doc", (F.col("word") + F.col("i")).alias("at"))).alias("head"), F.sum("c").alias("n")).where("n > 1").select("w", "head")
-    own = (F.col("doc") == F.col("head.doc")) & (F.col("word") + F.col("i") == F.col("head.at"))
+    schema = ", ".join(f"{x} bigint" for x in ("w", "lo", "second", "hi", "n", "item", "sid", "doc", "word", "c"))
+    windows = stored(kinds.mapInArrow(tidy(apart), schema), "windows")
+    heads = windows.groupBy("w").agg(F.min(F.struct("doc", (F.col("word") + F.col("lo")).alias("at"))).alias("head"), F.sum(F.col("c") * F.col("n")).alias("places")).where("places > 1").select("w", "head")
+    own = (F.col("doc") == F.col("head.doc")) & (F.col("word") + F.col("lo") == F.col("head.at"))
     # the first row of a kind may be the first occurrence of some windows; all others are repeats
-    hit = windows.join(heads, "w").select("item", "sid", "doc", "word", "i", F.col("head.doc").alias("first"), F.explode(F.array(F.lit("any"), F.when(own, "kept").otherwise("gone"))).alias("cls"))
-    w = Window.partitionBy("item", "sid", "cls").orderBy("i")
-    hit = hit.withColumn("new", F.coalesce(F.col("i") - F.lag("i").over(w) > RUN, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(w))
-    spans_ = hit.groupBy("item", "sid", "doc", "word", "cls", "run").agg(F.min("i").alias("lo"), (F.max("i") + RUN).alias("hi"), F.min("first").alias("first"))
+    one = lambda cls, lo, hi: F.struct(F.lit(cls).alias("cls"), F.col(lo).alias("lo"), F.col(hi).alias("hi"))
+    parts = F.when(own, F.array(one("any", "lo", "hi"), one("kept", "lo", "lo"), one("gone", "second", "hi"))).otherwise(F.array(one("any", "lo", "hi"), one("gone", "lo", "hi")))
+    hit = windows.join(heads, "w").select("item", "sid", "doc", "word", F.col("head.doc").alias("first"), F.explode(F.filter(parts, lambda x: x["lo"].isNotNull())).alias("x"))
+    hit = hit.select("item", "sid", "doc", "word", "first", "x.cls", "x.lo", "x.hi")
+    w = Window.partitionBy("item", "sid", "cls").orderBy("lo", "hi")
+    new = F.coalesce(F.col("lo") - F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)) > RUN, F.lit(True)).cast("int")
+    hit = hit.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    spans_ = hit.groupBy("item", "sid", "doc", "word", "cls", "run").agg(F.min("lo").alias("lo"), (F.max("hi") + RUN).alias("hi"), F.min("first").alias("first"))
     spans_ = spans_.groupBy("item", "sid", F.col("doc").alias("d"), F.col("word").alias("o")).agg(F.collect_list(F.struct("cls", "lo", "hi", "first")).alias("each"))
     mine = (F.col("doc") == F.col("d")) & (F.col("word") == F.col("o"))
     many = hot.select("item", "sid", "doc", "word").join(spans_, ["item", "sid"]).select("item", "doc", "word", F.explode(F.filter("each", lambda x: (x["cls"] == "any") != mine)).alias("x"))
