@@ -104,8 +104,8 @@ def pooled(u8: np.ndarray, offs: np.ndarray, words: np.ndarray, shapes: np.ndarr
             continue
         first = (np.cumsum(rows) - rows)[some]
         total = np.zeros((len(some), 2 * DIMS), np.float64)
-        for x in range(0, len(bucket), 1 << 19):  # bounded, also for one very long text
-            y = min(len(bucket), x + (1 << 19))
+        for x in range(0, len(bucket), 1 << 16):  # bounded, also for one very long text
+            y = min(len(bucket), x + (1 << 16))
             cut = np.clip(first, x, y)
             live = np.flatnonzero((np.append(first[1:], len(bucket)) > x) & (first < y))
             total[live] += np.add.reduceat(words[bucket[x:y]], cut[live] - x, axis=0)
