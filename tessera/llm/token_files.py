@@ -34,7 +34,7 @@ by_value(__name__)
 BLOCK = 4096
 SEGMENT = 1 << 18
 #: Blocks that are coded in lockstep.
-LANES = 1024
+LANES = 512
 TOTAL = 24
 SUM = 1 << 23
 #: Fixed parts of the four weights: order 2, order 1, order 0, uniform rest.
@@ -42,7 +42,7 @@ FLOOR = (1 << 18, 1 << 18, 1 << 21)
 BITS2, BITS1, BITS0 = 11, 10, 10
 RATE = 5
 #: Words whose ids a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Bytes of text that are tokenized at once.
 PIECE = 2 << 20
 
