@@ -34,7 +34,7 @@ by_value(__name__)
 BLOCK = 4096
 SEGMENT = 1 << 18
 #: Blocks that are coded in lockstep.
-LANES = 512
+LANES = 1024
 TOTAL = 24
 SUM = 1 << 23
 #: Fixed parts of the four weights: order 2, order 1, order 0, uniform rest.
@@ -42,9 +42,13 @@ FLOOR = (1 << 18, 1 << 18, 1 << 21)
 BITS2, BITS1, BITS0 = 11, 10, 10
 RATE = 5
 #: Words whose ids a task remembers.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
+#: Rows of a batch that goes to a worker; they are cut further by PIECE.
+ROWS = 1000
 #: Bytes of text that are tokenized at once.
 PIECE = 2 << 20
+#: Letters, and a sign behind them: the byte-level pattern makes one piece of each.
+SIMPLE = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([,.;:!?]?)"
 
 
 class _Coder:
@@ -265,6 +269,21 @@ def _opened(payload: bytes):
     return head, np.split(words, cuts[:-1]) if n else []
 
 
+def _spelling():
+    """A function from a text to the signs by which a byte-level model writes its UTF-8 bytes."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = sorted({*range(256)} - {*shown})
+    table = {b: 256 + i for i, b in enumerate(hidden)}
+    return lambda text: text.encode().decode("latin-1").translate(table)
+
+
+def _byte_level(tok, simple) -> bool:
+    """Whether the tokenizer cuts texts by the byte-level pattern, and has no added token that simple words could hold."""
+    kind = repr(tok.pre_tokenizer)
+    plain = kind.startswith("ByteLevel(") and "add_prefix_space=False" in kind and "use_regex=True" in kind
+    return plain and tok.normalizer is None and not any(simple(t.content.strip()) for t in tok.get_added_tokens_decoder().values())
+
+
 def word_ids(path: str):
     """A function from an Arrow column of texts to all their ids (u16) and the number of ids of each.
 
@@ -272,10 +291,12 @@ def word_ids(path: str):
     it, so words are encoded apart, with the blank before them, and remembered. Texts with blanks beside other white space are encoded whole.
     """
     import itertools
+    import re
 
     import pyarrow.compute as pc
     from tokenizers import Tokenizer
 
+    simple = re.compile(SIMPLE).fullmatch
     kept = sys.modules.setdefault("_tessera_kept", types.ModuleType("_tessera_kept"))
     if getattr(kept, "path", None) != path:
         kept.path, kept.tok = path, Tokenizer.from_file(path)
@@ -283,6 +304,8 @@ def word_ids(path: str):
             raise ValueError("ids need more than 16 bits")
         kept.places, kept.pool, kept.used, kept.at, kept.lens = None, None, 0, None, None
     tok = kept.tok
+    pieces, spelled = tok.model.tokenize, _spelling()
+    byte_level = _byte_level(tok, simple)
     begins = np.zeros(1 << 16, bool)  # ids of tokens that begin with the blank
     for token, i in tok.get_vocab().items():
         begins[i] = token.startswith("\u0120")
@@ -304,16 +327,36 @@ def word_ids(path: str):
         kept.used = m
 
     def learn(words: list[str]) -> None:
-        """Words with a blank before them, many in one text: only a word's first token begins with a blank."""
-        for a in range(0, len(words), 2000):
-            part = words[a : a + 2000]
-            ids = np.array(tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.uint16)
-            cut = np.flatnonzero(begins[ids])
+        """Words with a blank before them: simple ones by the model alone, others many in one text."""
+        ids: list = [None] * len(words)
+        rest, stems, signs = [], {}, {}
+        for i, w in enumerate(words):
+            m = simple(w) if byte_level else None
+            if m is None:
+                rest.append(i)
+                continue
+            stem, sign = m.groups()
+            x = stems.get(stem)
+            if x is None:
+                x = stems[stem] = [t.id for t in pieces("\u0120" + stem if stem.isascii() else spelled(" " + stem))]
+            if sign:
+                y = signs.get(sign)
+                if y is None:
+                    y = signs[sign] = [t.id for t in pieces(spelled(sign))]
+                x = x + y
+            ids[i] = x
+        for a in range(0, len(rest), 2000):
+            part = rest[a : a + 2000]
+            some = np.array(tok.encode_batch_fast([" " + " ".join([words[i] for i in part])], add_special_tokens=False)[0].ids, np.uint16)
+            cut = np.flatnonzero(begins[some])  # only a word's first token begins with a blank
             if len(cut) == len(part):
-                add(part, ids, np.diff(cut, append=len(ids)))
+                own = [x.tolist() for x in np.split(some, cut[1:])]
             else:  # a tokenizer of another kind
-                own = [tok.encode(" " + w, add_special_tokens=False).ids for w in part]
-                add(part, np.array([i for x in own for i in x], np.uint16), np.array([len(x) for x in own]))
+                own = [tok.encode(" " + words[i], add_special_tokens=False).ids for i in part]
+            for i, x in zip(part, own, strict=True):
+                ids[i] = x
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        add(words, np.fromiter(itertools.chain.from_iterable(ids), np.uint16, int(lens.sum())), lens)
 
     def plain(words) -> np.ndarray:
         """Where words, an Arrow column, have no white space at either end, and a sign at least."""
@@ -424,7 +467,14 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, key: str = "doc_id",
 
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).repartitionByRange(parts, F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), F.col("t").asc_nulls_first())
-    rows.mapInArrow(tidy(run), f"part int, seg int, keys array<{kind}>, lens array<bigint>, payload binary").write.option("compression", "none").parquet(path)
+    files = rows.mapInArrow(tidy(run), f"part int, seg int, keys array<{kind}>, lens array<bigint>, payload binary")
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, str(ROWS))  # small batches: both ends of the pipe hold whole ones
+    try:
+        files.write.option("compression", "none").parquet(path)
+    finally:
+        spark.conf.set(batch, before)
     return path
 
 
