@@ -6,6 +6,7 @@ object per word. All functions here treat null text as empty text.
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import tempfile
 import uuid
@@ -49,6 +50,18 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """While it lasts, what runs sends workers batches of so many rows: for whole texts, since both ends of the pipe hold whole batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

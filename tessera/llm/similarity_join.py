@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, by_value, byte_values, mix, runs, shingles, slices_of, space_classes, spans, stored, strings, sum_slices, tidy
+from tessera.llm.common import U64, by_value, byte_values, mix, runs, shingles, slices_of, small_batches, space_classes, spans, stored, strings, sum_slices, tidy
 from tessera.llm.linking import bitmap, components, families, filter_of, link, passing
 
 by_value(__name__)
@@ -66,7 +66,8 @@ def rarity(docs: DataFrame, text: str, k: int) -> np.ndarray:
                     out += np.bincount(buckets(shingles(h, k)[row[: len(h) - k + 1] == row[k - 1 :]]), minlength=1 << RARITY_BITS)
         yield slices_of(out, _WIDTH)
 
-    return sum_slices(docs.select(F.col(text).alias("t")).mapInArrow(tidy(run), "part int, slice int, counts binary"), _WIDTH, RARITY_BITS)
+    with small_batches(docs.sparkSession):
+        return sum_slices(docs.select(F.col(text).alias("t")).mapInArrow(tidy(run), "part int, slice int, counts binary"), _WIDTH, RARITY_BITS)
 
 
 def rarest(s: np.ndarray, rare: np.ndarray, n: int) -> np.ndarray:
@@ -147,7 +148,8 @@ def sets_of(docs: DataFrame, text: str, k: int):
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = NUM, den: int = DEN, k: int = SHINGLE) -> DataFrame:
     """key, n_shingles, component_id, class_id (least document with an equal set), links (with other classes); one row for each row of docs."""
     counts = rarity(docs, text, k)
-    rows = stored(prefixes(docs, counts, key, text, num, den, k), "sets")
+    with small_batches(docs.sparkSession):
+        rows = stored(prefixes(docs, counts, key, text, num, den, k), "sets")
     some = rows.where("n > 0 and doc is not null")
     reps = stored(some.groupBy("h", "g", "n").agg(F.min("doc").alias("rep"), F.first("bits", ignorenulls=True).alias("bits")), "reps")
     # a group of several members is a family of its own

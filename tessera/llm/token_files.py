@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import by_value, shared_dir, tidy
+from tessera.llm.common import by_value, shared_dir, small_batches, tidy
 
 by_value(__name__)
 BLOCK = 4096
@@ -468,13 +468,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, key: str = "doc_id",
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).repartitionByRange(parts, F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), F.col("t").asc_nulls_first())
     files = rows.mapInArrow(tidy(run), f"part int, seg int, keys array<{kind}>, lens array<bigint>, payload binary")
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(batch)
-    spark.conf.set(batch, str(ROWS))  # small batches: both ends of the pipe hold whole ones
-    try:
+    with small_batches(spark, ROWS):
         files.write.option("compression", "none").parquet(path)
-    finally:
-        spark.conf.set(batch, before)
     return path
 
 
