@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, by_value, byte_values, mix, runs, slices_of, spans, stored, strings, sum_slices, tidy, unit
+from tessera.llm.common import U64, by_value, byte_values, mix, runs, slices_of, small_batches, spans, stored, strings, sum_slices, tidy, unit
 
 by_value(__name__)
 #: Bound of the training sample: expected labelled rows.
@@ -171,7 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn, label: str = "quality", key:
         yield slices_of(out.ravel(), _WIDTH)
 
     bits = BITS + int(np.log2(DIMS))
-    words = sum_slices(docs.select(F.col(text).alias("t")).mapInArrow(tidy(contexts), "part int, slice int, counts binary"), _WIDTH, bits).reshape(-1, DIMS).astype(np.float32)
+    with small_batches(docs.sparkSession):
+        words = sum_slices(docs.select(F.col(text).alias("t")).mapInArrow(tidy(contexts), "part int, slice int, counts binary"), _WIDTH, bits).reshape(-1, DIMS).astype(np.float32)
     words /= np.maximum(np.linalg.norm(words, axis=1, keepdims=True), 1e-6)
     words, shapes = np.hstack([words, words**2]), index_vectors(SHAPES, SEED + 1)
 
