@@ -279,6 +279,19 @@ def families(index: DataFrame, tokens: Callable[[np.ndarray], DataFrame]) -> Dat
     return tokens(bits).join(several, "token").select("item", "p").distinct()
 
 
+def by_size(fams: DataFrame, num: int, den: int) -> DataFrame:
+    """item, p of fams(item, p, n) divided by size: two items of one family whose sizes n allow a link share one again; items without such a partner leave it.
+
+    Size classes are a little wider than den / num, so linked items are in equal or neighbouring classes; each item is in its own and in the next.
+    """
+    s = F.floor(F.log(F.col("n")) / F.lit(np.log(den / num) * (1 + 1e-6))).cast("int")
+    dealt = fams.withColumn("s", s).select("item", F.explode(F.array(F.struct(F.col("s").alias("c"), F.lit(True).alias("own")), F.struct((F.col("s") + 1).alias("c"), F.lit(False).alias("own")))).alias("x"), "p")
+    dealt = stored(dealt.select("item", F.xxhash64("p", "x.c").alias("p"), "x.own"), "sized")
+    # a class that only smaller items are in has no pair that their own class hasn't
+    kept = dealt.groupBy("p").agg(F.count(F.lit(1)).alias("m"), F.max("own").alias("some")).where("m > 1 and some").select("p")
+    return dealt.join(kept, "p").select("item", "p").distinct()
+
+
 def link(members: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
     """item, links, root for items that link with others, in several rows each. To be added up, and joined to components.
 

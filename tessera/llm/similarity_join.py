@@ -4,8 +4,9 @@ A document's set are its distinct SHINGLE-word shingles (64-bit hashes); with fe
 sequence is one. Two documents link if DEN * intersection >= NUM * union. Sets are ordered by rarity:
 counts of hash buckets over all documents, then the hash. If two sets link, the first n - ceil(3n/4) + 1
 values of both have one in common (prefix filter). Documents with equal prefix and size form one
-group, which stands in the index once; equal sets are one member. Families of groups that share prefix values are
-expanded to their members; pairs of members pass a length and a bitmap test, then they are verified exactly on whole sets.
+group, which stands in the index once; equal sets are one member. Families of groups that share prefix values are divided
+by size, and groups that meet none of a fitting size are dropped; what is left is
+expanded to its members; pairs of members pass a length and a bitmap test, then they are verified exactly on whole sets.
 The number of links is that of other classes whose set links, counted over all pairs; documents with equal sets have the same number.
 
 Cases: null and empty texts have an empty set and link with nothing; null keys link with nothing and are their own
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import U64, by_value, byte_values, mix, runs, shingles, slices_of, small_batches, space_classes, spans, stored, strings, sum_slices, tidy
-from tessera.llm.linking import bitmap, components, families, filter_of, link, passing
+from tessera.llm.linking import bitmap, by_size, components, families, filter_of, link, passing
 
 by_value(__name__)
 SHINGLE = 5
@@ -89,9 +90,10 @@ def prefixes(docs: DataFrame, counts: np.ndarray, key: str, text: str, num: int,
         rare, seen = shared.value, set()
         for b in batches:
             n, h, g, prefix, bits = [], [], [], [], []
-            for s in sets(b.column("t"), k):
+            for s, keyed in zip(sets(b.column("t"), k), b.column("doc").is_valid().to_pylist(), strict=True):
                 m, whole, own = len(s), _hash(s, 0), 0
-                fresh = m > 0 and whole not in seen
+                # null keys link with nothing, so they never stand for their set
+                fresh = m > 0 and keyed and whole not in seen
                 if m:
                     p = rarest(s, rare, m - -(-num * m // den) + 1)
                     own = _hash(p, m)
@@ -153,8 +155,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = NU
     some = rows.where("n > 0 and doc is not null")
     reps = stored(some.groupBy("h", "g", "n").agg(F.min("doc").alias("rep"), F.first("bits", ignorenulls=True).alias("bits")), "reps")
     # a group of several members is a family of its own
-    own = reps.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("g").alias("item"), F.col("g").alias("p"))
-    fams = families(tokens(rows), lambda bits: tokens(rows, bits)).union(own).groupBy("item").agg(F.collect_set("p").alias("fams"))
+    groups = stored(reps.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")), "groups")
+    own = groups.where("c > 1").select(F.col("g").alias("item"), F.col("g").alias("p"))
+    sized = by_size(families(tokens(rows), lambda bits: tokens(rows, bits)).join(groups, F.col("item") == F.col("g")).select("item", "p", "n"), num, den)
+    fams = sized.union(own).groupBy("item").agg(F.collect_set("p").alias("fams"))
     members = reps.join(fams, F.col("g") == F.col("item")).select(F.explode("fams").alias("p"), F.col("h").alias("item"), "n", "bits", "fams")
     linked = stored(link(members, sets_of(docs.where(F.col(key).isNotNull()), text, k), num, den), "linked")
     comp = components(linked.select(F.col("item").alias("a"), F.col("root").alias("b")))

@@ -100,6 +100,21 @@ def test_jaccard_join_counts_all_links(spark, monkeypatch):
     assert got(similarity_join.join(spark.createDataFrame(rows, "doc_id long, text string")), ("links",)) == want
 
 
+@pytest.mark.parametrize("order", [(0, 1, 2), (1, 0, 2), (2, 1, 0)])
+def test_jaccard_join_null_key_in_any_order(spark, order):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (1, text), (2, text + " tail")]
+    out = similarity_join.join(spark.createDataFrame([rows[i] for i in order], "doc_id long, text string").coalesce(1)).collect()
+    assert {(r.doc_id, r.component_id, r.links) for r in out} == {(None, None, 0), (1, 1, 1), (2, 1, 1)}
+
+
+def test_families_of_unequal_sizes_leave_no_rows(spark):
+    """A long document that quotes many others meets none of its size."""
+    many = [(i, i, 40) for i in range(1, 600)] + [(0, i, 24000) for i in range(1, 600)] + [(700, 700, 48), (701, 700, 64), (702, 700, 200)]
+    out = {tuple(r) for r in linking.by_size(spark.createDataFrame(many, "item long, p long, n long"), 75, 100).collect()}
+    assert {i for i, _ in out} == {700, 701} and {p for i, p in out if i == 700} & {p for i, p in out if i == 701}
+
+
 def test_fingerprints(spark, edge, empty):
     out = fingerprints.with_edits(edge)
     assert got(out, ("n_chars", "edited_sha256")) == brute.edits(PAIRS)
