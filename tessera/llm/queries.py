@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, fingerprints, language_id, mixing, paragraph_dedup, pii, quality, secrets, similarity_join, token_files
+from tessera.llm import decontam, fingerprints, language_id, mixing, packing, paragraph_dedup, pii, quality, secrets, similarity_join, token_files
 from tessera.llm.common import fold, table
 
 
@@ -59,6 +59,10 @@ def op10_paragraph_dedup(spark, sf_dir: str) -> DataFrame:
     return paragraph_dedup.repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 def pipeline(spark, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,7 +70,7 @@ def pipeline(spark, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_token_files, op2_language_id, op3_quality, op4_mixing, op5_pii, op6_jaccard_join, op7_fingerprints, op8_decontamination, op9_secrets, op10_paragraph_dedup, pipeline)
+    ops = (op1_token_files, op2_language_id, op3_quality, op4_mixing, op5_pii, op6_jaccard_join, op7_fingerprints, op8_decontamination, op9_secrets, op10_paragraph_dedup, op11_best_fit_packing, pipeline)
     return {f.__name__: f for f in ops}
 
 

@@ -138,3 +138,15 @@ def contamination(docs, items, window: int = 13):
                     named |= wins[x]
         out[d] = (len(w), len(hit), len(named), sha(",".join(sorted(named))), len(hit) > 0 and 20 * len(hit) >= len(w))
     return out
+
+
+def cut_pieces(rows, path: str, size: int, end: int = 1):
+    """(doc_id, piece) to (start, length, crc32)."""
+    from tokenizers import Tokenizer
+
+    tok, out = Tokenizer.from_file(path), {}
+    for d, t in rows:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, end]
+        for p, a in enumerate(range(0, len(ids), size)):
+            out[d, p] = (a, len(ids[a : a + size]), zlib.crc32(np.array(ids[a : a + size], "<u4").tobytes()))
+    return out
