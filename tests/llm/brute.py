@@ -150,3 +150,25 @@ def cut_pieces(rows, path: str, size: int, end: int = 1):
         for p, a in enumerate(range(0, len(ids), size)):
             out[d, p] = (a, len(ids[a : a + size]), zlib.crc32(np.array(ids[a : a + size], "<u4").tobytes()))
     return out
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def ranked(docs, items, k: int = 20):
+    """Sorted (item_id, rank, doc_id, score); docs and items are lists of (key, text)."""
+    import math
+    from collections import Counter
+
+    words = [(d, Counter(TERM.findall((t or "").translate(LOWER)))) for d, t in docs]
+    words = [(d, c, sum(c.values())) for d, c in words if c]
+    n, total, df, out = len(words), sum(x[2] for x in words), Counter(t for _, c, _ in words for t in c), []
+    for item, text in set(items):
+        asked, got = Counter(TERM.findall((text or "").translate(LOWER))), []
+        for d, c, size in words:
+            m = 75 + 25 * size * n // total
+            score = sum(times * math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (1000000000 * c[t] // (1000 * c[t] + 12 * m)) for t, times in asked.items() if c[t])
+            if score > 0:
+                got.append((-score, d is not None, d or 0, d))
+        out += [(item, i + 1, g[3], -g[0]) for i, g in enumerate(sorted(got)[:k])]
+    return sorted(out, key=repr)
