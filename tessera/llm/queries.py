@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, fingerprints, language_id, mixing, packing, paragraph_dedup, pii, quality, search, secrets, similarity_join, token_files
+from tessera.llm import conversations, decontam, fingerprints, language_id, mixing, packing, paragraph_dedup, pii, quality, search, secrets, similarity_join, token_files
 from tessera.llm.common import fold, table
 
 
@@ -67,6 +67,10 @@ def op12_ranked_search(spark, sf_dir: str) -> DataFrame:
     return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_conversation_repair(spark, sf_dir: str) -> DataFrame:
+    return conversations.digest(conversations.damaged(table(spark, sf_dir, "conversations")), dropped="dropped")
+
+
 def pipeline(spark, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +78,7 @@ def pipeline(spark, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_token_files, op2_language_id, op3_quality, op4_mixing, op5_pii, op6_jaccard_join, op7_fingerprints, op8_decontamination, op9_secrets, op10_paragraph_dedup, op11_best_fit_packing, op12_ranked_search, pipeline)
+    ops = (op1_token_files, op2_language_id, op3_quality, op4_mixing, op5_pii, op6_jaccard_join, op7_fingerprints, op8_decontamination, op9_secrets, op10_paragraph_dedup, op11_best_fit_packing, op12_ranked_search, op13_conversation_repair, pipeline)
     return {f.__name__: f for f in ops}
 
 

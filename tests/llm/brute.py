@@ -172,3 +172,65 @@ def ranked(docs, items, k: int = 20):
                 got.append((-score, d is not None, d or 0, d))
         out += [(item, i + 1, g[3], -g[0]) for i, g in enumerate(sorted(got)[:k])]
     return sorted(out, key=repr)
+
+
+BLANKS = " \t\n\x0b\x0c\r"
+
+
+def damage(rows):
+    """Rows (conv, turn, role, text) after the contract's damage, and all conversations."""
+    out = []
+    for conv, turn, role, text in rows:
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        out += [(conv, turn, "user" if kind == 4 else role, text)] * (0 if kind == 0 else 2 if kind == 3 else 1)
+    return out, {r[0] for r in rows}
+
+
+def repair(rows):
+    """(gaps, blank, duplicate, truncated, illegal, cost, audit, sha256) of one conversation's rows (turn, role, text); strings are carried whole."""
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.md5(r[2].encode()).digest()))
+    seen, faults = set(), []
+    for _, role, text in rows:
+        faults.append("blank" if not text.strip(BLANKS) else "duplicate" if (role, text) in seen else "" if text.rstrip(BLANKS)[-1] in ".!?" else "truncated")
+        seen.add((role, text))
+    legal = re.compile("(s?(ua)+)?")
+    begins = lambda s: re.fullmatch("s?(ua)*u?", s)
+    # what role string was made, to least cost, edits and turns
+    held = {"": (0, "", [])}
+
+    def inserted(held):
+        out = dict(held)
+        for _ in range(3):
+            for s, (cost, audit, turns) in list(out.items()):
+                for who in ("user", "assistant"):
+                    to, new = s + who[0], (cost + 3, audit + "I", [*turns, f"{who}:"])
+                    if begins(to) and (to not in out or new < out[to]):
+                        out[to] = new
+        return out
+
+    for (_, role, text), fault in zip(rows, faults, strict=True):
+        after = {}
+        for s, (cost, audit, turns) in inserted(held).items():
+            ways = [(s, 4, "D", [])]
+            if fault not in ("blank", "duplicate"):
+                more = 3 * (fault == "truncated")
+                ways.append((s + role[:1], more, "K", [f"{role}:{text}"]))
+                ways += [(s + who[0], 3 + more, "R", [f"{who}:{text}"]) for who in ("user", "assistant")]
+            for to, price, letter, said in ways:
+                new = (cost + price, audit + letter, turns + said)
+                if begins(to) and (not role[:1] == "" or letter != "K") and (to not in after or new < after[to]):
+                    after[to] = new
+        least = min(x[0] for x in after.values())
+        held = {s: x for s, x in after.items() if x[0] <= least + 12}
+    cost, audit, turns = min(x for s, x in inserted(held).items() if legal.fullmatch(s))
+    known = [t for t, _, _ in rows if t is not None]
+    gaps = max(known) - min(known) + 1 - len(set(known)) if known else 0
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    return (gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, sha("\n".join(turns)))
+
+
+def conversations(rows):
+    left, every = damage(rows)
+    return {c: repair([r[1:] for r in left if r[0] == c]) for c in every}
