@@ -32,13 +32,13 @@ TASK = 1 << 15
 PIECE = 2 << 20
 #: Words whose ids a task remembers.
 REMEMBERED = 300_000
-#: Letters, and a sign behind them: the tokenizer's pattern makes one piece of each. Without U+0130, whose lower case holds a mark.
-SIMPLE = "([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([,.;:!?]?)"
+#: Words of these letters, with or without a sign behind them: the tokenizer's pattern makes one piece of each part. Without U+0130, whose lower case holds a mark.
+STEM, SIGNS = "[A-Za-zÀ-ÖØ-öø-įı-ſ]+", ",.;:!?"
 _MARK = "\x01"
 
 
 class _Words:
-    """Ids of texts by a tokenizer that drops white space and ends words with a mark. Words are encoded once and remembered."""
+    """Ids of texts by a tokenizer that drops white space, lower-cases, and ends words with a mark. Stems of words are encoded once and remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -50,81 +50,101 @@ class _Words:
         for token, i in self.tok.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
         self.mark = self._ids(_MARK)
-        self.simple = re.compile(SIMPLE).fullmatch
-        self.special = tuple(t.content for t in self.tok.get_added_tokens_decoder().values())
+        self.signs = pa.array(list(SIGNS))
+        own = [self._ids(s) for s in SIGNS]
+        # with a sign of several ids words would have to be taken whole
+        self.sign_ids = np.array([x[0] for x in own]) if all(len(x) == 1 for x in own) else None
+        self.simple = re.compile(STEM).fullmatch
         self.forget()
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
 
     def forget(self) -> None:
-        self.places, self.stems, self.used = {}, {}, 0
+        self.places, self.used = {}, 0
         self.pool, self.at, self.lens = np.zeros(1 << 16, np.uint16), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
-    def _add(self, ids: list[np.ndarray]) -> np.ndarray:
-        """Places of new entries."""
-        n, lens = len(self.places), np.array([len(x) for x in ids], np.int64)
-        m = self.used + int(lens.sum())
+    def _add(self, names: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
+        n, m = len(self.places), self.used + len(ids)
         while m > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while n + len(ids) > len(self.at):
+        while n + len(names) > len(self.at):
             self.at, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.lens))
-        if m > self.used:
-            self.pool[self.used : m] = np.concatenate(ids)
-        self.at[n : n + len(ids)], self.lens[n : n + len(ids)] = self.used + np.cumsum(lens) - lens, lens
+        self.pool[self.used : m] = ids
+        self.at[n : n + len(names)], self.lens[n : n + len(names)] = self.used + np.cumsum(lens) - lens, lens
+        self.places.update(zip(names, range(n, n + len(names)), strict=True))
         self.used = m
-        return np.arange(n, n + len(ids))
-
-    def _apart(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word, many in one text."""
-        out: list = [None] * len(words)
-        for a in range(0, len(words), 5000):
-            part = [i for i in range(a, min(a + 5000, len(words))) if _MARK not in words[i] and len(self.mark) == 1]
-            got = self._ids(f" {_MARK} ".join([words[i] for i in part])) if part else np.zeros(0, np.uint16)
-            own = np.split(got, np.flatnonzero(got == self.mark[0]))
-            if len(own) == len(part):
-                for j, i in enumerate(part):
-                    out[i] = own[j][1:] if j else own[j]
-        return [self._ids(w) if x is None else x for w, x in zip(words, out, strict=True)]
-
-    def _learn(self, words: list[str]) -> None:
-        parts = [self.simple(w) for w in words]
-        new = list(dict.fromkeys(s for m in parts if m and (s := m[1].lower()) not in self.stems))
-        for a in range(0, len(new), 5000):
-            some = new[a : a + 5000]
+
+    def _each(self, names: list[str]) -> None:
+        own = [self._ids(w) for w in names]
+        self._add(names, np.concatenate(own), np.array([len(x) for x in own]))
+
+    def _learn(self, names: list[str]) -> None:
+        stems = [w for w in names if self.simple(w)]
+        rest = [w for w in names if not self.simple(w)]
+        for a in range(0, len(stems), 5000):
+            some = stems[a : a + 5000]
             got = self._ids(" ".join(some))
-            own = np.split(got, np.flatnonzero(self.ends[got])[:-1] + 1)
-            # a stem is one word of the pattern, and only its last token ends a word
-            self.stems.update(zip(some, own if len(own) == len(some) else self._apart(some), strict=True))
-        signs = {s: self._ids(s) for s in {m[2] for m in parts if m and m[2]}}
-        odd = [i for i, m in enumerate(parts) if not m]
-        rest = dict(zip(odd, self._apart([words[i] for i in odd]), strict=True))
-        ids = [rest[i] if m is None else np.concatenate([self.stems[m[1].lower()], signs[m[2]]]) if m[2] else self.stems[m[1].lower()] for i, m in enumerate(parts)]
-        self.places.update(zip(words, self._add(ids).tolist(), strict=True))
+            last = np.flatnonzero(self.ends[got])  # a stem is one word of the pattern, and only its last token ends a word
+            self._add(some, got, np.diff(last, prepend=-1)) if len(last) == len(some) else self._each(some)
+        marked = [w for w in rest if _MARK in w or len(self.mark) != 1]
+        if marked:
+            self._each(marked)
+        rest = [w for w in rest if not (_MARK in w or len(self.mark) != 1)]
+        for a in range(0, len(rest), 5000):
+            some = rest[a : a + 5000]
+            got = self._ids(f" {_MARK} ".join([*some, ""]))
+            at = np.flatnonzero(got == self.mark[0])
+            self._add(some, got[got != self.mark[0]], np.diff(at, prepend=-1) - 1) if len(at) == len(some) else self._each(some)
+
+    def _spelled(self, words):
+        """Ids of distinct words one after the other, and the number of each."""
+        import itertools
+
+        import pyarrow.compute as pc
+
+        sign = np.full(len(words), -1)
+        names = words
+        if self.sign_ids is not None:
+            got = pc.extract_regex(words, f"^(?P<stem>{STEM})(?P<sign>[{SIGNS}]?)$")
+            names = pc.coalesce(pc.utf8_lower(pc.struct_field(got, "stem")), words)
+            sign = pc.index_in(pc.struct_field(got, "sign"), value_set=self.signs).fill_null(-1).to_numpy()
+        coded = names.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        if len(self.places) > REMEMBERED:
+            self.forget()
+        place = np.fromiter(map(self.places.get, names, itertools.repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(place < 0).tolist()
+        if new:
+            self._learn([names[i] for i in new])
+            place[new] = [self.places[names[i]] for i in new]
+        place = place[coded.indices.to_numpy()]
+        lens = self.lens[place]
+        more = lens + (sign >= 0)
+        last = np.cumsum(more) - 1
+        index = np.repeat(self.at[place] - (last + 1 - more), more) + np.arange(int(more.sum()))
+        signed = sign >= 0
+        index[last[signed]] = 0
+        ids = self.pool.take(index) if len(index) else np.zeros(0, np.uint16)
+        if signed.any():
+            ids[last[signed]] = self.sign_ids[sign[signed]]
+        return ids, more
 
     def ids(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids of an Arrow column of texts, and the number of ids of each."""
-        import itertools
-
         import pyarrow.compute as pc
 
         parts = pc.ascii_split_whitespace(texts)
         coded = parts.flatten().dictionary_encode()
-        words, counts = coded.dictionary.to_pylist(), pc.list_value_length(parts).to_numpy().astype(np.int64)
-        if len(self.places) > REMEMBERED:
-            self.forget()
-        place = np.fromiter(map(self.places.get, words, itertools.repeat(-1)), np.int64, len(words))
-        new = np.flatnonzero(place < 0)
-        if len(new):
-            place[new] = np.arange(len(self.places), len(self.places) + len(new))
-            self._learn([words[i] for i in new.tolist()])
-        codes = place[coded.indices.to_numpy()]
-        lens = self.lens[codes]
+        pool, size = self._spelled(coded.dictionary)
+        at, codes = np.cumsum(size) - size, coded.indices.to_numpy()
+        lens = size[codes]
         ends = np.cumsum(lens)
-        ids = self.pool.take(np.repeat(self.at[codes] - ends + lens, lens) + np.arange(int(lens.sum())))
+        index = np.repeat((at[codes] - ends + lens).astype(np.int32), lens)  # a part has few ids
+        index += np.arange(len(index), dtype=np.int32)
         total = np.append(0, ends)
-        edge = np.append(0, np.cumsum(counts))
-        return ids, total[edge[1:]] - total[edge[:-1]]
+        edge = np.append(0, np.cumsum(pc.list_value_length(parts).to_numpy().astype(np.int64)))
+        return pool.take(index) if len(index) else np.zeros(0, np.uint16), total[edge[1:]] - total[edge[:-1]]
 
 
 def _slices(u8: np.ndarray) -> list[tuple[int, int]]:
