@@ -273,23 +273,29 @@ def _linked(num: int, den: int):
 
 
 def families(index: DataFrame, tokens: Callable[[np.ndarray], DataFrame]) -> DataFrame:
-    """item, p: each item's families, distinct. index(token, item); tokens(filter) gives the index again, at least its rows whose token passes the filter."""
+    """item, p: each item's families, distinct, with what else the index has of an item. index(token, item, ...); tokens(filter) gives the index again, at least its rows whose token passes the filter."""
     several = stored(index.groupBy("token").agg(F.min("item").alias("p"), F.max("item").alias("q")).where("p != q").select("token", "p"), "tokens")
     bits = filter_of(several.select(F.col("token").alias("item")))
-    return tokens(bits).join(several, "token").select("item", "p").distinct()
+    return tokens(bits).join(several, "token").drop("token").distinct()
 
 
-def by_size(fams: DataFrame, num: int, den: int) -> DataFrame:
-    """item, p of fams(item, p, n) divided by size: two items of one family whose sizes n allow a link share one again; items without such a partner leave it.
+def size_class(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Classes a little wider than den / num: sizes that allow a link are in equal or neighbouring classes."""
+    return np.floor(np.log(n) / (np.log(den / num) * (1 + 1e-6))).astype(np.int32)
 
-    Size classes are a little wider than den / num, so linked items are in equal or neighbouring classes; each item is in its own and in the next.
+
+def by_size(fams: DataFrame) -> DataFrame:
+    """item, p of fams(item, p, s), distinct, divided by the items' size classes s: two items of one family in equal or neighbouring classes share one again.
+
+    Each item is in its own class and in the next; classes without a pair that isn't in another are left out, and so are items without any.
     """
-    s = F.floor(F.log(F.col("n")) / F.lit(np.log(den / num) * (1 + 1e-6))).cast("int")
-    dealt = fams.withColumn("s", s).select("item", F.explode(F.array(F.struct(F.col("s").alias("c"), F.lit(True).alias("own")), F.struct((F.col("s") + 1).alias("c"), F.lit(False).alias("own")))).alias("x"), "p")
-    dealt = stored(dealt.select("item", F.xxhash64("p", "x.c").alias("p"), "x.own"), "sized")
+    fams = stored(fams, "sized")
+    size = fams.groupBy("p", "s").agg(F.count(F.lit(1)).alias("m"))
+    both = size.select("p", F.col("s").alias("c"), "m", F.lit(True).alias("own")).union(size.select("p", F.col("s") + 1, "m", F.lit(False)))
     # a class that only smaller items are in has no pair that their own class hasn't
-    kept = dealt.groupBy("p").agg(F.count(F.lit(1)).alias("m"), F.max("own").alias("some")).where("m > 1 and some").select("p")
-    return dealt.join(kept, "p").select("item", "p").distinct()
+    kept = both.groupBy("p", "c").agg(F.sum("m").alias("m"), F.max("own").alias("some")).where("m > 1 and some").select("p", "c")
+    to = kept.select("p", F.col("c").alias("s"), "c").union(kept.select("p", F.col("c") - 1, "c")).groupBy("p", "s").agg(F.collect_list("c").alias("cs"))
+    return fams.join(to, ["p", "s"]).select("item", "p", F.explode("cs").alias("c")).select("item", F.xxhash64("p", "c").alias("p"))
 
 
 def link(members: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:

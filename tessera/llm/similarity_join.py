@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import U64, by_value, byte_values, mix, runs, shingles, slices_of, small_batches, space_classes, spans, stored, strings, sum_slices, tidy
-from tessera.llm.linking import bitmap, by_size, components, families, filter_of, link, passing
+from tessera.llm.linking import bitmap, by_size, components, families, filter_of, link, passing, size_class
 
 by_value(__name__)
 SHINGLE = 5
@@ -109,21 +109,21 @@ def prefixes(docs: DataFrame, counts: np.ndarray, key: str, text: str, num: int,
     return docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("t")).mapInArrow(tidy(run), "doc bigint, n bigint, h bigint, g bigint, prefix binary, bits binary")
 
 
-def tokens(rows: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
-    """token, item: the prefixes' values with their group; with bits only values that pass this filter."""
+def tokens(rows: DataFrame, num: int, den: int, bits: np.ndarray | None = None) -> DataFrame:
+    """token, item, s: the prefixes' values with their group and its size class; with bits only values that pass this filter."""
     shared = None if bits is None else rows.sparkSession.sparkContext.broadcast(bits)  # a fixed size
 
     def run(batches):
         for b in batches:
             n = np.array([len(x.as_buffer()) // 8 for x in b.column("prefix")], np.int64)
             token = np.frombuffer(b"".join(x.as_buffer() for x in b.column("prefix")), np.int64)
-            item = np.repeat(b.column("g").to_numpy(), n)
+            item, s = (np.repeat(x, n) for x in (b.column("g").to_numpy(), size_class(b.column("n").to_numpy(), num, den)))
             if shared is not None:
                 hit = passing(shared.value, token)
-                token, item = token[hit], item[hit]
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(item)], names=["token", "item"])
+                token, item, s = token[hit], item[hit], s[hit]
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(item), pa.array(s)], names=["token", "item", "s"])
 
-    return rows.where("prefix is not null and doc is not null").select("g", "prefix").mapInArrow(tidy(run), "token bigint, item bigint")
+    return rows.where("prefix is not null and doc is not null").select("g", "n", "prefix").mapInArrow(tidy(run), "token bigint, item bigint, s int")
 
 
 def sets_of(docs: DataFrame, text: str, k: int):
@@ -155,9 +155,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = NU
     some = rows.where("n > 0 and doc is not null")
     reps = stored(some.groupBy("h", "g", "n").agg(F.min("doc").alias("rep"), F.first("bits", ignorenulls=True).alias("bits")), "reps")
     # a group of several members is a family of its own
-    groups = stored(reps.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")), "groups")
-    own = groups.where("c > 1").select(F.col("g").alias("item"), F.col("g").alias("p"))
-    sized = by_size(families(tokens(rows), lambda bits: tokens(rows, bits)).join(groups, F.col("item") == F.col("g")).select("item", "p", "n"), num, den)
+    own = reps.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("g").alias("item"), F.col("g").alias("p"))
+    sized = by_size(families(tokens(rows, num, den), lambda bits: tokens(rows, num, den, bits)))
     fams = sized.union(own).groupBy("item").agg(F.collect_set("p").alias("fams"))
     members = reps.join(fams, F.col("g") == F.col("item")).select(F.explode("fams").alias("p"), F.col("h").alias("item"), "n", "bits", "fams")
     linked = stored(link(members, sets_of(docs.where(F.col(key).isNotNull()), text, k), num, den), "linked")

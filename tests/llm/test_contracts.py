@@ -111,10 +111,17 @@ def test_jaccard_join_null_key_in_any_order(spark, order):
 def test_families_of_unequal_sizes_leave_no_rows(spark):
     """A long document that quotes many others meets none of its size."""
     many = [(i, i, 40) for i in range(1, 600)] + [(0, i, 24000) for i in range(1, 600)] + [(700, 700, 48), (701, 700, 64), (702, 700, 200)]
-    out = {tuple(r) for r in linking.by_size(spark.createDataFrame(many, "item long, p long, n long"), 75, 100).collect()}
+    rows = [(i, p, int(linking.size_class(np.array([n]), 75, 100)[0])) for i, p, n in many]
+    out = {tuple(r) for r in linking.by_size(spark.createDataFrame(rows, "item long, p long, s int")).collect()}
     assert {i for i, _ in out} == {700, 701} and {p for i, p in out if i == 700} & {p for i, p in out if i == 701}
 
 
+def test_size_classes_hold_all_links():
+    n = np.arange(1, 40000)
+    most = n * 100 // 75
+    assert (linking.size_class(most, 75, 100) - linking.size_class(n, 75, 100) <= 1).all()
+
+
 def test_fingerprints(spark, edge, empty):
     out = fingerprints.with_edits(edge)
     assert got(out, ("n_chars", "edited_sha256")) == brute.edits(PAIRS)
