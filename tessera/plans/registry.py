@@ -349,7 +349,7 @@ def offset_next(spark, d):
     return ingest.next_offset(table(spark, d, "events"), "event_id")
 
 
-from tessera.plans import cases, relations  # noqa: E402
+from tessera.plans import cases, readings, relations  # noqa: E402
 
-QUERIES |= cases.QUERIES | relations.QUERIES
-SQL |= cases.SQL | relations.SQL
+QUERIES |= cases.QUERIES | relations.QUERIES | readings.QUERIES
+SQL |= cases.SQL | relations.SQL | readings.SQL
