@@ -64,8 +64,14 @@ def filter_of(items: DataFrame, size: int = FILTER_BITS) -> np.ndarray:
     return out.reshape(-1)
 
 
-def passing(bits: np.ndarray, items: np.ndarray, size: int = FILTER_BITS) -> np.ndarray:
+def filter_bits(items: int) -> int:
+    """Eight places an item, between bounds that keep the filter at 16 MB at most; it is only a filter, so any size is right."""
+    return min(27, max(_PART_BITS, (8 * items).bit_length()))
+
+
+def passing(bits: np.ndarray, items: np.ndarray) -> np.ndarray:
     """Which items have their bit in filter_of()'s filter."""
+    size = len(bits).bit_length() + 2
     u = items.view(U64)
     place = ((u ^ (u >> U64(size)) ^ (u >> U64(2 * size))) & U64((1 << size) - 1)).astype(np.int64)
     return (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 > 0
@@ -275,8 +281,9 @@ def _linked(num: int, den: int):
 def families(index: DataFrame, tokens: Callable[[np.ndarray], DataFrame]) -> DataFrame:
     """item, p: each item's families, distinct, with what else the index has of an item. index(token, item, ...); tokens(filter) gives the index again, at least its rows whose token passes the filter."""
     several = stored(index.groupBy("token").agg(F.min("item").alias("p"), F.max("item").alias("q")).where("p != q").select("token", "p"), "tokens")
-    bits = filter_of(several.select(F.col("token").alias("item")))
-    return tokens(bits).join(several, "token").drop("token").distinct()
+    bits = filter_of(several.select(F.col("token").alias("item")), filter_bits(several.count()))
+    # both grow with the input, so neither is ever broadcast
+    return tokens(bits).join(several.hint("merge"), "token").drop("token").distinct()
 
 
 def size_class(n: np.ndarray, num: int, den: int) -> np.ndarray:

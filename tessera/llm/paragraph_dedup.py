@@ -227,11 +227,11 @@ def occurrences(docs: DataFrame, key: str, text: str, several: np.ndarray, hot:
                 new = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (row[at[1:]] != row[at[:-1]]))) if len(at) else at
                 end = np.append(new[1:], len(at))
                 item = g[new].view(np.int64)
-                hit = passing(bits, item, ANCHOR_BITS)
+                hit = passing(bits, item)
                 new, end, item = new[hit], end[hit], item[hit]
                 own = row[at[new]]
                 s = pa.array([w[i:j].tobytes() for i, j in zip(new.tolist(), end.tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(item), doc.take(pa.array(a + own)), pa.array(at[new] - begin[own]), s, pa.array(passing(hot, item, ANCHOR_BITS))], names=["item", "doc", "word", "s", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array(item), doc.take(pa.array(a + own)), pa.array(at[new] - begin[own]), s, pa.array(passing(hot, item))], names=["item", "doc", "word", "s", "hot"])
 
     return docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("t")).mapInArrow(tidy(run), "item bigint, doc bigint, word bigint, s binary, hot boolean")
 

@@ -32,7 +32,7 @@ NUM, DEN = 75, 100
 RARITY_BITS = 18
 _WIDTH = 1 << 13
 #: Least bits of a set's bitmap, which drops most pairs before whole sets are moved.
-BITS = 2048
+BITS = 1024
 
 
 def sets(column, k: int = SHINGLE):
@@ -158,8 +158,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = NU
     own = reps.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("g").alias("item"), F.col("g").alias("p"))
     sized = by_size(families(tokens(rows, num, den), lambda bits: tokens(rows, num, den, bits)))
     fams = sized.union(own).groupBy("item").agg(F.collect_set("p").alias("fams"))
-    members = reps.join(fams, F.col("g") == F.col("item")).select(F.explode("fams").alias("p"), F.col("h").alias("item"), "n", "bits", "fams")
-    linked = stored(link(members, sets_of(docs.where(F.col(key).isNotNull()), text, k), num, den), "linked")
+    members = reps.join(fams.hint("merge"), F.col("g") == F.col("item")).select(F.explode("fams").alias("p"), F.col("h").alias("item"), "n", "bits", "fams")
+    with small_batches(docs.sparkSession):  # whole sets are as long as texts
+        linked = stored(link(members, sets_of(docs.where(F.col(key).isNotNull()), text, k), num, den), "linked")
     comp = components(linked.select(F.col("item").alias("a"), F.col("root").alias("b")))
     number = linked.groupBy("item").agg(F.sum("links").alias("links"))
     labels = stored(reps.select("h", "rep").join(comp.join(number, "item", "left"), F.col("h") == F.col("item"), "left").select("h", "rep", F.coalesce("comp", "h").alias("comp"), F.coalesce("links", F.lit(0)).alias("links")), "labels")
