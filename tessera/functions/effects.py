@@ -124,7 +124,8 @@ def traced_values(c: Column) -> Column:
 def grounded(claims: Column, source: Column) -> Column:
     """struct(grounded, ungrounded): claimed numbers by whether the source's text has them."""
     values, raws = number_values(source), number_forms(source)
-    hit = lambda x: F.array_contains(values, _number(F.regexp_extract(plain_numbers(F.trim(x)), r"^([0-9]+(?:\.[0-9]+)?)", 1))) | F.array_contains(raws, plain_numbers(F.trim(x)))
+    first = lambda x: _number(F.regexp_replace(F.regexp_extract(plain_numbers(F.trim(x)), r"^(-?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+))", 1), r"^\.", "0."))
+    hit = lambda x: F.array_contains(values, first(x)) | F.array_contains(raws, plain_numbers(F.trim(x)))
     kept = lambda want: F.transform(F.filter(claims, lambda x: hit(x) if want else ~hit(x)), lambda x: F.trim(x))
     return F.struct(kept(True).alias("grounded"), kept(False).alias("ungrounded"))
 

@@ -140,13 +140,16 @@ def path_only(url: Column) -> Column:
 
 
 def canonical_url(url: Column) -> Column:
-    """Https, host without www, no end slash, no tracking parameters, the rest sorted by name; no address: cut at ? and #."""
+    """Https, host without www, no end slash, no tracking parameters, the rest decoded and sorted by name; no address: cut at ? and #."""
     plain = F.regexp_replace(path_only(url), "/+$", "")
     path = F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]+([^?#]*)", 1), "/+$", "")
-    name = lambda p: F.substring_index(p, "=", 1)
-    pairs = F.filter(F.split(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: (p != "") & ~name(p).rlike(TRACKING))
-    order = F.array_sort(F.transform(pairs, lambda p, i: F.struct(name(p).alias("k"), i.alias("i"), F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))).alias("p"))))
-    query = F.when(F.size(order) > 0, F.concat(F.lit("?"), F.array_join(F.transform(order, lambda x: x["p"]), "&"))).otherwise("")
+    # names and values are read as a form's: decoded, + is a blank
+    plus = lambda x: F.coalesce(F.try_url_decode(x), F.replace(x, F.lit("+"), F.lit(" ")))
+    cut = lambda p: F.instr(F.concat(p, F.lit("=")), "=")
+    parts = F.filter(F.split(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: p != "")
+    named = F.transform(parts, lambda p, i: F.struct(plus(F.substr(p, F.lit(1), cut(p) - 1)).alias("k"), i.alias("i"), plus(F.substr(p, cut(p) + 1)).alias("v")))
+    order = F.array_sort(F.filter(named, lambda x: ~x["k"].rlike(TRACKING)))
+    query = F.when(F.size(order) > 0, F.concat(F.lit("?"), F.array_join(F.transform(order, lambda x: F.concat(x["k"], F.lit("="), x["v"])), "&"))).otherwise("")
     return F.when(host(url).isNotNull(), F.concat(F.lit("https://"), host(url), path, query)).otherwise(plain)
 
 

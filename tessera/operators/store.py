@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.folds import folded, key_groups
+
 #: States of the work queue, attempts before a dead letter, and characters of an error that are kept.
 STATUSES = "pending enriched failed permanent_failure skipped".split()
 MOST_ATTEMPTS, ERROR_CHARS = 3, 500
@@ -65,26 +67,42 @@ def status_counts(rows: DataFrame, status: str) -> DataFrame:
 
 
 def merged(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str], order: list[str]) -> DataFrame:
-    """Arrivals fold into the row they match by the first of keys that hits; values stay, NULLs are filled by the first arrival that has one.
+    """Arrivals, in order, fold into the row they match by the first of keys that hits, else become a row. Values stay, NULLs are filled;
+    a key is filled only if no other row has it. An arrival sees what earlier ones did.
 
-    Arrivals that match no row become one row for each value of the first key they have. Rows are told apart by their keys, not by numbers that
-    a rerun would deal anew.
+    Rows and arrivals that keys tie together, however many steps apart, are folded one after the other; groups that share no key apart from each other. Those without
+    any key match nothing: old rows stay, arrivals are left out.
     """
-    rows = new.select(*keys, *columns, F.struct(*order).alias("o"))
-    found = rows
-    for k in keys:
-        hit = old.where(F.col(k).isNotNull()).select(F.col(k).alias(f"m_{k}"), F.struct(*(F.col(x) for x in keys)).alias(f"row_{k}"))
-        found = found.join(hit, F.col(k) == F.col(f"m_{k}"), "left").drop(f"m_{k}")
-    target = F.coalesce(*(F.col(f"row_{k}") for k in keys))
-    found = found.withColumn("target", target).drop(*(f"row_{k}" for k in keys))
-    fold = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("o"))).alias(c)
-    hits = found.where("target is not null").groupBy("target").agg(*(fold(c) for c in [*keys, *columns]))
-    side = hits.select(F.col("target").alias("t"), *(F.col(c).alias(f"n_{c}") for c in [*keys, *columns]))
-    kept = old.join(side, F.struct(*(F.col(x) for x in keys)).eqNullSafe(F.col("t")), "left").select(*(F.coalesce(F.col(c), F.col(f"n_{c}")).alias(c) for c in [*keys, *columns]))
-    # what is new: one row for each value of the first key that an arrival has
-    own = F.coalesce(*(F.concat(F.lit(f"{k}:"), F.col(k).cast("string")) for k in keys))
-    fresh = found.where("target is null").withColumn("own", own).groupBy("own").agg(*(fold(c) for c in [*keys, *columns])).drop("own")
-    return kept.unionByName(fresh)
+    token = F.array_compact(F.array(*(F.concat(F.lit(f"{k}:"), F.col(k).cast("string")) for k in keys)))
+    some = F.coalesce(*(F.col(k).cast("string") for k in keys)).isNotNull()
+    rows = old.select(F.lit(0).alias("late"), *(F.lit(None).cast(new.schema[c].dataType).alias(f"o_{c}") for c in order), *keys, *columns)
+    rows = rows.unionByName(new.where(some).select(F.lit(1).alias("late"), *(F.col(c).alias(f"o_{c}") for c in order), *keys, *columns)).withColumn("tokens", token)
+    group = key_groups(rows, "tokens")
+    named = rows.where(F.size("tokens") > 0).withColumn("token", F.col("tokens")[0]).join(group, "token").drop("token", "tokens")
+    n, width = len(keys), len(keys) + len(columns)
+    first = 1 + len(order)
+
+    def fold(group):
+        have, where = [], [{} for _ in range(n)]
+        for row in group:
+            got = list(row[first : first + width])
+            hit = next((where[i][got[i]] for i in range(n) if got[i] is not None and got[i] in where[i]), None) if row[0] else None
+            if hit is None:
+                hit = len(have)
+                have.append(got)
+            else:
+                mine = have[hit]
+                for i in range(width):
+                    if mine[i] is None and (i >= n or got[i] not in where[i]):
+                        mine[i] = got[i]
+            for i in range(n):
+                if have[hit][i] is not None:
+                    where[i].setdefault(have[hit][i], hit)
+        yield from map(tuple, have)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys, *columns).schema)
+    put = folded(named, ["label"], [F.col("late"), *(F.col(f"o_{c}") for c in order), *map(F.col, keys)], schema, fold)
+    return put.unionByName(rows.where((F.size("tokens") == 0) & (F.col("late") == 0)).select(*keys, *columns))
 
 
 def set_where(rows: DataFrame, condition: Column, values: dict[str, Column]) -> DataFrame:

@@ -95,9 +95,3 @@ def activity(rows: DataFrame, last: int = 14, top: int = 20) -> DataFrame:
     got = n.groupBy("tag").agg(F.sum("c").alias("total"), F.round(F.sum(F.col("c") * F.col("i") / F.col("n_days")), 6).alias("weight"), F.sum(F.when(F.col("i") <= half, F.col("c")).otherwise(0)).alias("early"), F.sum(F.when(F.col("i") > F.col("n_days") - half, F.col("c")).otherwise(0)).alias("late"))
     trend = F.when(F.col("late") - F.col("early") > 1, "up").when(F.col("late") - F.col("early") < -1, "down").otherwise("flat")
     return got.withColumn("trend", trend).orderBy(F.desc("weight"), F.expr("case trend when 'up' then 0 when 'flat' then 1 else 2 end"), "tag").limit(top)
-
-
-def resolved_slugs(card: DataFrame, base: str) -> DataFrame:
-    """W05 where no base ends in a number: the first of a date keeps its base, the k-th gets -k."""
-    k = F.row_number().over(Window.partitionBy("date", base).orderBy("card_id"))
-    return card.withColumn("k", k).select("card_id", "date", F.when(F.col("k") == 1, F.col(base)).otherwise(F.concat_ws("-", F.col(base), F.col("k").cast("string"))).alias("slug"))

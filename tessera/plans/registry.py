@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import effects as E
 from tessera.functions import identifiers as I
 from tessera.functions import text as T
-from tessera.operators import identity, tags, upserts
+from tessera.operators import folds, identity, tags, upserts
 from tessera.sources.tables import cards, table
 from tessera.streaming import ingest
 
@@ -83,7 +83,7 @@ def facet_relaxation(spark, d):
 
 @query(f"WITH {CARD} SELECT card_id, date, CASE WHEN k = 1 THEN base ELSE base || '-' || CAST(k AS VARCHAR) END AS slug FROM (SELECT card_id, date, lower(site) AS base, row_number() OVER (PARTITION BY date, lower(site) ORDER BY card_id) AS k FROM card)")
 def slug_collision(spark, d):
-    return tags.resolved_slugs(cards(spark, d).withColumn("base", F.lower("site")), "base")
+    return folds.resolved(cards(spark, d).withColumn("base", F.lower("site")), "date", "card_id", "base")
 
 
 @query(f"WITH {CARD}, g AS (SELECT *, row_number() OVER (PARTITION BY site, verdict, modality ORDER BY date DESC, card_id) AS r3, row_number() OVER (PARTITION BY site, verdict ORDER BY date DESC, card_id) AS r2 FROM card), p AS (SELECT t.card_id, s.card_id AS sibling, s.date AS sd FROM card t JOIN g s ON t.site = s.site AND t.verdict IS NOT DISTINCT FROM s.verdict AND t.modality = s.modality AND s.r3 <= 4 UNION ALL SELECT t.card_id, s.card_id, s.date FROM card t JOIN g s ON t.modality IS NULL AND t.site = s.site AND t.verdict IS NOT DISTINCT FROM s.verdict AND s.r2 <= 4), q AS (SELECT card_id, sibling, row_number() OVER (PARTITION BY card_id ORDER BY sd DESC, sibling) AS rank FROM p WHERE card_id <> sibling) SELECT card_id, sibling, CAST(rank AS INTEGER) AS rank FROM q WHERE rank <= 3")
@@ -349,7 +349,7 @@ def offset_next(spark, d):
     return ingest.next_offset(table(spark, d, "events"), "event_id")
 
 
-from tessera.plans import cases, readings, relations, sectioned  # noqa: E402, F401
+from tessera.plans import cases, ordered, readings, relations, sectioned  # noqa: E402, F401
 
 QUERIES |= cases.QUERIES | relations.QUERIES | readings.QUERIES
 SQL |= cases.SQL | relations.SQL | readings.SQL

@@ -91,11 +91,15 @@ def coverage_by_key(spark, d):
     return lineage.coverage(readings(spark, d), "keys")
 
 
-@query("""WITH i AS (SELECT o_orderkey AS id, 'NCT' || lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS nct, 'TRIAL-' || (o_custkey // 4) AS name FROM orders),
- t AS (SELECT id, nct AS token, 10 AS strength FROM i UNION SELECT id, name, 3 FROM i UNION SELECT id, nct, 3 FROM i) SELECT lower(token) AS group_id, 'shared ' || token AS reason, strength, count(DISTINCT id) AS items, min(id) AS first, max(id) AS last FROM t GROUP BY token, strength HAVING count(DISTINCT id) >= 2""")
+@query("""WITH i AS (SELECT o_orderkey AS id, 'NCT' || lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS nct, ['TRIAL-' || (o_custkey // 4), 'TWIN-' || (o_custkey // 4), 'DUO-' || (o_custkey // 8)] AS names FROM orders),
+ t AS (SELECT id, nct AS token, 10 AS strength, 0 AS pos FROM i UNION ALL SELECT id, unnest(names), 3, generate_subscripts(names, 1) FROM i),
+ g AS (SELECT token, strength, list(id ORDER BY id) AS ids, min(id) AS first, max(id) AS last, min(id * 10 + pos) AS seen FROM t GROUP BY 1, 2 HAVING count(*) >= 2)
+ SELECT lower(token) AS group_id, CASE strength WHEN 10 THEN 'shared ' ELSE 'shared acronym ' END || token AS reason, strength, len(ids) AS items, first, last FROM g
+ WHERE strength = 10 OR NOT EXISTS (SELECT 1 FROM g h WHERE (h.strength = 10 OR h.seen < g.seen) AND h.first <= g.first AND h.last >= g.last AND len(h.ids) >= len(g.ids) AND list_has_all(h.ids, g.ids))""")
 def association_groups(spark, d):
-    """G16."""
-    text = F.concat(F.lit("OS in NCT"), F.lpad(F.col("o_custkey").cast("string"), 8, "0"), F.lit(" and TRIAL-"), F.floor(F.col("o_custkey") / 4).cast("string"), F.lit(" of NSCLC, PHASE3"))
+    """Trials lie in a wider one, a twin of each has the same items, some trials have one registration only."""
+    c = lambda n: F.floor(F.col("o_custkey") / n).cast("string")
+    text = F.concat(F.lit("OS in NCT"), F.lpad(F.col("o_custkey").cast("string"), 8, "0"), F.lit(" and TRIAL-"), c(4), F.lit(", TWIN-"), c(4), F.lit(" or DUO-"), c(8), F.lit(" of NSCLC, PHASE3"))
     return lineage.association(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), text.alias("text")))
 
 
