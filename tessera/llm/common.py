@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that are turned into arrays at once; bounds a worker's memory for texts of any length.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def by_value(name: str) -> None:
