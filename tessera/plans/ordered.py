@@ -108,3 +108,46 @@ def upsert_collisions(spark, d):
     old = c.where(k % 6 == 0).select(named("p", F.floor(k / 2)).alias("k1"), F.when(k % 4 == 0, named("d", k)).alias("k2"), F.when(k % 3 == 0, F.col("c_mktsegment")).alias("v"))
     new = c.select(F.when(k % 5 != 0, named("p", F.floor(k / 12) * 6 + k % 4)).alias("k1"), F.when(k % 7 != 0, named("d", F.floor(k / 12) * 12 + k % 5)).alias("k2"), F.when(k % 2 == 0, F.col("c_name")).alias("v"), k.alias("o"))
     return store.merged(old, new, ["k1", "k2"], ["v"], ["o"])
+
+
+def _late(spark, d):
+    """Events as they come: four parts by their numbers, corrections of a third of them, and a part again. Each is a micro-batch."""
+    import uuid
+
+    from tessera.streaming import late
+    from tessera.streaming.paths import shared_path
+
+    base = f"{shared_path(spark)}/late-{uuid.uuid4().hex}"
+    e = table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("date"), "user_id", F.col("value"), F.lit(0).alias("version"))
+    fixed = e.where("event_id % 3 = 0").withColumn("value", F.col("value") + 1).withColumn("version", F.lit(1))
+    for part in [*(e.where(F.col("event_id") % 4 == i) for i in range(4)), fixed, e.where("event_id % 4 = 1")]:
+        part.repartition(2).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    return late.run(stream, base, f"{base}/checkpoint", "event_id", ["version"], "date", ["value"]), base
+
+
+_LATE = "e AS (SELECT event_id, strftime(ts, '%Y-%m-%d') AS date, user_id, value + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS value, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS version FROM events)"
+
+
+@query(f"WITH {_LATE} SELECT * FROM e")
+def late_upsert(spark, d):
+    """Six micro-batches, one of them a replay."""
+    return _late(spark, d)[0]
+
+
+@query(f"WITH {_LATE} SELECT date, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 2) AS total, sum(version) AS fixed FROM e GROUP BY 1")
+def late_rebuild(spark, d):
+    """The queued dates, built from the table."""
+    from tessera.streaming import late
+
+    daily = lambda rows: rows.groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.sum("value"), 2).alias("total"), F.sum("version").alias("fixed"))
+    rows, base = _late(spark, d)
+    return late.drain(rows, base, "date", daily)
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS date, CAST(max(CASE WHEN event_id % 3 = 0 THEN 4 ELSE event_id % 4 END) AS BIGINT) AS queued_at FROM events GROUP BY 1")
+def late_queue(spark, d):
+    """The last micro-batch that changed each date; the replay changes none."""
+    from tessera.streaming import late
+
+    return late.queued(spark, _late(spark, d)[1])
