@@ -59,3 +59,46 @@ def lineage(card: DataFrame) -> DataFrame:
 def collisions(rows: DataFrame, key: str, cluster: str) -> DataFrame:
     """Keys in more than one cluster."""
     return rows.groupBy(key).agg(F.countDistinct(cluster).alias("clusters")).where("clusters > 1")
+
+
+def prior_reading(readings: DataFrame) -> DataFrame:
+    """Date, slug, prior_date, prior_slug, point, lo, hi: the newest earlier reading of the same trial, kind of ratio and endpoint whose estimate differs.
+
+    readings(date, slug, nct, key, site, kind, endpoint, point, lo, hi); an endpoint is named. Identity as in lineage.same_trial: it isn't transitive, so if two of the
+    earlier readings that match aren't one trial, there is none. No pairs are listed: what a reading matches falls into classes (both registration and key,
+    registration alone, key alone), each is a partition in order of time, and what can disagree shows in the classes' least and greatest values. Rows per reading: seven at most.
+    """
+    est = F.struct("point", "lo", "hi")
+    rows = readings.where("endpoint != '' and kind is not null").withColumn("e", F.struct("date", "slug", est.alias("v")))
+    n, k, s = F.col("nct").isNotNull(), F.col("key").isNotNull(), F.col("site").isNotNull()
+    token = lambda name, *cols: F.struct(F.lit(name).alias("c"), F.concat_ws("\u0001", "kind", "endpoint", *cols).alias("t"))
+    both, nct_only, key_only, any_key, any_nct = token("both", "nct", "key"), token("nct", "nct"), token("key", "key", "site"), token("any_key", "nct"), token("any_nct", "key", "site")
+    own = F.array_compact(F.array(F.when(n & k, both), F.when(n & ~k, nct_only), F.when(k & s & ~n, key_only), F.when(n, any_key), F.when(k & s, any_nct)))
+    asked = F.array_compact(F.array(F.when(n & k, both), F.when(n & k, nct_only), F.when(n & k & s, key_only), F.when(n & ~k, any_key), F.when(k & s & ~n, any_nct)))
+    events = rows.select(F.explode(own).alias("p"), "date", "slug", "e", "nct", "key", "site")
+    order = [F.col("date"), F.col("slug").desc()]
+    line = Window.partitionBy("p").orderBy(*order)
+    # the last one before that has another estimate
+    events = events.withColumn("l", F.lag("e").over(line))
+    events = events.withColumn("other", F.last(F.when(~F.col("l.v").eqNullSafe(F.col("e.v")), F.col("l")), True).over(line.rowsBetween(Window.unboundedPreceding, 0))).drop("l")
+    none = lambda c: F.lit(None).cast(events.schema[c].dataType).alias(c)
+    probes = rows.select(F.explode(asked).alias("p"), "date", "slug", none("e"), none("nct"), none("key"), none("site"), none("other"), est.alias("v"), F.col("site").alias("own"), F.lit(0).alias("late"))
+    every = probes.unionByName(events.withColumn("late", F.lit(1)), allowMissingColumns=True)
+    # probes of a date come before its events, so they see earlier dates only
+    seen = Window.partitionBy("p").orderBy("date", "late", F.col("slug").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    got = every.withColumn("last", F.last(F.when(F.col("late") == 1, F.struct("e", "other")), True).over(seen))
+    for c in ("nct", "key", "site"):
+        got = got.withColumn(f"{c}_a", F.min(c).over(seen)).withColumn(f"{c}_b", F.max(c).over(seen))
+    lone = F.count(F.when((F.col("late") == 1) & F.col("site").isNull(), 1)).over(seen)
+    got = got.withColumn("unplaced", lone).where("late = 0 and last is not null")
+    best = F.when(~F.col("last.e.v").eqNullSafe(F.col("v")), F.col("last.e")).otherwise(F.col("last.other"))
+    # the site of what matches by both; a key alone needs the same one
+    elsewhere = (F.col("p.c") == "both") & ((F.col("unplaced") > 0) | F.coalesce((F.col("site_a") != F.col("own")) | (F.col("site_b") != F.col("own")), F.lit(False)))
+    apart = F.when(F.col("p.c") == "any_key", F.col("key_a") != F.col("key_b")).when(F.col("p.c") == "any_nct", F.col("nct_a") != F.col("nct_b")).otherwise(F.lit(False))
+    has = lambda c: F.bool_or(F.col("p.c") == c)
+    out = got.groupBy("date", "slug").agg(
+        F.bool_or(F.coalesce(apart, F.lit(False))).alias("apart"), (has("key") & (has("nct") | F.bool_or(elsewhere))).alias("split"),
+        # of one date the least slug: classes are few, so they are compared at once
+        F.get(F.array_sort(F.collect_list(F.when(best.isNotNull(), F.struct((-F.datediff(best["date"].cast("date"), F.lit("1970-01-01"))).alias("d"), best["slug"].alias("s"), best.alias("b"))))), F.lit(0))["b"].alias("b"),
+    )
+    return out.where("not apart and not split and b is not null").select("date", "slug", F.col("b.date").alias("prior_date"), F.col("b.slug").alias("prior_slug"), "b.v.point", "b.v.lo", "b.v.hi")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import folds, lineage, store
+from tessera.operators import folds, identity, lineage, store
 from tessera.plans.readings import query
 from tessera.plans.relations import SQL as _FIRST
-from tessera.plans.relations import readings
+from tessera.plans.relations import SAME, readings
 from tessera.sources.tables import table
 
 
@@ -151,3 +151,18 @@ def late_queue(spark, d):
     from tessera.streaming import late
 
     return late.queued(spark, _late(spark, d)[1])
+
+
+@query(f"""WITH r AS (SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date, 's' || o_orderkey AS slug, CASE WHEN o_custkey % 4 <> 0 THEN 'NCT' || (o_custkey // 6) END AS nct, CASE WHEN o_custkey % 5 <> 0 THEN 'K' || (o_custkey // 9) END AS key, CASE WHEN o_custkey % 11 <> 0 THEN 's' || (o_custkey % 2) END AS site,
+ 'HR' AS kind, 'os' AS endpoint, o_orderkey % 3 / 2 AS point, CASE WHEN o_orderkey % 2 = 0 THEN 0.5 END AS lo FROM orders WHERE o_custkey % 3 > 0),
+ m AS (SELECT a.date AS cd, a.slug AS cs, b.date AS pd, b.slug AS ps FROM r a JOIN r b ON b.date < a.date AND (a.nct = b.nct OR a.key = b.key) WHERE {{same}}),
+ bad AS (SELECT DISTINCT x.cd, x.cs FROM m x JOIN m y ON x.cd = y.cd AND x.cs = y.cs AND x.ps < y.ps JOIN r a ON a.slug = x.ps JOIN r b ON b.slug = y.ps WHERE NOT {{same}})
+ SELECT c.date, c.slug, p.date AS prior_date, p.slug AS prior_slug, CAST(p.point AS DOUBLE) AS point, CAST(p.lo AS DOUBLE) AS lo FROM m JOIN r c ON c.slug = cs JOIN r p ON p.slug = ps LEFT JOIN bad ON bad.cs = m.cs WHERE bad.cs IS NULL AND (c.point IS DISTINCT FROM p.point OR c.lo IS DISTINCT FROM p.lo)
+ QUALIFY row_number() OVER (PARTITION BY c.slug ORDER BY p.date DESC, p.slug) = 1""".replace("{{same}}", SAME).replace("{same}", SAME))
+def prior_readings(spark, d):
+    """J12, with identity and ambiguity."""
+    o = table(spark, d, "orders").where("o_custkey % 3 > 0")
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    named = lambda x, v: F.concat(F.lit(x), v.cast("long").cast("string"))
+    rows = o.select(F.to_date("o_orderdate").cast("string").alias("date"), named("s", k).alias("slug"), F.when(c % 4 != 0, named("NCT", F.floor(c / 6))).alias("nct"), F.when(c % 5 != 0, named("K", F.floor(c / 9))).alias("key"), F.when(c % 11 != 0, named("s", c % 2)).alias("site"), F.lit("HR").alias("kind"), F.lit("os").alias("endpoint"), ((k % 3) / 2).alias("point"), F.when(k % 2 == 0, 0.5).alias("lo"), F.lit(None).cast("double").alias("hi"))
+    return identity.prior_reading(rows).drop("hi")
