@@ -23,7 +23,7 @@ HALVES = 32
 LOW = 0xFFFF
 BOTH = (1 << 32) | 1
 MASK = (LOW << 32) | LOW
-#: Rows of a neighbour window; bounds what one task sorts.
+#: Rows of a neighbour window, about, as long as BUCKETS ** 2 windows do; beyond, windows grow with the rows and are sorted by spilling.
 BUCKET_ROWS = 1000
 BUCKETS = 64
 
