@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.effects import grounded
 from tessera.functions.identifiers import canonical_url
-from tessera.operators import folds, lineage, store
+from tessera.operators import folds, identity, lineage, store
 
 
 def test_slugs_pass_what_is_out(spark):
@@ -117,3 +117,19 @@ def test_grounding_and_addresses_beside_their_literals(spark):
     one = spark.createDataFrame([([".5", "5.", "0.50", "7"], "rate 0.5 of 5", "http://www.X.org/a/?q=a%20b&utm_source=m&B=1+2&%62=x#f")], "c array<string>, s string, u string")
     r = one.select(grounded(F.col("c"), F.col("s")).alias("g"), canonical_url(F.col("u")).alias("u")).first()
     assert (r.g.grounded, r.g.ungrounded, r.u) == ([".5", "5.", "0.50"], ["7"], "https://x.org/a?B=1 2&b=x&q=a b")
+
+
+def test_prior_readings_abstain_where_trials_differ(spark):
+    schema = "date string, slug string, nct string, key string, site string, kind string, endpoint string, point double, lo double, hi double"
+    at = lambda day, slug, nct, key, point, site="x", kind="HR", endpoint="os": (f"2024-01-{day:02d}", slug, nct, key, site, kind, endpoint, point, None, None)
+    rows = [
+        at(1, "a", "N1", "K1", 0.5), at(2, "b", "N1", "K1", 0.5), at(3, "c", "N1", "K1", 0.6), at(4, "d", "N1", None, 0.6),  # d: newest that differs is b
+        at(5, "e", "N2", None, 1.0), at(6, "f", None, "K2", 1.1), at(7, "g", "N2", "K2", 1.2),  # g: e and f share nothing
+        at(8, "h", None, "K3", 1.0, None), at(9, "i", None, "K3", 2.0, None),  # a key alone needs a site
+        at(10, "j", "N4", "K4", 1.0, kind="OR"), at(11, "k", "N4", "K4", 2.0), at(11, "l", "N4", "K4", 3.0), at(12, "m", "N4", "K5", 4.0), at(12, "n", "N4", "K4", 4.0, endpoint=""), at(12, "o", "N4", "K4", 4.0),
+        at(13, "p", "N4", None, 9.0),  # N4 has two keys
+    ]
+    df = spark.createDataFrame(rows, schema)
+    got = {r.slug: (r.prior_slug, r.point) for r in identity.prior_reading(df).collect()}
+    assert got == {"c": ("b", 0.5), "d": ("b", 0.5), "o": ("k", 2.0)}
+    assert identity.prior_reading(df.limit(0)).count() == 0
