@@ -349,7 +349,7 @@ def offset_next(spark, d):
     return ingest.next_offset(table(spark, d, "events"), "event_id")
 
 
-from tessera.plans import cases, columns, ordered, readings, relations, sectioned  # noqa: E402, F401
+from tessera.plans import cases, columns, ordered, outside, readings, relations, sectioned  # noqa: E402, F401
 
 QUERIES |= cases.QUERIES | relations.QUERIES | readings.QUERIES
 SQL |= cases.SQL | relations.SQL | readings.SQL
