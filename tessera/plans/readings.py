@@ -89,3 +89,20 @@ def effect_table(spark, d):
     tables = F.array(F.struct(F.col("heads").alias("columns"), F.col("cells").alias("rows")))
     got = rows.select("p_partkey", M.effect(F.lit("not yet"), F.lit(None).cast("string"), F.col("want"), tables).alias("e")).where("e.form = 'table'")
     return got.select("p_partkey", *(F.col(f"e.pair.{c}") for c in ("label_a", "a", "label_b", "b", "unit")))
+
+
+# A text that names three trials with numbers, and a source that holds some of both.
+_CLAIMS = """SELECT l_orderkey, l_linenumber, concat('**DESTINY-Breast0', l_linenumber, '** had HR 0.', l_partkey % 90 + 10, ' (95% CI 0.1-0.9); POP-RT', l_suppkey % 9, ' did not. PHASE3, NSCLC and stage III: KEYNOTE-', l_orderkey % 400 + 100, ' reached ', l_partkey % 60 + 20, '% of ', l_returnflag, '.') AS t,
+ concat('Destiny breast 0', l_linenumber % 3 + 1, ': 0.', l_partkey % 45 + 10, ', 0.1 to 0.9 (95); pop rt ', l_suppkey % 4, '; keynote ', l_orderkey % 200 + 100, ' and ', l_partkey % 30 + 20) AS s FROM lineitem"""
+
+
+@query("""SELECT l_orderkey, l_linenumber, array_to_string(list_filter([CASE WHEN l_linenumber <> l_linenumber % 3 + 1 THEN 'DESTINY-Breast0' || l_linenumber END, CASE WHEN l_suppkey % 9 <> l_suppkey % 4 THEN 'POP-RT' || (l_suppkey % 9) END, CASE WHEN l_orderkey % 400 <> l_orderkey % 200 THEN 'KEYNOTE-' || (l_orderkey % 400 + 100) END], lambda x: x IS NOT NULL), ' ') AS unsourced,
+ array_to_string(list_filter([CASE WHEN l_linenumber <> l_linenumber % 3 + 1 AND l_partkey % 90 <> l_partkey % 45 THEN 'DESTINY-Breast0' || l_linenumber END, CASE WHEN l_orderkey % 400 <> l_orderkey % 200 AND CAST(l_partkey % 60 + 20 AS VARCHAR) NOT IN (CAST(l_partkey % 30 + 20 AS VARCHAR), '95', CAST(l_orderkey % 200 + 100 AS VARCHAR)) THEN 'KEYNOTE-' || (l_orderkey % 400 + 100) END], lambda x: x IS NOT NULL), ' ') AS claims FROM lineitem""")
+def comparator_claims(spark, d):
+    """F09, C11, V01, V02."""
+    from tessera.functions import comparators as C
+
+    table(spark, d, "lineitem").createOrReplaceTempView("tessera_lineitem")
+    rows = spark.sql(_CLAIMS.replace("FROM lineitem", "FROM tessera_lineitem"))
+    t, s = F.col("t"), F.col("s")
+    return rows.select("l_orderkey", "l_linenumber", F.array_join(C.unsourced(t, s), " ").alias("unsourced"), F.array_join(C.unsourced_claims(t, s), " ").alias("claims"))
