@@ -81,16 +81,28 @@ def resolved(rows: DataFrame, by: str, key: str, base: str) -> DataFrame:
 
 
 def scored_pairs(previous: DataFrame, following: DataFrame) -> DataFrame:
-    """date, ni, pi, slug, score of rows (date, pos, slug, nct, sources) that share a slug, a registration or a source on a date, and score above 0."""
+    """date, ni, pi, slug, score of rows (date, pos, slug, nct, sources) that share a slug, a registration or a source on a date, and score above 0: those that can win.
+
+    Rows alike in slug, registration and set of sources score alike, so they meet as classes. A slug goes to a row by its best and first pair only, and the rows of
+    a class get slugs in order of pos: its nth can get one only if the class has n slugs that score as much. Pairs left out would find row or slug taken.
+    """
+    alike = ["date", "slug", "nct", "sources"]
+    plain = lambda rows: rows.select("date", "pos", "slug", "nct", F.array_sort(F.array_distinct("sources")).alias("sources"))
+
     def side(rows: DataFrame, x: str) -> DataFrame:
         tokens = F.concat(F.array(F.concat(F.lit("s:"), "slug"), F.concat(F.lit("n:"), F.upper("nct"))), F.transform("sources", lambda r: F.concat(F.lit("r:"), r.cast("string"))))
-        return rows.select("date", F.col("pos").alias(f"{x}i"), F.explode(F.array_distinct(F.array_compact(tokens))).alias("token"))
+        classes = plain(rows).groupBy(*alike).agg(F.min("pos").alias(f"{x}i"))
+        return classes.select("date", f"{x}i", *(F.col(c).alias(f"{x}_{c}") for c in alike[1:]), F.explode(F.array_distinct(F.array_compact(tokens))).alias("token"))
 
-    met = side(following, "n").join(side(previous, "p"), ["date", "token"]).select("date", "ni", "pi").distinct()
-    own = lambda rows, x: rows.select("date", F.col("pos").alias(f"{x}i"), *(F.col(c).alias(f"{x}_{c}") for c in ("slug", "nct", "sources")))
-    pairs = met.join(own(following, "n"), ["date", "ni"]).join(own(previous, "p"), ["date", "pi"]).where("p_slug != ''")
-    score = payloads.match_score(*(F.col(f"{x}_{c}") for x in "np" for c in ("slug", "nct", "sources")))
-    return pairs.select("date", "ni", "pi", F.col("p_slug").alias("slug"), score.alias("score")).where("score > 0")
+    score = payloads.match_score(*(F.col(f"{x}_{c}") for x in "np" for c in alike[1:]))
+    met = side(following, "n").join(side(previous.where("slug != ''"), "p"), ["date", "token"]).select("date", F.col("ni").alias("first"), F.col("p_slug").alias("slug"), "pi", score.alias("score")).where("score > 0")
+    # counted by score before the best is taken: that adds up where rows meet, before anything is sent
+    met = met.groupBy("date", "first", "slug", "score").agg(F.min("pi").alias("pi"))
+    best = met.withColumn("n", F.row_number().over(Window.partitionBy("date", "first", "slug").orderBy(F.desc("score")))).where("n = 1").drop("n")
+    best = best.withColumn("most", F.count(F.lit(1)).over(Window.partitionBy("date", "first").orderBy(F.desc("score"))))
+    same = Window.partitionBy(*alike)
+    rows = plain(following).select("date", F.col("pos").alias("ni"), F.min("pos").over(same).alias("first"), F.row_number().over(same.orderBy("pos")).alias("nth"))
+    return best.join(rows, ["date", "first"]).where("nth <= most").select("date", "ni", "pi", "slug", "score")
 
 
 def persisted(previous: DataFrame, following: DataFrame) -> DataFrame:
@@ -100,7 +112,7 @@ def persisted(previous: DataFrame, following: DataFrame) -> DataFrame:
     rows = following.select("date", F.lit(1).alias("kind"), none.cast("double").alias("o"), F.col("pos").alias("ni"), none.cast(previous.schema["pos"].dataType).alias("pi"), "slug")
 
     def fold(group):
-        taken, out = {}, set()
+        taken, out, free = {}, set(), {}
         for date, kind, _, ni, _, slug in group:
             if kind == 0:
                 if ni not in taken and slug not in out:
@@ -109,11 +121,13 @@ def persisted(previous: DataFrame, following: DataFrame) -> DataFrame:
             elif ni in taken:
                 yield date, ni, taken[ni], True
             else:
-                base = slug or "study"
-                n = 2
-                name = base
-                while name in out:
-                    name, n = f"{base}-{n}", n + 1
+                name = base = slug or "study"
+                if name in out:
+                    # what is out stays out, so a base's numbers are looked at once
+                    n = free.get(base, 2)
+                    while (name := f"{base}-{n}") in out:
+                        n += 1
+                    free[base] = n + 1
                 out.add(name)
                 yield date, ni, name, False
 

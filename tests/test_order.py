@@ -58,6 +58,21 @@ def test_published_slugs_go_to_the_best_match(spark):
         assert (out.get(d, {}), gone.get(d, set())) == persist(previous, following)
 
 
+def test_rows_alike_meet_as_classes(spark):
+    r = random.Random(7)
+    made = lambda n: [(i, r.choice(["a", "b", "c", ""]), r.choice([None, "N1", "N2"]), r.choice([[], [1], [1, 2], [2, 1], [3]])) for i in r.sample(range(99), n)]
+    days = {d: (sorted(made(r.randint(5, 30))), sorted(made(r.randint(5, 30)))) for d in range(12)}
+    # a hundred rows of one class on both sides have one pair, not ten thousand
+    days[99] = ([(i, "a", "N1", [1, 2]) for i in range(100)], [(i, "a", "N1", [2, 1]) for i in range(100)])
+    frame = lambda k: spark.createDataFrame([(d, *x) for d, both in days.items() for x in both[k]], "date int, pos int, slug string, nct string, sources array<int>")
+    assert folds.scored_pairs(frame(0), frame(1)).where("date = 99").count() == 1
+    out = {}
+    for x in folds.persisted(frame(0), frame(1)).collect():
+        out.setdefault(x.date, {})[x.pos] = x.slug
+    for d, both in days.items():
+        assert out[d] == persist(*both)[0]
+
+
 def fold(old, new):
     have = [list(x) for x in old]
     for row in new:
