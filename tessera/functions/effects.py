@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.sections import let
+
 # Rungs of the axis, its least half width, the axis without data, and families by ordered patterns.
 RUNGS = [1.5, 2.0, 3.0, 4.0, 5.0, 7.0, 10.0, 15.0, 20.0, 30.0, 50.0, 100.0]
 ROOM = 1.15
@@ -100,9 +102,8 @@ def _number(raw: Column) -> Column:
 
 def number_forms(c: Column) -> Column:
     """Distinct numbers as written, and with dashes read as points."""
-    t = plain_numbers(c)
-    dashed = F.transform(F.regexp_extract_all(t, F.lit(r"(?<![0-9.])([0-9]-[0-9]+)(?![0-9.])"), F.lit(1)), lambda x: F.replace(x, F.lit("-"), F.lit(".")))
-    return F.array_distinct(F.concat(F.regexp_extract_all(t, F.lit(r"([0-9]+(?:\.[0-9]+)?)"), F.lit(1)), dashed))
+    dashed = lambda t: F.transform(F.regexp_extract_all(t, F.lit(r"(?<![0-9.])([0-9]-[0-9]+)(?![0-9.])"), F.lit(1)), lambda x: F.replace(x, F.lit("-"), F.lit(".")))
+    return let(plain_numbers(c), lambda t: F.array_distinct(F.concat(F.regexp_extract_all(t, F.lit(r"([0-9]+(?:\.[0-9]+)?)"), F.lit(1)), dashed(t))))
 
 
 def number_values(c: Column) -> Column:
@@ -121,24 +122,32 @@ def traced_values(c: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"[,\s]", "")))
 
 
+def _known(source: Column) -> Column:
+    """struct(values, raws): a source's numbers, found once for all claims."""
+    return let(number_forms(source), lambda raws: F.struct(F.array_distinct(F.transform(raws, _number)).alias("values"), raws.alias("raws")))
+
+
+def _split(marked: Column) -> Column:
+    """struct(grounded, ungrounded) of an array of struct(hit, x)."""
+    kept = lambda m, want: F.transform(F.filter(m, lambda y: y["hit"] if want else ~y["hit"]), lambda y: y["x"])
+    return let(marked, lambda m: F.struct(kept(m, True).alias("grounded"), kept(m, False).alias("ungrounded")))
+
+
 def grounded(claims: Column, source: Column) -> Column:
     """struct(grounded, ungrounded): claimed numbers by whether the source's text has them."""
-    values, raws = number_values(source), number_forms(source)
-    first = lambda x: _number(F.regexp_replace(F.regexp_extract(plain_numbers(F.trim(x)), r"^(-?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+))", 1), r"^\.", "0."))
-    hit = lambda x: F.array_contains(values, first(x)) | F.array_contains(raws, plain_numbers(F.trim(x)))
-    kept = lambda want: F.transform(F.filter(claims, lambda x: hit(x) if want else ~hit(x)), lambda x: F.trim(x))
-    return F.struct(kept(True).alias("grounded"), kept(False).alias("ungrounded"))
+    first = lambda p: _number(F.regexp_replace(F.regexp_extract(p, r"^(-?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+))", 1), r"^\.", "0."))
+    hit = lambda k, x: let(plain_numbers(x), lambda p: F.array_contains(k["values"], first(p)) | F.array_contains(k["raws"], p))
+    return _split(let(_known(source), lambda k: F.transform(claims, lambda x: let(F.trim(x), lambda t: F.struct(hit(k, t).alias("hit"), t.alias("x"))))))
 
 
 def audited(text: Column, source: Column) -> Column:
     """As V10 for all numbers of a text; percents must be percents in a source that has any."""
     found = F.regexp_extract_all(plain_numbers(text), F.lit(r"([0-9]+(?:\.[0-9]+)?(?:\s*%)?)"), F.lit(1))
-    values, raws, shares = number_values(source), number_forms(source), percents(source)
     raw = lambda x: F.regexp_extract(x, r"^([0-9.]+)", 1)
-    plain = lambda x: F.array_contains(values, _number(raw(x))) | F.array_contains(raws, raw(x))
-    hit = lambda x: F.when(x.endswith("%") & (F.size(shares) > 0), F.array_contains(shares, _number(raw(x)))).otherwise(plain(x))
-    kept = lambda want: F.transform(F.filter(found, lambda x: hit(x) if want else ~hit(x)), lambda x: F.regexp_replace(x, r"\s", ""))
-    return F.struct(kept(True).alias("grounded"), kept(False).alias("ungrounded"))
+    plain = lambda k, x: F.array_contains(k["values"], _number(raw(x))) | F.array_contains(k["raws"], raw(x))
+    hit = lambda k, shares, x: F.when(x.endswith("%") & (F.size(shares) > 0), F.array_contains(shares, _number(raw(x)))).otherwise(plain(k, x))
+    marked = lambda k, shares: F.transform(found, lambda x: F.struct(hit(k, shares, x).alias("hit"), F.regexp_replace(x, r"\s", "").alias("x")))
+    return _split(let(_known(source), lambda k: let(percents(source), lambda shares: marked(k, shares))))
 
 
 def plain_stat(c: Column) -> Column:

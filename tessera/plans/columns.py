@@ -8,6 +8,7 @@ from tessera.functions import display as D
 from tessera.functions import effects as E
 from tessera.functions import identifiers as I
 from tessera.functions import validate as V
+from tessera.functions.sections import let
 from tessera.plans.readings import query
 from tessera.sources.tables import table
 
@@ -45,9 +46,9 @@ def numbers_of_lines(spark, d):
     rows = spark.sql(f"SELECT l_orderkey, l_linenumber, l_suppkey, {_NUMBERS.format(text='STRING')} AS t FROM tessera_lineitem")
     t = F.col("t")
     joined = lambda x: F.array_join(F.array_sort(x), " ")
-    g = E.grounded(F.array(F.concat(F.lit("."), F.col("l_suppkey") % 10), F.lit("1500")), t)["grounded"]
-    mark = lambda i: F.when(F.array_contains(g, i), "y").otherwise("n")
-    marks = F.concat(mark(F.concat(F.lit("."), F.col("l_suppkey") % 10)), mark(F.lit("1500")))
+    claims = F.array(F.concat(F.lit("."), F.col("l_suppkey") % 10), F.lit("1500"))
+    # made once for both marks
+    marks = let(E.grounded(claims, t)["grounded"], lambda g: F.array_join(F.transform(claims, lambda x: F.when(F.array_contains(g, x), "y").otherwise("n")), ""))
     return rows.select("l_orderkey", "l_linenumber", E.plain_numbers(t).alias("plain"), joined(E.number_forms(t)).alias("forms"), joined(E.percents(t)).alias("percents"), joined(E.traced_values(t)).alias("traced"), marks.alias("grounded"))
 
 
