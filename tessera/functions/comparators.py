@@ -28,19 +28,23 @@ def plain(c: Column) -> Column:
 
 def is_trial(name: Column) -> Column:
     """whether capitals can name a trial; what stands before the first hyphen decides."""
-    lead = F.upper(F.substring_index(name, "-", 1))
-    return (F.length(lead) >= 3) & ~lead.isin([*NOT_TRIALS, *OTHERS]) & ~lead.rlike(NOT_TRIAL_PATTERN) & ~lead.rlike(STAGE) & ~lead.rlike(ROMAN)
+    ok = lambda lead: (F.length(lead) >= 3) & ~lead.isin([*NOT_TRIALS, *OTHERS]) & ~lead.rlike(NOT_TRIAL_PATTERN) & ~lead.rlike(STAGE) & ~lead.rlike(ROMAN)
+    return let(F.upper(F.substring_index(name, "-", 1)), ok)
 
 
 def named_trials(text: Column) -> Column:
     """C11: the trials that a text names, each in its first spelling."""
     found = F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NAME), F.lit(1)), lambda x: is_trial(x) & (F.length(plain(x)) >= 3))
-    return let(found, lambda names: _first_spellings(names, plain))
+    return _first_spellings(found, plain)
 
 
 def unsourced(text: Column, source: Column) -> Column:
     """Named trials that the source doesn't mention, however it is spelled there."""
-    return let(plain(F.coalesce(source, F.lit(""))), lambda hay: F.filter(named_trials(text), lambda x: F.instr(hay, plain(x)) == 0))
+    return let(plain(F.coalesce(source, F.lit(""))), lambda hay: _missing(text, hay))
+
+
+def _missing(text: Column, hay: Column) -> Column:
+    return F.filter(named_trials(text), lambda x: F.instr(hay, plain(x)) == 0)
 
 
 def unsourced_claims(text: Column, source: Column) -> Column:
@@ -48,6 +52,8 @@ def unsourced_claims(text: Column, source: Column) -> Column:
     parts = F.filter(F.transform(F.split(F.replace(F.coalesce(text, F.lit("")), F.lit("**"), F.lit("")), r"(?<=[.;])\s+"), trimmed), lambda c: (c != "") & c.rlike(STATISTIC))
     numbers = lambda c: F.regexp_extract_all(c, F.lit(NUMBER), F.lit(1))
     behind = lambda c, x: F.substr(c, F.instr(c, x) + F.length(x), F.lit(ATTACHED))
-    bad = lambda held: F.flatten(F.transform(parts, lambda c: F.filter(unsourced(c, source), lambda x: F.size(F.array_except(numbers(behind(c, x)), held)) > 0)))
-    last = lambda names: F.transform(F.array_distinct(F.transform(names, plain)), lambda k: F.element_at(F.filter(names, lambda x: plain(x) == k), -1))
-    return let(numbers(F.coalesce(source, F.lit(""))), lambda held: let(bad(held), last))
+    bad = lambda s: F.flatten(F.transform(parts, lambda c: F.filter(_missing(c, s["hay"]), lambda x: F.size(F.array_except(numbers(behind(c, x)), s["held"])) > 0)))
+    keyed = lambda names: F.transform(names, lambda x: F.struct(plain(x).alias("k"), x.alias("x")))
+    last = lambda names: let(keyed(names), lambda kx: F.transform(F.array_distinct(F.transform(kx, lambda y: y["k"])), lambda k: F.element_at(F.filter(kx, lambda y: y["k"] == k), -1)["x"]))
+    known = F.coalesce(source, F.lit(""))
+    return let(F.struct(plain(known).alias("hay"), numbers(known).alias("held")), lambda s: let(bad(s), last))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.sections import let
+
 # Patterns and lists that decide which identifiers are found.
 DOI_CORE = r"10\.[0-9]{4,9}/[-._;()/:A-Za-z0-9]+"
 DOI_TAIL = r"(?i)(?:/(?:full|fulltext|abstract|pdf|epdf|html|meta|references|citations))+/?$"
@@ -58,8 +60,7 @@ def _all(c: Column, pattern: str, group: int = 1) -> Column:
 
 def _first_spellings(values: Column, key) -> Column:
     """values without those whose key an earlier one has."""
-    keys = F.transform(values, key)
-    return F.filter(values, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    return let(values, lambda v: let(F.transform(v, key), lambda keys: F.filter(v, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)))
 
 
 def doi(c: Column) -> Column:
