@@ -154,18 +154,22 @@ def association(items: DataFrame, key: str = "id", text: str = "text") -> DataFr
     """group_id, reason, strength, items (number), first, last: items that name one registration, or one acronym with a digit or hyphen.
 
     An acronym's group whose items all lie in a registration's, or in that of an acronym seen earlier (by item, then place in the text), is left out. Whether one
-    lies in another is told by counts of common items, for groups that hold its first item.
+    lies in another is told by how many items name both: as many as name the one. Those are counted where an item's names are together.
     """
+    named = lambda c, strength: F.transform(c, lambda x, i: F.struct(x.alias("token"), F.lit(strength).alias("strength"), i.alias("pos")))
     ncts = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"(\bNCT[0-9]{8}\b)"), F.lit(1)))
-    rows = lambda c, strength: items.select(F.col(key).alias("item"), F.posexplode(c).alias("pos", "token"), F.lit(strength).alias("strength"))
-    both = rows(ncts, BY_NCT).union(rows(trial_names(F.col(text)), BY_NAME))
-    got = both.groupBy("token", "strength").agg(F.countDistinct("item").alias("items"), F.min("item").alias("first"), F.max("item").alias("last"), F.min(F.struct("item", "pos")).alias("seen")).where("items >= 2")
-    in_group = both.select("token", "strength", "item").distinct().join(got.select("token", "strength", "seen"), ["token", "strength"])
-    other = in_group.select(F.col("token").alias("h"), F.col("strength").alias("h_strength"), F.col("seen").alias("h_seen"), F.col("item"))
-    named = got.where(F.col("strength") == BY_NAME).select("token", F.col("items").alias("n"), F.col("seen").alias("g_seen"), F.col("first").alias("item"))
-    pairs = named.join(other, "item").where((F.col("h_strength") == BY_NCT) | (F.col("h_seen") < F.col("g_seen"))).select("token", "n", "h", "h_strength")
-    common = pairs.join(in_group.where(F.col("strength") == BY_NAME).select("token", "item"), "token").join(other.select("h", "h_strength", "item"), ["h", "h_strength", "item"])
-    covered = common.groupBy("token", "n", "h", "h_strength").agg(F.count(F.lit(1)).alias("c")).where("c = n").select("token", F.lit(BY_NAME).alias("strength")).distinct()
-    kept = got.join(covered, ["token", "strength"], "left_anti")
+    names = items.select(F.col(key).alias("item"), F.concat(named(ncts, BY_NCT), named(trial_names(F.col(text)), BY_NAME)).alias("names")).where("size(names) > 0")
+    names = names.groupBy("item").agg(F.flatten(F.collect_list("names")).alias("names"))
+    both = names.select("item", F.inline("names")).groupBy("item", "token", "strength").agg(F.min("pos").alias("pos"))
+    got = both.groupBy("token", "strength").agg(F.count("item").alias("items"), F.min("item").alias("first"), F.max("item").alias("last"), F.min_by("pos", "item").alias("pos")).where("items >= 2")
+    alone = F.array_distinct(F.transform("names", lambda x: F.struct(x["token"].alias("token"), x["strength"].alias("strength"))))
+    pairs = names.where("item is not null").select(alone.alias("names")).select("names", F.explode(F.filter("names", lambda x: x["strength"] == BY_NAME)).alias("g"))
+    pairs = pairs.select(F.col("g.token").alias("token"), F.explode(F.filter("names", lambda x: x != F.col("g"))).alias("h")).select("token", F.col("h.token").alias("h"), F.col("h.strength").alias("h_strength"))
+    common = pairs.groupBy("token", "h", "h_strength").agg(F.count(F.lit(1)).alias("c")).where("c >= 2")
+    seen = F.struct("first", "pos")
+    inner = got.where(F.col("strength") == BY_NAME).select("token", F.col("items").alias("c"), seen.alias("g_seen"))
+    outer = got.select(F.col("token").alias("h"), F.col("strength").alias("h_strength"), seen.alias("h_seen"))
+    within = common.join(inner, ["token", "c"]).join(outer, ["h", "h_strength"]).where((F.col("h_strength") == BY_NCT) | (F.col("h_seen") < F.col("g_seen")))
+    kept = got.join(within.select("token", F.lit(BY_NAME).alias("strength")).distinct(), ["token", "strength"], "left_anti")
     reason = F.concat(F.when(F.col("strength") == BY_NCT, "shared ").otherwise("shared acronym "), "token")
     return kept.select(F.lower("token").alias("group_id"), reason.alias("reason"), F.col("strength").cast("int").alias("strength"), "items", "first", "last")

@@ -148,3 +148,12 @@ def test_prior_readings_abstain_where_trials_differ(spark):
     got = {r.slug: (r.prior_slug, r.point) for r in identity.prior_reading(df).collect()}
     assert got == {"c": ("b", 0.5), "d": ("b", 0.5), "o": ("k", 2.0)}
     assert identity.prior_reading(df.limit(0)).count() == 0
+
+
+def test_an_item_of_several_rows_counts_once(spark):
+    rows = [(1, "BIG-1 SUB-2"), (1, "BIG-1 SUB-2"), (2, "SUB-2"), (2, "BIG-1"), (3, "BIG-1"), (None, "SUB-2")]
+    got = lineage.association(spark.createDataFrame(rows, "id int, text string"))
+    assert {(r.group_id, r["items"], r["first"], r["last"]) for r in got.collect()} == {("big-1", 3, 1, 3)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # an item's names are in one place: groups aren't joined with their items
+    assert plan.count("Join") <= 4
