@@ -111,7 +111,7 @@ def upsert_collisions(spark, d):
 
 
 def _late(spark, d):
-    """Events as they come: four parts by their numbers, corrections of a third of them, and a part again. Each is a micro-batch."""
+    """Events as they come: four parts by their numbers, corrections of a third of them, and a part again. Each is drained as it came: a micro-batch."""
     import uuid
 
     from tessera.streaming import late
@@ -121,9 +121,10 @@ def _late(spark, d):
     e = table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("date"), "user_id", F.col("value"), F.lit(0).alias("version"))
     fixed = e.where("event_id % 3 = 0").withColumn("value", F.col("value") + 1).withColumn("version", F.lit(1))
     for part in [*(e.where(F.col("event_id") % 4 == i) for i in range(4)), fixed, e.where("event_id % 4 = 1")]:
-        part.repartition(2).write.mode("append").parquet(f"{base}/in")
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
-    return late.run(stream, base, f"{base}/checkpoint", "event_id", ["version"], "date", ["value"]), base
+        part.write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(e.schema).parquet(f"{base}/in")
+        rows = late.run(stream, base, f"{base}/checkpoint", "event_id", ["version"], "date", ["value"])
+    return rows, base
 
 
 _LATE = "e AS (SELECT event_id, strftime(ts, '%Y-%m-%d') AS date, user_id, value + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS value, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS version FROM events)"

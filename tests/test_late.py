@@ -55,3 +55,44 @@ def test_only_queued_dates_are_built_and_later_ones_stay(spark, tmp_path):
     assert seen == [["d1", "d2"], ["d1", "d3"]] and {(r.date, r.c) for r in out.collect()} == {("d1", 2), ("d2", 1), ("d3", 1)}
     late.drain(table(), base, "date", build)
     assert seen[-1] == []
+
+
+def files(base):
+    return {str(p): p.stat().st_mtime_ns for p in (base / "table").glob("date=*/*.parquet")}
+
+
+def test_dates_that_only_gain_keep_their_files_and_a_replay_writes_none(spark, tmp_path):
+    base = f"file://{tmp_path}/z"
+    late.put(spark.createDataFrame(BATCHES[0], SCHEMA), 0, base, *HOW)
+    first = files(tmp_path / "z")
+    more = spark.createDataFrame([(6, "d1", "f", 0), (7, "d3", "g", None)], SCHEMA)
+    late.put(more, 1, base, *HOW)
+    second = files(tmp_path / "z")
+    assert first.items() <= second.items() and len(second) > len(first)
+    late.put(more, 1, base, *HOW)
+    assert files(tmp_path / "z") == second and len(state(spark, base)[0]) == 5
+    # a null order is the oldest; d1 loses a row and is written anew, d2 isn't
+    late.put(spark.createDataFrame([(7, "d3", "g2", 0), (6, "d1", "older", None), (1, "d3", "a", 1), (None, "d4", "n", 0)], SCHEMA), 2, base, *HOW)
+    assert state(spark, base) == ({(1, "d3", "a", 1), (2, "d1", "b", 0), (3, "d2", "c", 0), (6, "d1", "f", 0), (7, "d3", "g2", 0), (None, "d4", "n", 0)}, {"d1": 2, "d2": 0, "d3": 2, "d4": 2})
+    assert {n for n in first if n in files(tmp_path / "z")} < set(first)
+
+
+def test_a_key_that_a_crash_left_on_two_dates_is_put_right(spark, tmp_path):
+    base = f"file://{tmp_path}/c"
+    late.put(spark.createDataFrame([(1, "d1", "a", 0), (2, "d1", "b", 0)], SCHEMA), 0, base, *HOW)
+    moved = spark.createDataFrame([(1, "d2", "a", 1)], SCHEMA)
+    # the new date was written, the old one not yet
+    moved.write.mode("append").partitionBy("date").parquet(f"{base}/table")
+    late.put(moved, 1, base, *HOW)
+    assert state(spark, base) == ({(1, "d2", "a", 1), (2, "d1", "b", 0)}, {"d1": 1, "d2": 1})
+
+
+def test_a_large_date_is_dealt_to_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(late, "FILE_ROWS", 100)
+    base = f"file://{tmp_path}/w"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        late.put(spark.range(1000).selectExpr("cast(id as int) id", "'d1' date", "'v' v", "0 n"), 0, base, *HOW)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(files(tmp_path / "w")) > 1 and len(state(spark, base)[0]) == 1000
