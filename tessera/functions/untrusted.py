@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import validate as V
 from tessera.functions.sections import let, trimmed
+from tessera.sources.tables import dealt
 
 # States of a trial that is still running, and the longest phrase of a pinned one.
 RUNNING = ["RECRUITING", "NOT_YET_RECRUITING", "ACTIVE_NOT_RECRUITING", "ENROLLING_BY_INVITATION"]
@@ -68,7 +69,7 @@ def clusters(answers: DataFrame, items_: DataFrame) -> DataFrame:
     low = lambda n: F.coalesce(trimmed(_text(part(F.col("c"), n))), F.lit(""))
     number = F.transform(F.filter(items(part(F.col("c"), "tweet_ids")), lambda x: kind(x) == "number"), lambda x: F.try_variant_get(x, "$", "bigint"))
     rows = rows.select("date", "pos", F.lower(low("slug")).alias("slug"), low("name").alias("name"), F.when(low("disease_site").isin(*V.SITES), low("disease_site")).otherwise("other").alias("site"), V.content_type(_text(part(F.col("c"), "content_type"))).alias("content_type"), number.alias("ids"))
-    known = rows.select("date", "pos", F.posexplode("ids").alias("at", "id")).join(items_.select("date", "id").distinct(), ["date", "id"], "left_semi")
+    known = dealt(rows.select("date", "pos", F.posexplode("ids").alias("at", "id")), "date", "id").join(dealt(items_.select("date", "id"), "date", "id"), ["date", "id"], "left_semi")
     known = known.groupBy("date", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("ids"))
     good = rows.drop("ids").where(V.safe_slug(F.col("slug")) & (F.col("name") != "")).join(known, ["date", "pos"])
     return good.withColumn("n", F.row_number().over(Window.partitionBy("date", "slug").orderBy("pos"))).where("n = 1").drop("n")
@@ -76,7 +77,8 @@ def clusters(answers: DataFrame, items_: DataFrame) -> DataFrame:
 
 def uncovered(found: DataFrame, items_: DataFrame) -> DataFrame:
     """Date, missing, duplicated of dates whose clusters aren't an exact cover: ids in none, ids in several (or twice in one). Dates without fault give no row."""
-    used = found.select("date", F.explode("ids").alias("id")).groupBy("date", "id").agg(F.count(F.lit(1)).alias("n"))
-    each = items_.select("date", "id").distinct().join(used, ["date", "id"], "left")
-    got = each.groupBy("date").agg(F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(F.col("n") > 1).alias("duplicated"))
+    used, each = found.select("date", F.explode("ids").alias("id"), F.lit(1).alias("u")).where("date is not null and id is not null"), items_.select("date", "id", F.lit(0).alias("u"))
+    # ids meet as rows, item or use, and are dealt before they are counted: nearly all are different, so counting them where they are read only takes memory
+    met = dealt(each.unionByName(used), "date", "id").groupBy("date", "id").agg(F.sum("u").alias("n"), F.min("u").alias("item")).where("item = 0")
+    got = met.groupBy("date").agg(F.count_if(F.col("n") == 0).alias("missing"), F.count_if(F.col("n") > 1).alias("duplicated"))
     return got.where("missing > 0 or duplicated > 0")

@@ -11,6 +11,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by keys to as many tasks as shuffles have. Adaptive execution puts parts together by bytes; narrow rows have few, and memory follows their number."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def lenient_corpus(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """All documents that parse, newest first; malformed ones are skipped."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path).where("date is not null").orderBy(F.desc("date"))
