@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import dealt
+
 
 def history(card: DataFrame, most: int = 4) -> DataFrame:
     """Other dates of the same strong key (any site), or of the same weak key in the same site if the key isn't ambiguous.
@@ -28,9 +30,16 @@ def history(card: DataFrame, most: int = 4) -> DataFrame:
 
 def cross_date_duplicates(card: DataFrame) -> DataFrame:
     """Strong keys on several dates; weak keys on several dates unless all their cards are in the first set or they have several strong keys."""
-    strong = card.where("nct is not null").groupBy("nct").agg(F.countDistinct("date").alias("dates"), F.count(F.lit(1)).alias("cards"), F.max("date").alias("latest")).where("dates >= 2")
-    marked = card.join(strong.select(F.col("nct").alias("e_nct")), F.col("nct") == F.col("e_nct"), "left").withColumn("emitted", F.col("e_nct").isNotNull())
-    weak = marked.where("acronym is not null").groupBy("acronym").agg(F.countDistinct("date").alias("dates"), F.count(F.lit(1)).alias("cards"), F.max("date").alias("latest"), F.bool_and("emitted").alias("all_emitted"), F.countDistinct("nct").alias("ncts")).where("dates >= 2 and not all_emitted and ncts < 2")
+    def counted(key: str, *more) -> DataFrame:
+        # nearly all pairs of key and date are different: they are dealt before they are counted, not counted where they are read
+        days = dealt(card.where(F.col(key).isNotNull()).select(*dict.fromkeys([key, "date", *(["nct"] if more else [])])), key, "date").groupBy(key, "date").agg(F.count(F.lit(1)).alias("cards"), *more)
+        whole = [F.bool_or("open").alias("open"), F.min("lo").alias("lo"), F.max("hi").alias("hi")] if more else []
+        return days.groupBy(key).agg(F.count("date").alias("dates"), F.sum("cards").alias("cards"), F.max("date").alias("latest"), *whole).where("dates >= 2")
+
+    strong = counted("nct")
+    weak = counted("acronym", F.bool_or(F.col("nct").isNull()).alias("open"), F.min("nct").alias("lo"), F.max("nct").alias("hi"))
+    # of one strong key at most, so the whole group's cards are in the first set if none lacks it and it is there
+    weak = weak.where("lo is null or lo = hi").join(strong.select(F.col("nct").alias("e_nct")), F.col("lo") == F.col("e_nct"), "left").where("open or e_nct is null")
     return strong.select(F.lit("nct").alias("kind"), F.col("nct").alias("key"), "dates", "cards", "latest").union(weak.select(F.lit("acronym"), "acronym", "dates", "cards", "latest"))
 
 
